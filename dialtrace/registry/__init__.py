@@ -1,6 +1,6 @@
 """All registered queries and the SQL statements that check them."""
 
-from dialtrace.registry import headers
+from dialtrace.registry import headers, searching, sources
 from dialtrace.registry.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "headers"]
+__all__ = ["ORACLE", "QUERIES", "headers", "searching", "sources"]

@@ -106,3 +106,47 @@ def endpoint(address: str, port: str) -> str:
 def on(stage: str, body: str, *more: str) -> str:
     """Statement over the tables up to ``stage``; ``more`` are further table expressions."""
     return "WITH " + ",\n".join([*_STAGES[stage], *more]) + "\n" + body
+
+
+# CRC-32 by table lookup, read as a signed number, modulo the palette size
+COLOURS = f"""
+crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, n: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS entries
+),
+endpoint_pairs AS (
+  SELECT DISTINCT {endpoint('source_ip', 'source_port')} AS source, {endpoint('destination_ip', 'destination_port')} AS destination FROM capture
+),
+checksums AS (
+  SELECT source, destination, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(string_split(source || ' ' || destination, ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda c, b: xor(entries[(xor(c, b) & 255) + 1], c >> 8))) AS crc
+  FROM endpoint_pairs, crc_table
+),
+colours AS (
+  SELECT source, destination, crc,
+    CAST((((CASE WHEN crc >= 2147483648 THEN crc - 4294967296 ELSE crc END) % 1000) + 1000) % 1000 AS BIGINT) AS colour
+  FROM checksums
+),
+shaped AS (
+  SELECT id, datetime, CAST(floor((epoch_us(datetime) + 500000) / 1000000.0) AS BIGINT) AS date, source AS source_ip, destination AS destination_ip,
+    callid, coalesce(request_method, '') || coalesce(response_code::VARCHAR, '') AS method, "from" AS from_user, "to" AS to_user, malformed,
+    colour, CASE malformed WHEN 1 THEN 'malformed' ELSE 'ordinary' END AS palette,
+    c.source_ip AS source_number, c.destination_ip AS destination_number, source_port, destination_port, callid_rc, request_method
+  FROM capture c JOIN colours p ON p.source = {endpoint('c.source_ip', 'source_port')} AND p.destination = {endpoint('c.destination_ip', 'destination_port')}
+)"""
+
+RESULT = "id, datetime, date, source_ip, destination_ip, callid, method, from_user, to_user, malformed, colour, palette"
+
+
+def matching(where: str = "true", grouping: bool = True) -> str:
+    """Table expression ``found``: search results before paging."""
+    grouped = "QUALIFY row_number() OVER (PARTITION BY callid ORDER BY datetime, id) = 1" if grouping else ""
+    return f"{COLOURS},\nfound AS (SELECT * FROM shaped WHERE {where} {grouped})"
+
+
+def searched(where: str = "true", grouping: bool = True, rows: int = 10, page: int = 1) -> str:
+    """One page of a search with the total of all pages."""
+    body = f"""SELECT {RESULT}, CAST((SELECT count(*) FROM found) AS BIGINT) AS total FROM found
+      ORDER BY datetime, id LIMIT {rows} OFFSET {max(page - 1, 0) * rows}"""
+    return on("capture", body, matching(where, grouping))
