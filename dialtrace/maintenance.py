@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,7 @@ def drop_expired_days(spark: SparkSession, table: str, now: str, days: int = 1)
     Partition metadata only: no row is read or rewritten. The rows of the one day
     that is partly expired are left to :func:`unexpired`.
     """
-    limit = spark.range(1).select(
-        F.to_date(F.lit(now).cast("timestamp") - F.make_dt_interval(days=F.lit(days))).cast("string")
-    ).first()[0]
+    limit = (datetime.fromisoformat(now) - timedelta(days=days)).date().isoformat()
     present = [row[0].split("=", 1)[1] for row in spark.sql(f"SHOW PARTITIONS {table}").collect()]
     expired = sorted(day for day in present if day < limit)
     for day in expired:

@@ -17,14 +17,24 @@ def first_per(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
     return df.withColumn("_first", rank).where("_first = 1").drop("_first")
 
 
-def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, number: str, salts: int = 32, salt_on: str = "id") -> DataFrame:
+def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, number: str) -> DataFrame:
     """First ``k`` rows of each group, numbered from 1 in column ``number``.
 
-    The rows pass through a salted round first: the last task of a group never
-    sees more than ``k * salts`` rows.
+    As above at most ``k`` rows of a group leave each task.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)))
-    inner = F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order))
-    kept = salted.withColumn("_rank", inner).where(F.col("_rank") <= k).drop("_rank", "_salt")
-    outer = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return kept.withColumn(number, outer).where(F.col(number) <= k)
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(number, rank).where(F.col(number) <= k)
+
+
+def top_distinct_per(
+    df: DataFrame, keys: list[str], distinct: str, order: list[Column], k: int, number: str, salts: int = 32
+) -> DataFrame:
+    """First ``k`` rows of each group after keeping one row per value of ``distinct``.
+
+    The rows of a group are spread over ``salts`` tasks by that value. Equal values
+    meet in the same task, so both steps share one exchange, and the task that
+    numbers a group in the end sees at most ``k * salts`` of its rows.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(distinct), F.lit(salts))).repartition(*keys, "_salt")
+    unique = first_per(salted, [*keys, "_salt", distinct], order)
+    return top_per(top_per(unique, [*keys, "_salt"], order, k, "_rank").drop("_rank", "_salt"), keys, order, k, number)

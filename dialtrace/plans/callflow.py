@@ -11,7 +11,8 @@ from dialtrace.functions.net import endpoint, ip_text
 from dialtrace.functions.text import ascii_html, flow_note, message_label
 from dialtrace.functions.time import microsecond_text
 from dialtrace.operators.correlate import call_pairs, call_sessions, pair_sessions
-from dialtrace.operators.ranking import first_per, top_per
+from dialtrace.operators.ranking import first_per, top_distinct_per, top_per
+from dialtrace.session import keep
 
 # fixed values
 FLOW_LIMIT = 1000
@@ -60,11 +61,11 @@ def flow_rows(capture: DataFrame, null_collapses: bool = False) -> DataFrame:
 
 def flow_members(capture: DataFrame) -> DataFrame:
     """``(session, id)``: every message of every flow, retransmissions included."""
-    pairs = call_pairs(capture)
     rows = capture.select(
         "id", F.coalesce("callid", F.lit("")).alias("callid"), F.coalesce("callid_rc", F.lit("")).alias("callid_rc")
     )
-    return rows.join(pair_sessions(pairs), ["callid", "callid_rc"]).select("session", "id")
+    sessions = pair_sessions(keep(call_pairs(capture), "pairs"))
+    return rows.join(sessions, ["callid", "callid_rc"]).select("session", "id")
 
 
 def call_flows(capture: DataFrame, null_collapses: bool = False) -> DataFrame:
@@ -73,18 +74,18 @@ def call_flows(capture: DataFrame, null_collapses: bool = False) -> DataFrame:
     A flow takes all or none of the rows of one ``(callid, callid_rc)`` pair, so
     the first 1000 of each pair are enough for the first 1000 of each flow. The
     rows are cut to that before they meet the sessions: a call that is in many
-    flows repeats a bounded number of rows, and the cut loses nothing.
+    flows repeats a bounded number of rows, and the cut loses nothing. The cut and
+    the join use the same partitioning.
     """
+    sessions = pair_sessions(keep(call_pairs(capture), "pairs"))
     rows = flow_rows(capture, null_collapses)
     originals = first_per(rows, ["callid", "callid_rc", "chsumm"], _order())
     leading = top_per(originals, ["callid", "callid_rc"], _order(), FLOW_LIMIT, "_n").drop("_n")
-    joined = leading.join(pair_sessions(call_pairs(capture)), ["callid", "callid_rc"])
-    return _numbered(joined)
+    return _numbered(leading.join(sessions, ["callid", "callid_rc"]))
 
 
 def _numbered(joined: DataFrame) -> DataFrame:
-    distinct = first_per(joined, ["session", "chsumm"], _order())
-    numbered = top_per(distinct, ["session"], _order(), FLOW_LIMIT, "number")
+    numbered = top_distinct_per(joined, ["session"], "chsumm", _order(), FLOW_LIMIT, "number")
     return numbered.select(
         "session", "number", "id", "datetime", "source_ip", "destination_ip", "label", "note"
     )

@@ -67,7 +67,7 @@ LINE = (
 
 def flow_path(spark, sf_dir):
     """All flows, stored once: several queries go on from them."""
-    return inputs._stored(
+    return inputs.stored(
         spark, sf_dir, "flows", lambda path: callflow.call_flows(inputs.capture(spark, sf_dir)).write.parquet(path)
     )
 
@@ -238,7 +238,7 @@ def flow_export(spark, sf_dir):
         documents = callflow.export_flows(flows(spark, sf_dir), inputs.capture(spark, sf_dir))
         documents.select("session", "document").write.json(path)
 
-    path = inputs._stored(spark, sf_dir, "exports", write)
+    path = inputs.stored(spark, sf_dir, "exports", write)
     return spark.read.schema("session STRING, document STRING").json(path)
 
 

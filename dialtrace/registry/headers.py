@@ -8,6 +8,7 @@ from dialtrace.functions.net import endpoint, ip_text
 from dialtrace.operators import headers as h
 from dialtrace.operators.validate import accepted
 from dialtrace.plans import callflow
+from dialtrace.plans.ingest import to_capture
 from dialtrace.registry import inputs, oracle
 from dialtrace.registry.base import query
 
@@ -244,6 +245,12 @@ def epoch_seconds(spark, sf_dir):
     return inputs.capture(spark, sf_dir).select("id", tm.epoch_seconds(F.col("datetime")).alias("seconds"))
 
 
+@query("capture_rows", oracle.on("capture", "SELECT * FROM capture"))
+def capture_rows(spark, sf_dir):
+    """Parse, validate and shape all packets, without storing them."""
+    return to_capture(inputs.packets(spark, sf_dir))
+
+
 @query("stored_message", oracle.on("capture", "SELECT id, malformed, msg FROM capture"))
 def stored_message(spark, sf_dir):
     return inputs.capture(spark, sf_dir).select("id", "malformed", "msg")

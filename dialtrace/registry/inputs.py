@@ -14,7 +14,7 @@ from dialtrace.sources.wire import wire
 _written: dict[tuple[str, str, str], str] = {}
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+def stored(spark: SparkSession, sf_dir: str, name: str, write) -> str:
     use_utc(spark)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
@@ -33,7 +33,7 @@ def packet_path(spark: SparkSession, sf_dir: str) -> str:
             rows = rows.repartition(slots, "pkt_id")
         tables.write_packets(rows, path)
 
-    return _stored(spark, sf_dir, "packets", write)
+    return stored(spark, sf_dir, "packets", write)
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_path(spark: SparkSession, sf_dir: str) -> str:
-    return _stored(
+    return stored(
         spark, sf_dir, "capture", lambda path: tables.append_capture(to_capture(packets(spark, sf_dir)), path)
     )
 
@@ -51,7 +51,7 @@ def capture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sdp_path(spark: SparkSession, sf_dir: str) -> str:
-    return _stored(spark, sf_dir, "sdp", lambda path: tables.append_sdp(to_sdp(packets(spark, sf_dir)), path))
+    return stored(spark, sf_dir, "sdp", lambda path: tables.append_sdp(to_sdp(packets(spark, sf_dir)), path))
 
 
 def sdp(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,10 +59,19 @@ def envelope_encode(spark, sf_dir):
     return records.encode_envelope(parsed(spark, sf_dir))
 
 
+def envelopes(spark, sf_dir):
+    """Stored envelope records, as a message log holds them."""
+
+    def write(path):
+        records.encode_envelope(parsed(spark, sf_dir)).write.parquet(path)
+
+    return spark.read.schema("pkt_id BIGINT, value STRING").parquet(inputs.stored(spark, sf_dir, "envelopes", write))
+
+
 def _damaged(spark, sf_dir):
     """Envelopes, every 103rd cut to half its length."""
     cut = F.substr("value", F.lit(1), F.call_function("div", F.length("value"), F.lit(2)).cast("int"))
-    return envelope_encode(spark, sf_dir).select(
+    return envelopes(spark, sf_dir).select(
         "pkt_id", F.when(F.col("pkt_id") % 103 == 0, cut).otherwise(F.col("value")).alias("value")
     )
 
@@ -110,8 +119,8 @@ def envelope_rejects(spark, sf_dir):
 @query("capture_from_envelopes", oracle.on("capture", "SELECT * FROM capture"))
 def capture_from_envelopes(spark, sf_dir):
     """Capture rows by way of the nested envelope."""
-    envelopes = records.decode_envelope(envelope_encode(spark, sf_dir))
-    return capture_rows(with_malformed(records.parsed_from_envelope(envelopes)))
+    decoded_records = records.decode_envelope(envelopes(spark, sf_dir))
+    return capture_rows(with_malformed(records.parsed_from_envelope(decoded_records)))
 
 
 FLAT_REASONS = r"""(CASE WHEN NOT utf8_ok THEN ' include non UTF8 symbols in payload_data |' ELSE '' END ||
@@ -167,7 +176,7 @@ def capture_scan(spark, sf_dir):
 
 
 def _savefiles(spark, sf_dir):
-    return inputs._stored(
+    return inputs.stored(
         spark, sf_dir, "savefiles", lambda path: pcap.write_savefiles(inputs.packets(spark, sf_dir), path)
     )
 
@@ -213,7 +222,7 @@ def message_publish(spark, sf_dir):
         messages = records.encode_envelope(parse(accepted(packets)))
         stream.publish(messages, path, work_dir(spark, "publish-checkpoint")).awaitTermination()
 
-    return spark.read.text(inputs._stored(spark, sf_dir, "published", write))
+    return spark.read.text(inputs.stored(spark, sf_dir, "published", write))
 
 
 def metric_path(spark, sf_dir):
@@ -223,7 +232,7 @@ def metric_path(spark, sf_dir):
         gauges = counters.running(counters.per_second(inputs.packets(spark, sf_dir)), ["packets", "bytes"])
         counters.as_metrics(gauges, "capture", ["packets", "bytes"]).write.mode("append").parquet(path)
 
-    return inputs._stored(spark, sf_dir, "metrics", write)
+    return inputs.stored(spark, sf_dir, "metrics", write)
 
 
 def metrics(spark, sf_dir):

@@ -25,7 +25,7 @@ def stream_ingest(spark, sf_dir):
     def write(path):
         stream.ingest(_packets(spark, sf_dir), path, work_dir(spark, "checkpoint")).awaitTermination()
 
-    return tables.read_capture(spark, inputs._stored(spark, sf_dir, "stream-capture", write)).drop("date")
+    return tables.read_capture(spark, inputs.stored(spark, sf_dir, "stream-capture", write)).drop("date")
 
 
 @query(
@@ -39,7 +39,7 @@ def stream_rate_limit(spark, sf_dir):
         limited = _packets(spark, sf_dir, files_per_trigger=3)
         stream.ingest(limited, path, work_dir(spark, "checkpoint")).awaitTermination()
 
-    rows = tables.read_capture(spark, inputs._stored(spark, sf_dir, "stream-limited", write))
+    rows = tables.read_capture(spark, inputs.stored(spark, sf_dir, "stream-limited", write))
     return rows.agg(F.count(F.lit(1)).alias("stored"), F.sum("malformed").alias("malformed"))
 
 
@@ -49,7 +49,7 @@ def stream_second_counters(spark, sf_dir):
         counted = stream_metrics.second_counters(_packets(spark, sf_dir))
         stream_metrics.write_updates(counted, path, work_dir(spark, "checkpoint")).awaitTermination()
 
-    path = inputs._stored(spark, sf_dir, "stream-seconds", write)
+    path = inputs.stored(spark, sf_dir, "stream-seconds", write)
     return stream_metrics.read_updates(spark, path, ["ts", "sensor"])
 
 
@@ -63,7 +63,7 @@ def stream_gauge_flush(spark, sf_dir):
         flushed = stream_metrics.last_gauges(gauges)
         stream_metrics.write_updates(flushed, path, work_dir(spark, "checkpoint")).awaitTermination()
 
-    path = inputs._stored(spark, sf_dir, "stream-gauges", write)
+    path = inputs.stored(spark, sf_dir, "stream-gauges", write)
     return stream_metrics.read_updates(spark, path, ["ts", "metric", "sensor"])
 
 
@@ -77,7 +77,7 @@ def stream_dedup(spark, sf_dir):
     def write(path):
         stream.ingest_deduplicated(_packets(spark, sf_dir), path, work_dir(spark, "checkpoint")).awaitTermination()
 
-    rows = spark.read.schema(f"{schemas.CAPTURE}, chsumm STRING").parquet(inputs._stored(spark, sf_dir, "stream-dedup", write))
+    rows = spark.read.schema(f"{schemas.CAPTURE}, chsumm STRING").parquet(inputs.stored(spark, sf_dir, "stream-dedup", write))
     return rows.select("chsumm", F.col("`from`").alias("from_user"), "callid", "msg")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", app: str = "dialtrace", **conf: str) -> SparkSession:
@@ -43,3 +43,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="dialtrace-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, purpose: str) -> DataFrame:
+    """Writes an intermediate result to the shared folder and goes on from there.
+
+    For results that several later steps read: they are computed once, survive the
+    loss of executors, and the planner knows their size.
+    """
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,49 +10,40 @@ from dialtrace.operators.headers import header_block, last_via, sdp_codecs
 from dialtrace.operators.validate import flat_malformed_reasons
 
 
-def split_text_wire(lines: DataFrame, value: str = "value") -> DataFrame:
-    """``ts|src:port|dst:port|offset:hex`` lines as packet columns.
+# fixed value: timestamp, source, target and payload of a delimited line
+TEXT_WIRE = r"^(?:[0-9]{1,18}|[1-8][0-9]{18})\|[0-9]{1,10}:[0-9]{1,5}\|[0-9]{1,10}:[0-9]{1,5}\|[0-9]{1,9}:[^:]*$"
 
-    ``split_ok`` is false where a line does not have that form; the other new
-    columns are NULL there.
+
+def read_text_wire(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Packets of the ``ts|src:port|dst:port|offset:hex`` lines; this form carries IPv4 only.
+
+    The form is tested by one pattern on the raw line, so no field is cut out of a
+    line that is dropped.
     """
     fields = F.split(F.col(value), r"\|", 4)
-    source, target = F.split(F.get(fields, F.lit(1)), ":"), F.split(F.get(fields, F.lit(2)), ":")
-    body = F.split(F.get(fields, F.lit(3)), ":")
-
-    def number(parts: Column, position: int, kind: str) -> Column:
-        return F.get(parts, F.lit(position)).try_cast(kind)
-
-    pieces = lines.withColumns({"_f": fields, "_s": source, "_d": target, "_b": body})
-    columns = {
-        "timestamp_ns": number(F.col("_f"), 0, "bigint"),
-        "src_ip": number(F.col("_s"), 0, "bigint"),
-        "src_port": number(F.col("_s"), 1, "int"),
-        "dst_ip": number(F.col("_d"), 0, "bigint"),
-        "dst_port": number(F.col("_d"), 1, "int"),
-        "payload_offset": number(F.col("_b"), 0, "int"),
-        "pkt_hex": F.get("_b", F.lit(1)),
-    }
-    form = (F.size("_f") == 4) & (F.size("_s") == 2) & (F.size("_d") == 2) & (F.size("_b") == 2)
-    typed = pieces.withColumns({**columns, "_form": form})
-    complete = F.col("_form")
-    for name in columns:
-        complete = complete & F.col(name).isNotNull()
-    return typed.withColumn("split_ok", F.coalesce(complete, F.lit(False))).drop("_f", "_s", "_d", "_b", "_form")
+    rest = [c for c in lines.columns if c != value]
+    pieces = lines.where(F.col(value).rlike(TEXT_WIRE)).select(
+        *rest, *[fields[i].alias(name) for i, name in enumerate(("_ts", "_src", "_dst", "_body"))]
+    )
 
+    def part(field: str, position: int, kind: str) -> Column:
+        return F.split_part(F.col(field), F.lit(":"), F.lit(position)).cast(kind)
 
-def read_text_wire(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Packets of the lines that split; this form carries IPv4 only."""
-    return (
-        split_text_wire(lines, value)
-        .where("split_ok")
-        .drop("split_ok", value)
-        .withColumns({"ip_version": F.lit(4), "len": F.call_function("div", F.length("pkt_hex"), F.lit(2)).cast("int")})
-    )
+    return pieces.select(
+        *rest,
+        F.col("_ts").cast("bigint").alias("timestamp_ns"),
+        part("_src", 1, "bigint").alias("src_ip"),
+        part("_src", 2, "int").alias("src_port"),
+        part("_dst", 1, "bigint").alias("dst_ip"),
+        part("_dst", 2, "int").alias("dst_port"),
+        F.lit(4).alias("ip_version"),
+        part("_body", 1, "int").alias("payload_offset"),
+        F.substring_index("_body", ":", -1).alias("pkt_hex"),
+    ).withColumn("len", F.call_function("div", F.length("pkt_hex"), F.lit(2)).cast("int"))
 
 
 def text_wire_rejects(lines: DataFrame, value: str = "value") -> DataFrame:
-    return split_text_wire(lines, value).where(~F.col("split_ok")).select(*lines.columns)
+    return lines.where(~F.coalesce(F.col(value).rlike(TEXT_WIRE), F.lit(False)))
 
 
 def envelope(parsed: DataFrame) -> Column:
@@ -84,19 +75,23 @@ def encode_envelope(parsed: DataFrame) -> DataFrame:
 
 
 def _decoded(records: DataFrame, value: str) -> DataFrame:
+    """Envelope columns and ``_corrupt`` next to the raw record.
+
+    The one-element array makes each record decode once: the filters on the result
+    stay behind it and are not turned into decodings of their own.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    return records.withColumn("_env", F.from_json(value, f"{schemas.ENVELOPE}, _corrupt STRING", options))
+    decoded = F.from_json(value, f"{schemas.ENVELOPE}, _corrupt STRING", options)
+    return records.select("*", F.inline(F.array(decoded)))
 
 
 def _undecodable() -> Column:
-    return F.col("_env").isNull() | F.col("_env._corrupt").isNotNull()
+    return F.col("_corrupt").isNotNull() | (F.col("raw").isNull() & F.col("sip").isNull())
 
 
 def decode_envelope(records: DataFrame, value: str = "value") -> DataFrame:
     """Envelope columns (``timestamp_ns``, ``ip``, ``sip``, ``raw``) of the records that decode."""
-    rest = [c for c in records.columns if c != value]
-    good = _decoded(records, value).where(~_undecodable())
-    return good.select(*rest, *[F.col(f"_env.{c}").alias(c) for c in ("timestamp_ns", "ip", "sip", "raw")])
+    return _decoded(records, value).where(~_undecodable()).drop(value, "_corrupt")
 
 
 def envelope_rejects(records: DataFrame, value: str = "value") -> DataFrame:
