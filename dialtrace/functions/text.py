@@ -33,13 +33,14 @@ def all_digits(text: Column) -> Column:
 
 
 def digits_exceed(text: Column, limit: int) -> Column:
-    """Whether a run of digits, however long, is a number above ``limit``."""
-    significant = F.ltrim(text, F.lit("0"))
-    digits = len(str(limit))
-    longer = F.length(significant) > digits
-    # equally long runs of digits compare as text
-    larger = (F.length(significant) == digits) & (significant > str(limit))
-    return all_digits(text) & (longer | larger)
+    """Whether a run of digits, however long, is a number above ``limit``.
+
+    Padded to one length, digits compare as text; a longer run loses its tail, but
+    its first digit already decides.
+    """
+    width = len(str(limit)) + 1
+    padded = F.lpad(F.ltrim(text, F.lit("0")), width, "0")
+    return all_digits(text) & (padded > str(limit).zfill(width))
 
 
 def html_escape(text: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialtrace.functions.text import all_digits, blank, digits_exceed
+from dialtrace.functions.text import all_digits, digits_exceed
 from dialtrace.operators.headers import last_via
 
 # fixed values
@@ -64,6 +64,7 @@ REASON_SEPARATOR = " |\n"
 def malformed_reasons() -> Column:
     """Violated rules of a parsed message as joined text, empty for a good one.
 
+    Empty headers are NULL here already.
     Invalid UTF-8 hides all further rules. The Max-Forwards rules hold for
     requests, and a missing Max-Forwards header is no violation.
     """
@@ -71,13 +72,13 @@ def malformed_reasons() -> Column:
     request = F.col("request_method").isNotNull()
     has_cseq = F.col("cseq").isNotNull()
     rules = [
-        (blank(F.col("callid")), NO_CALL_ID),
-        (blank(F.col("`from`")), NO_FROM),
-        (blank(F.col("`to`")), NO_TO),
+        (F.col("callid").isNull(), NO_CALL_ID),
+        (F.col("`from`").isNull(), NO_FROM),
+        (F.col("`to`").isNull(), NO_TO),
         (~has_cseq, NO_CSEQ),
-        (has_cseq & blank(number), NO_CSEQ_NUMBER),
+        (has_cseq & number.isNull(), NO_CSEQ_NUMBER),
         (digits_exceed(number, MAX_CSEQ), CSEQ_RANGE),
-        (has_cseq & blank(verb), NO_CSEQ_METHOD),
+        (has_cseq & verb.isNull(), NO_CSEQ_METHOD),
         (request & (F.col("maxfwd") == ""), EMPTY_MAX_FORWARDS),
         (request & digits_exceed(F.col("maxfwd"), MAX_FORWARDS), MAX_FORWARDS_RANGE),
     ]
@@ -115,11 +116,11 @@ def flat_malformed_reasons() -> Column:
     """
     head = F.col("head")
     missing = (
-        blank(F.col("callid"))
-        | blank(F.col("`from`"))
-        | blank(F.col("`to`"))
-        | blank(F.col("cseq.number"))
-        | blank(F.col("cseq.method"))
+        F.col("callid").isNull()
+        | F.col("`from`").isNull()
+        | F.col("`to`").isNull()
+        | F.col("cseq.number").isNull()
+        | F.col("cseq.method").isNull()
         | last_via(head).isNull()
     )
     empty_agent = head.rlike(r"(?im)^user-agent[ \t]*:[ \t]*$")

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialtrace import schemas
-from dialtrace.functions.text import empty_to_null
 from dialtrace.functions.time import ns_to_timestamp
 from dialtrace.operators.headers import parse, sdp_codecs, with_text
 from dialtrace.operators.validate import accepted, with_malformed
@@ -19,7 +18,7 @@ def capture_rows(checked: DataFrame) -> DataFrame:
     return checked.select(
         F.col("pkt_id").alias("id"),
         ns_to_timestamp(F.col("timestamp_ns")).alias("datetime"),
-        *[empty_to_null(F.col(f"`{c}`")).alias(c) for c in ("from", "to", "callid", "callid_rc", "user_agent", "request_method")],
+        *[F.col(f"`{c}`") for c in ("from", "to", "callid", "callid_rc", "user_agent", "request_method")],
         "response_code",
         F.col("src_ip").alias("source_ip"),
         F.col("src_port").alias("source_port"),

@@ -217,12 +217,11 @@ def pcap_scan(spark, sf_dir):
 
 @query("message_publish", oracle.on("parsed", f"SELECT {ENVELOPE} AS value FROM parsed"))
 def message_publish(spark, sf_dir):
-    def write(path):
-        packets = tables.stream_packets(spark, inputs.packet_path(spark, sf_dir))
-        messages = records.encode_envelope(parse(accepted(packets)))
-        stream.publish(messages, path, work_dir(spark, "publish-checkpoint")).awaitTermination()
-
-    return spark.read.text(inputs.stored(spark, sf_dir, "published", write))
+    path = work_dir(spark, "published")
+    packets = tables.stream_packets(spark, inputs.packet_path(spark, sf_dir))
+    messages = records.encode_envelope(parse(accepted(packets)))
+    stream.publish(messages, path, work_dir(spark, "publish-checkpoint")).awaitTermination()
+    return spark.read.text(path)
 
 
 def metric_path(spark, sf_dir):

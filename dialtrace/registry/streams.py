@@ -16,16 +16,22 @@ from dialtrace.streaming import ingest as stream
 from dialtrace.streaming import metrics as stream_metrics
 
 
+def _run(spark, name, start):
+    """Runs a stream into a fresh folder and returns that folder."""
+    path = work_dir(spark, name)
+    start(path, work_dir(spark, f"{name}-checkpoint")).awaitTermination()
+    return path
+
+
 def _packets(spark, sf_dir, files_per_trigger=None):
     return tables.stream_packets(spark, inputs.packet_path(spark, sf_dir), files_per_trigger)
 
 
 @query("stream_ingest", oracle.on("capture", "SELECT * FROM capture"))
 def stream_ingest(spark, sf_dir):
-    def write(path):
-        stream.ingest(_packets(spark, sf_dir), path, work_dir(spark, "checkpoint")).awaitTermination()
-
-    return tables.read_capture(spark, inputs.stored(spark, sf_dir, "stream-capture", write)).drop("date")
+    packets = _packets(spark, sf_dir)
+    path = _run(spark, "stream-capture", lambda out, state: stream.ingest(packets, out, state))
+    return tables.read_capture(spark, path).drop("date")
 
 
 @query(
@@ -35,21 +41,15 @@ def stream_ingest(spark, sf_dir):
 def stream_rate_limit(spark, sf_dir):
     """Ingest in bounded micro-batches: slower input, nothing dropped."""
 
-    def write(path):
-        limited = _packets(spark, sf_dir, files_per_trigger=3)
-        stream.ingest(limited, path, work_dir(spark, "checkpoint")).awaitTermination()
-
-    rows = tables.read_capture(spark, inputs.stored(spark, sf_dir, "stream-limited", write))
-    return rows.agg(F.count(F.lit(1)).alias("stored"), F.sum("malformed").alias("malformed"))
+    limited = _packets(spark, sf_dir, files_per_trigger=3)
+    path = _run(spark, "stream-limited", lambda out, state: stream.ingest(limited, out, state))
+    return tables.read_capture(spark, path).agg(F.count(F.lit(1)).alias("stored"), F.sum("malformed").alias("malformed"))
 
 
 @query("stream_second_counters", oracle.on("packets", "SELECT ts, sensor, packets, bytes FROM seconds", SECONDS))
 def stream_second_counters(spark, sf_dir):
-    def write(path):
-        counted = stream_metrics.second_counters(_packets(spark, sf_dir))
-        stream_metrics.write_updates(counted, path, work_dir(spark, "checkpoint")).awaitTermination()
-
-    path = inputs.stored(spark, sf_dir, "stream-seconds", write)
+    counted = stream_metrics.second_counters(_packets(spark, sf_dir))
+    path = _run(spark, "stream-seconds", lambda out, state: stream_metrics.write_updates(counted, out, state))
     return stream_metrics.read_updates(spark, path, ["ts", "sensor"])
 
 
@@ -58,12 +58,9 @@ def stream_second_counters(spark, sf_dir):
     oracle.on("packets", "SELECT ts, metric, sensor, value FROM flushed", SECONDS, RUNNING, METRICS, FLUSHED),
 )
 def stream_gauge_flush(spark, sf_dir):
-    def write(path):
-        gauges = spark.readStream.schema(schemas.METRIC).parquet(metric_path(spark, sf_dir))
-        flushed = stream_metrics.last_gauges(gauges)
-        stream_metrics.write_updates(flushed, path, work_dir(spark, "checkpoint")).awaitTermination()
-
-    path = inputs.stored(spark, sf_dir, "stream-gauges", write)
+    gauges = spark.readStream.schema(schemas.METRIC).parquet(metric_path(spark, sf_dir))
+    flushed = stream_metrics.last_gauges(gauges)
+    path = _run(spark, "stream-gauges", lambda out, state: stream_metrics.write_updates(flushed, out, state))
     return stream_metrics.read_updates(spark, path, ["ts", "metric", "sensor"])
 
 
@@ -74,10 +71,9 @@ def stream_gauge_flush(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     """Which copy stays depends on arrival, so only what the copies share is shown."""
 
-    def write(path):
-        stream.ingest_deduplicated(_packets(spark, sf_dir), path, work_dir(spark, "checkpoint")).awaitTermination()
-
-    rows = spark.read.schema(f"{schemas.CAPTURE}, chsumm STRING").parquet(inputs.stored(spark, sf_dir, "stream-dedup", write))
+    packets = _packets(spark, sf_dir)
+    path = _run(spark, "stream-dedup", lambda out, state: stream.ingest_deduplicated(packets, out, state))
+    rows = spark.read.schema(f"{schemas.CAPTURE}, chsumm STRING").parquet(path)
     return rows.select("chsumm", F.col("`from`").alias("from_user"), "callid", "msg")
 
 

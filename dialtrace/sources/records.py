@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialtrace import schemas
-from dialtrace.functions.text import all_digits, payload_bytes, printable
+from dialtrace.functions.text import all_digits, empty_to_null, payload_bytes, printable
 from dialtrace.functions.time import ns_to_seconds_text
 from dialtrace.operators.headers import header_block, last_via, sdp_codecs
 from dialtrace.operators.validate import flat_malformed_reasons
@@ -116,15 +116,21 @@ def parsed_from_envelope(envelopes: DataFrame) -> DataFrame:
             "utf8_ok",
             "text",
             header_block(F.col("text")).alias("head"),
-            F.col("sip.call_id").alias("callid"),
-            F.col("sip.`to`").alias("to"),
-            F.col("sip.`from`").alias("from"),
-            F.col("sip.sip_method").alias("request_method"),
+            empty_to_null(F.col("sip.call_id")).alias("callid"),
+            empty_to_null(F.col("sip.`to`")).alias("to"),
+            empty_to_null(F.col("sip.`from`")).alias("from"),
+            empty_to_null(F.col("sip.sip_method")).alias("request_method"),
             F.nullif(F.col("sip.status_code"), F.lit(0)).alias("response_code"),
-            F.col("sip.rc_session_id").alias("callid_rc"),
-            F.col("sip.ua").alias("user_agent"),
+            empty_to_null(F.col("sip.rc_session_id")).alias("callid_rc"),
+            empty_to_null(F.col("sip.ua")).alias("user_agent"),
             F.col("sip.maxfwd").alias("maxfwd"),
-            F.col("sip.cseq").alias("cseq"),
+            F.when(
+                F.col("sip.cseq").isNotNull(),
+                F.struct(
+                    empty_to_null(F.col("sip.cseq.number")).alias("number"),
+                    empty_to_null(F.col("sip.cseq.method")).alias("method"),
+                ),
+            ).alias("cseq"),
         )
     )
 
