@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 
 from dialtrace.functions.net import ip_literal
 
-SIDES = {"src": ("src",), "dst": ("dst",), "either": ("src", "dst")}
+SIDES = {"src": ("src",), "dst": ("dst",), "either": ("src", "dst"), "both": ("src", "dst")}
 
 
 def _on_sides(direction: str, field: str, test) -> Column:
-    return reduce(or_, [test(F.col(f"{side}_{field}")) for side in SIDES[direction]])
+    tests = [test(F.col(f"{side}_{field}")) for side in SIDES[direction]]
+    return reduce(and_ if direction == "both" else or_, tests)
 
 
 def _address(text: str) -> int:
@@ -30,11 +31,22 @@ def host(address: str, direction: str = "either") -> Column:
     return _on_sides(direction, "ip", lambda ip: ip == number)
 
 
-def net(cidr: str, direction: str = "either") -> Column:
-    """Addresses of ``a.b.c.d/len``, as a range so that it reaches the Parquet scan."""
-    address, _, bits = cidr.partition("/")
-    size = 1 << (32 - int(bits or 32))
-    first = _address(address) // size * size
+def net(network: str, direction: str = "either", mask: str | None = None) -> Column:
+    """Addresses of a network, as a range so that the test reaches the Parquet scan.
+
+    ``a.b.c.d/len``, an address with a ``mask``, or one to four leading numbers that
+    stand for 8 bits each.
+    """
+    address, _, bits = network.partition("/")
+    parts = address.split(".")
+    number = _address(".".join(parts + ["0"] * (4 - len(parts))))
+    if mask:
+        size = (1 << 32) - _address(mask)
+        if size & (size - 1):
+            raise ValueError(f"not a network mask: {mask}")
+    else:
+        size = 1 << (32 - (int(bits) if bits else 8 * len(parts)))
+    first = number // size * size
     return _on_sides(direction, "ip", lambda ip: ip.between(first, first + size - 1))
 
 

@@ -18,26 +18,26 @@ def stream_packets(spark: SparkSession, path: str, files_per_trigger: int | None
     return reader.parquet(path)
 
 
-# lookups by call go to few row groups: Parquet keeps a Bloom filter for these columns
-LOOKUP_COLUMNS = ["callid", "callid_rc"]
+# lookups by these columns go to few row groups: Parquet keeps a Bloom filter for each
+LOOKUP_COLUMNS = ["id", "callid", "callid_rc"]
 
 
-def day_layout(rows: DataFrame) -> DataFrame:
-    """Adds the day and gathers it, calls together inside each file.
+def day_layout(rows: DataFrame, gather: bool = True) -> DataFrame:
+    """Adds the day and puts the rows of a call together inside each file.
 
-    The rebalance step evens out the output files and splits a day that is much
-    larger than the others. It keeps rows that arrived together in one file, so the
-    time ranges of the files stay narrow.
+    With ``gather`` the rows of a day move to common files. The rebalance step evens
+    out the files and splits a day that is much larger than the others, along the
+    order of arrival, so the time ranges of the files stay narrow. Input that comes
+    in order of time has few days per task anyway and needs no such step.
     """
-    return (
-        rows.withColumn("date", F.to_date("datetime"))
-        .hint("rebalance", "date")
-        .sortWithinPartitions("date", "callid", "datetime")
-    )
+    dated = rows.withColumn("date", F.to_date("datetime"))
+    if gather:
+        dated = dated.hint("rebalance", "date")
+    return dated.sortWithinPartitions("date", "callid", "datetime")
 
 
-def append_capture(rows: DataFrame, path: str) -> None:
-    writer = day_layout(rows).write.mode("append").partitionBy("date")
+def append_capture(rows: DataFrame, path: str, gather: bool = True) -> None:
+    writer = day_layout(rows, gather).write.mode("append").partitionBy("date")
     for column in LOOKUP_COLUMNS:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)

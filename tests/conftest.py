@@ -19,6 +19,8 @@ def spark(tmp_path_factory):
         "tests",
         **{
             "spark.sql.shuffle.partitions": "4",
+            # plan tests look for names in full
+            "spark.sql.maxMetadataStringLength": "100000",
             "spark.checkpoint.dir": str(shared),
             "spark.sql.warehouse.dir": str(shared / "warehouse"),
         },

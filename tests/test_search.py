@@ -113,8 +113,12 @@ def test_net_bounds(spark):
     assert [r["pkt_id"] for r in df.where(filters.net("10.1.2.3/8")).collect()] == [1, 2]
     assert df.where(filters.net("0.0.0.0/0")).count() == 4
     assert df.where(filters.net("9.255.255.255", "dst")).count() == 0
-    with pytest.raises(ValueError):
-        filters.host("example.com")
+    assert df.where(filters.net("10")).count() == df.where(filters.net("10.0.0.0", mask="255.0.0.0")).count() == 2
+    assert df.where(filters.net("10", "both")).count() == 0
+    assert df.where(filters.host("10.0.0.0", "src")).count() == 1
+    for bad in (lambda: filters.host("example.com"), lambda: filters.net("10.0.0.0", mask="255.0.255.0")):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_dashboard_with_fixed_end(spark, capture):
