@@ -10,16 +10,16 @@ def ip_text(ip: Column) -> Column:
     return F.when(ip.between(0, 4294967295), F.concat_ws(".", *octets))
 
 
+# fixed value: a number from 0 to 255, leading zeros allowed
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+
+
 def ip_number(text: Column) -> Column:
     """Address of a dotted quad as a number; NULL for anything else."""
-    octets = [F.split_part(text, F.lit("."), F.lit(i)).cast("bigint") for i in (1, 2, 3, 4)]
-    value = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
-    wellformed = text.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
-    in_range = octets[0].between(0, 255)
-    for octet in octets[1:]:
-        in_range = in_range & octet.between(0, 255)
-    # the outer test keeps the casts away from text that holds no numbers
-    return F.when(wellformed, F.when(in_range, value))
+    parts = [F.split_part(text, F.lit("."), F.lit(i)).cast("bigint") for i in (1, 2, 3, 4)]
+    value = parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3]
+    # the test keeps the casts away from text that holds no numbers
+    return F.when(text.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), value)
 
 
 def ip_literal(text: str) -> int | None:

@@ -12,8 +12,9 @@ from dialtrace.functions.text import message_label
 from dialtrace.functions.time import epoch_seconds
 from dialtrace.operators.filters import search_filter
 from dialtrace.operators.ranking import first_per
+from dialtrace.session import keep
 
-# up to here Spark keeps the leading rows in a heap; later pages go by the minute histogram
+# up to here Spark keeps the leading rows in a heap; later pages go by counts per time step
 HEAP_ROWS = 10_000
 
 
@@ -28,7 +29,7 @@ def matches(capture: DataFrame, grouping: int | str = 1, **fields) -> DataFrame:
     """
     columns = [
         "id", "datetime", "source_ip", "source_port", "destination_ip", "destination_port",
-        "callid", "request_method", "response_code", "from", "to", "malformed",
+        "callid", "request_method", "response_code", "from", "to", "malformed", "date",
     ]
     found = capture.where(search_filter(**fields)).select(*[f"`{c}`" for c in columns])
     return found if str(grouping) == "0" else first_per(found, ["callid"], _order())
@@ -73,24 +74,36 @@ def page_bounds(rows: int | str | None = None, page: int | str | None = None) ->
     return limit, max(number - 1, 0) * limit
 
 
+# time steps that narrow down a deep page, in microseconds
+_STEPS = [3_600_000_000, 1_000_000]
+
+
 def take_page(found: DataFrame, limit: int, offset: int) -> DataFrame:
     """Rows ``offset+1 .. offset+limit`` in time order, exactly.
 
     A page near the front is a top-k. For a page further back no task could hold
-    all rows before it, so a count per minute tells which minutes the page is in,
-    and only their rows are numbered.
+    all rows before it, so counts per hour, and per second inside the hours that
+    matter, tell which seconds the page is in. Only the rows of those seconds are
+    sorted, and their time limits reach the scan.
     """
     if offset + limit <= HEAP_ROWS:
         return found.orderBy(*_order()).offset(offset).limit(limit)
-    timed = found.withColumn("_minute", F.date_trunc("minute", "datetime"))
-    counts = timed.groupBy("_minute").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per minute of the time range, so the single-partition window stays small
-    upto = counts.withColumn("_upto", F.sum("_n").over(W.orderBy("_minute")))
-    hit = upto.where((F.col("_upto") > offset) & (F.col("_upto") - F.col("_n") < offset + limit))
-    within = F.row_number().over(W.partitionBy("_minute").orderBy(*_order()))
-    placed = timed.join(hit, "_minute").withColumn("_rank", F.col("_upto") - F.col("_n") + within)
-    kept = placed.where((F.col("_rank") > offset) & (F.col("_rank") <= offset + limit))
-    return kept.orderBy("_rank").select(*found.columns)
+    rows = found
+    for step in _STEPS:
+        slot = F.call_function("div", F.unix_micros("datetime"), F.lit(step))
+        counts = rows.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+        # one row per time step, so the single-partition window stays small
+        upto = counts.withColumn("upto", F.sum("n").over(W.orderBy("slot")))
+        hit = upto.where((F.col("upto") > offset) & (F.col("upto") - F.col("n") < offset + limit))
+        first, last, before = hit.agg(F.min("slot"), F.max("slot"), F.min(F.col("upto") - F.col("n"))).first()
+        if first is None:
+            return found.limit(0)
+        offset -= before
+        start, end = (F.timestamp_micros(F.lit(n * step)) for n in (first, last + 1))
+        rows = rows.where((F.col("datetime") >= start) & (F.col("datetime") < end))
+        if "date" in rows.columns:
+            rows = rows.where((F.col("date") >= F.to_date(start)) & (F.col("date") <= F.to_date(end)))
+    return rows.orderBy(*_order()).offset(offset).limit(limit)
 
 
 def search(
@@ -104,7 +117,11 @@ def search(
     """A page of search results, each row with the ``total`` of all pages."""
     grouping = 1 if grouping is None else grouping
     limit, offset = page_bounds(rows, page)
-    result = result_columns(take_page(matches(capture, grouping, **fields), limit, offset))
+    found = matches(capture, grouping, **fields)
+    if str(grouping) != "0" and offset + limit > HEAP_ROWS:
+        # a deep page looks at the groups several times
+        found = keep(found, "groups")
+    result = result_columns(take_page(found, limit, offset))
     if with_total:
         result = result.withColumn("total", total(capture, grouping, **fields).scalar())
     return result

@@ -11,11 +11,13 @@ from dialtrace.registry.headers import parsed
 @query("ipv4_number", oracle.on("capture", "SELECT id, source_ip AS source, CAST(NULL AS BIGINT) AS overflow, CAST(NULL AS BIGINT) AS words FROM capture"))
 def ipv4_number(spark, sf_dir):
     """Dotted text back to numbers; an octet too large and other text give NULL."""
-    dotted = net.ip_text(F.col("source_ip"))
-    return inputs.capture(spark, sf_dir).select(
+    rows = inputs.capture(spark, sf_dir).select(
+        "id", "request_method", net.ip_text(F.col("source_ip")).alias("dotted")
+    )
+    return rows.select(
         "id",
-        net.ip_number(dotted).alias("source"),
-        net.ip_number(F.regexp_replace(dotted, "^[0-9]+", "256")).alias("overflow"),
+        net.ip_number(F.col("dotted")).alias("source"),
+        net.ip_number(F.regexp_replace("dotted", "^[0-9]+", "256")).alias("overflow"),
         net.ip_number(F.coalesce("request_method", F.lit("response"))).alias("words"),
     )
 

@@ -15,6 +15,19 @@ def test_deep_pages_equal_shallow_pages(spark, capture, monkeypatch, grouping):
         assert [r["id"] for r in page.collect()] == everything[offset : offset + limit]
 
 
+def test_deep_grouped_search(spark, capture, monkeypatch):
+    shallow = search.search(capture, rows=20, page=4).collect()
+    monkeypatch.setattr(search, "HEAP_ROWS", 0)
+    assert search.search(capture, rows=20, page=4).collect() == shallow
+
+
+def test_deep_page_inside_one_second(spark, monkeypatch):
+    monkeypatch.setattr(search, "HEAP_ROWS", 0)
+    df = make.capture(spark, [make.message(i, 5 + (i % 7) * 0.01, str(i)) for i in range(100)])
+    expected = [r["id"] for r in df.orderBy("datetime", "id").collect()][40:60]
+    assert [r["id"] for r in search.take_page(search.matches(df, 0), 20, 40).collect()] == expected
+
+
 def test_defaults(spark, capture):
     first = search.search(capture).collect()
     assert len(first) == 10
