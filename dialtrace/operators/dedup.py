@@ -8,11 +8,11 @@ from dialtrace.operators.ranking import first_per
 
 
 def without_retransmissions(capture: DataFrame, null_collapses: bool = False) -> DataFrame:
-    """Earliest row per checksum.
+    """Earliest row per checksum, with the checksum as ``chsumm``.
 
-    Only the key columns travel through the ranking; the caller's columns are
-    those of ``capture`` plus ``chsumm``. With ``null_collapses`` all rows with a
-    missing part count as copies of one another.
+    Copies meet only after each task has cut its own to one, so many copies of one
+    message are no hot spot. With ``null_collapses`` all rows with a missing part
+    count as copies of one another.
     """
     hashed = capture.withColumn("chsumm", message_checksum(null_collapses))
     return first_per(hashed, ["chsumm"], [F.col("datetime"), F.col("id")])

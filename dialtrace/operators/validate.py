@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from dialtrace.functions.text import all_digits, digits_exceed
 from dialtrace.operators.headers import last_via
 
-# fixed values
+# fixed values: limits, reasons and report forms
 MAX_CSEQ = 4294967295
 MAX_FORWARDS = 255
 DENIED_AGENTS = ["friendly-scanner"]
@@ -20,6 +20,9 @@ CSEQ_RANGE = "the CSeq sequence number is >2**32-1"
 NO_CSEQ_METHOD = "required headers 'CSeq method' is None or empty"
 EMPTY_MAX_FORWARDS = "required headers 'Max-Forwards' is empty"
 MAX_FORWARDS_RANGE = "Max-Forwards header value is >255"
+REASON_SEPARATOR = " |\n"
+REPORT = "\n\n\nMALFORMED REASON:\n%s \n\nRAW PACKET:\n%s"
+FLAT_REPORT = "Malformed reason: %s \nData: \n%s"
 FLAT_INVALID_UTF8 = " include non UTF8 symbols in payload_data |"
 FLAT_NO_HEADER = " required headers is None or empty |"
 FLAT_EMPTY_AGENT = " user agent defined but empty |"
@@ -57,10 +60,6 @@ def rejected(packets: DataFrame) -> DataFrame:
     return packets.withColumn("reason", reject_reason()).where(F.col("reason").isNotNull())
 
 
-# fixed value: separator of the reasons in a report
-REASON_SEPARATOR = " |\n"
-
-
 def malformed_reasons() -> Column:
     """Violated rules of a parsed message as joined text, empty for a good one.
 
@@ -94,10 +93,7 @@ def reason_list(reasons: Column) -> Column:
 
 def malformed_report(reasons: Column, pkt_hex: Column) -> Column:
     """Text that is stored behind a malformed message; NULL for a good one."""
-    return F.when(
-        reasons != "",
-        F.concat(F.lit("\n\n\nMALFORMED REASON:\n"), reasons, F.lit(" \n\nRAW PACKET:\n"), pkt_hex),
-    )
+    return F.when(reasons != "", F.format_string(REPORT, reasons, pkt_hex))
 
 
 def with_malformed(parsed: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,9 +16,11 @@ from dialtrace.operators.correlate import call_pairs, call_sessions, pair_sessio
 from dialtrace.operators.ranking import first_per, top_distinct_per, top_per
 from dialtrace.session import keep
 
-# fixed values
+# fixed values: limit, marker and text forms
 FLOW_LIMIT = 1000
 LIMIT_MARKER = "=== Limit reached ==="
+FLOW_LINE = "%s %s %s  [label = '%s', note = '%s', color = '%s' ]; \n"
+RENDERED = "DateTime: {time}\nSRC/DST IP: {source} -> {destination}\n\n{msg}"
 
 ORDER = ["datetime", "id"]
 
@@ -27,16 +31,14 @@ def _order() -> list[Column]:
 
 def rendered_message() -> Column:
     """Message text below its time and endpoints; NULL if any part is missing."""
-    return F.concat(
-        F.lit("DateTime: "),
-        microsecond_text(F.col("datetime")),
-        F.lit("\nSRC/DST IP: "),
-        endpoint(F.col("source_ip"), F.col("source_port")),
-        F.lit(" -> "),
-        endpoint(F.col("destination_ip"), F.col("destination_port")),
-        F.lit("\n\n"),
-        F.col("msg"),
-    )
+    parts = {
+        "{time}": microsecond_text(F.col("datetime")),
+        "{source}": endpoint(F.col("source_ip"), F.col("source_port")),
+        "{destination}": endpoint(F.col("destination_ip"), F.col("destination_port")),
+        "{msg}": F.col("msg"),
+    }
+    pieces = re.split(r"(\{\w+\})", RENDERED)
+    return F.concat(*[parts[piece] if piece in parts else F.lit(piece) for piece in pieces])
 
 
 def message(capture: DataFrame, message_id: int) -> DataFrame:
@@ -184,12 +186,9 @@ def label_code(label: Column) -> Column:
 def flow_line() -> Column:
     """One line of the flow text."""
     code = label_code(F.col("label"))
-    return F.concat(
-        F.col("source_ip"), F.lit(" "), status_arrow(code), F.lit(" "), F.col("destination_ip"),
-        F.lit("  [label = '"), F.col("label"),
-        F.lit("', note = '"), F.col("note"),
-        F.lit("', color = '"), status_colour(code), F.lit("' ]; \n"),
-    )
+    return F.format_string(
+        FLOW_LINE, "source_ip", status_arrow(code), "destination_ip", "label", "note", status_colour(code)
+    )
 
 
 def flow_texts(flow: DataFrame) -> DataFrame:

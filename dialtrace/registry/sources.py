@@ -6,7 +6,7 @@ from dialtrace import schemas
 from dialtrace.operators import counters
 from dialtrace.operators.headers import parse, with_headers
 from dialtrace.operators.validate import accepted, with_malformed
-from dialtrace.plans.ingest import capture_rows
+from dialtrace.plans.ingest import capture_rows, to_capture, to_sdp
 from dialtrace.registry import inputs, oracle
 from dialtrace.registry.base import query
 from dialtrace.registry.headers import decoded, parsed
@@ -152,7 +152,10 @@ def flat_envelope_encode(spark, sf_dir):
 
 @query("capture_append", oracle.on("capture", "SELECT *, CAST(datetime AS DATE) AS date FROM capture"))
 def capture_append(spark, sf_dir):
-    return inputs.capture(spark, sf_dir)
+    """Parse, validate and store all packets, then read the table back."""
+    path = work_dir(spark, "appended")
+    tables.append_capture(to_capture(inputs.packets(spark, sf_dir)), path)
+    return tables.read_capture(spark, path)
 
 
 @query(
@@ -160,7 +163,9 @@ def capture_append(spark, sf_dir):
     oracle.on("sdp", "SELECT s.id, s.codec, CAST(c.datetime AS DATE) AS date FROM sdp s JOIN capture c ON c.id = s.id"),
 )
 def sdp_append(spark, sf_dir):
-    return inputs.sdp(spark, sf_dir)
+    path = work_dir(spark, "appended-sdp")
+    tables.append_sdp(to_sdp(inputs.packets(spark, sf_dir)), path)
+    return tables.read_sdp(spark, path)
 
 
 @query(

@@ -7,7 +7,7 @@ from dialtrace import schemas
 from dialtrace.functions.text import all_digits, empty_to_null, payload_bytes, printable
 from dialtrace.functions.time import ns_to_seconds_text
 from dialtrace.operators.headers import header_block, last_via, sdp_codecs
-from dialtrace.operators.validate import flat_malformed_reasons
+from dialtrace.operators.validate import FLAT_REPORT, flat_malformed_reasons
 
 
 # fixed value: timestamp, source, target and payload of a delimited line
@@ -158,10 +158,7 @@ def encode_flat_envelope(parsed: DataFrame) -> DataFrame:
         ns_to_seconds_text(F.col("timestamp_ns")).alias("micro_ts"),
         printable(text).alias("msg"),
     )
-    report = F.when(
-        F.col("reasons") != "",
-        F.concat(F.lit("Malformed reason: "), F.col("reasons"), F.lit(" \nData: \n"), F.col("pkt_hex")),
-    )
+    report = F.when(F.col("reasons") != "", F.format_string(FLAT_REPORT, "reasons", "pkt_hex"))
     return (
         parsed.withColumn("reasons", reasons)
         .select("pkt_id", data.alias("data"), report.alias("malformed_data"))

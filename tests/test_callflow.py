@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from dialtrace.operators import correlate
 from dialtrace.operators.dedup import without_retransmissions
 from dialtrace.plans import callflow
+from dialtrace.session import keep
 from tests import make
 
 
@@ -74,7 +75,7 @@ def literal_flow(rows, session_keys):
 @pytest.fixture(scope="module")
 def hot(spark):
     rows = hot_rows()
-    return rows, make.capture(spark, rows).persist()
+    return rows, keep(make.capture(spark, rows), "hot")
 
 
 def test_hot_flow_is_cut_exactly(spark, hot):
