@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialtrace.llm.common import whole_text
@@ -20,8 +20,8 @@ SIMILAR = 80
 #: Cells of the frequency sketch, bits of a filter: what is broadcast, whatever the input.
 SKETCH = 1 << 20
 FILTER = 1 << 25
-#: Parts of the hash range whose sizes the suffix filter compares.
-PARTS = 16
+#: Parts of the shingles whose sizes the suffix filter compares, as words of 64 bits.
+PARTS = 16 * 64
 #: Bytes of text that are hashed at once.
 CHUNK = 4_000_000
 
@@ -129,11 +129,12 @@ def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n, node, prefix, sizes of every document.
+    """doc_id, n, node, prefix, odd of every document.
 
     ``node`` is a hash of the shingle set, so documents of equal sets are one node;
     ``prefix`` has its rarest shingles by the sketch, as many as a partner must share one
-    of; ``sizes`` counts its shingles by their first bits.
+    of; ``odd`` has a bit for each part of the shingles, by their first bits, that holds
+    an odd number of them.
     """
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
 
@@ -144,14 +145,15 @@ def prefixes(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
                 n = len(one)
                 if n:
                     order = np.lexsort((one, shared.value[one & np.uint64(SKETCH - 1)]))[: n - (SIMILAR * n + 99) // 100 + 1]
-                    sizes = np.bincount((one >> np.uint64(60)).astype(np.int64), minlength=PARTS)
-                    out.append((doc_id, n, np.uint64(xxhash.xxh3_64_intdigest(one.tobytes())).astype(np.int64), one[order].view(np.int64), sizes))
+                    odd = np.bincount((one >> np.uint64(54)).astype(np.int64), minlength=PARTS) & 1
+                    bits = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+                    out.append((doc_id, n, np.uint64(xxhash.xxh3_64_intdigest(one.tobytes())).astype(np.int64), one[order].view(np.int64), bits))
                 else:
                     out.append((doc_id, 0, None, [], []))
-            frame = pd.DataFrame(out, columns=["doc_id", "n", "node", "prefix", "sizes"])
+            frame = pd.DataFrame(out, columns=["doc_id", "n", "node", "prefix", "odd"])
             yield frame.assign(doc_id=pd.array(batch["doc_id"].astype("Int64")), node=pd.array([None if x[2] is None else int(x[2]) for x in out], dtype="Int64"))
 
-    return texts.mapInPandas(work, "doc_id BIGINT, n INT, node BIGINT, prefix ARRAY<BIGINT>, sizes ARRAY<INT>")
+    return texts.mapInPandas(work, "doc_id BIGINT, n INT, node BIGINT, prefix ARRAY<BIGINT>, odd ARRAY<BIGINT>")
 
 
 def shared_rows(docs: DataFrame) -> DataFrame:
@@ -205,24 +207,37 @@ def sets_of(texts: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return keep(keyed.mapInPandas(work, "node BIGINT, shingles ARRAY<BIGINT>"), "sets")
 
 
-def links_of(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, each compared once: first by sizes, then by their sets.
+def may_link(na: str, nb: str, odd_a: str, odd_b: str) -> Column:
+    """Length and suffix filter of two sets.
 
-    Suffix filter: the sets' parts by hash range differ in size at least as much as the
-    sets differ, which bounds what they can share.
+    Length: the smaller one has the needed share of the larger one. Suffix: a part whose
+    size is odd in one set and even in the other holds a shingle of one of them alone,
+    so such parts bound the difference from below and what the sets share from above.
     """
-    info = nodes.select("node", "n", "sizes")
-    sized = pairs.join(info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sizes").alias("sa")), "a")
-    sized = sized.join(info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sizes").alias("sb")), "b")
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    both = F.col("na") + F.col("nb")
-    may = sized.where((100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")) & ((100 + SIMILAR) * ((both - differ) / 2) >= SIMILAR * both))
-    may = keep(may.select("a", "b", "na", "nb"), "candidates")
-    full = may.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b"
+    differ = F.aggregate(F.zip_with(odd_a, odd_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = F.col(na) + F.col(nb)
+    return (100 * F.least(na, nb) >= SIMILAR * F.greatest(na, nb)) & ((100 + SIMILAR) * (both - differ) >= 2 * SIMILAR * both)
+
+
+def links_of(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, each compared once: first by lengths and parts, then by their sets."""
+    info = nodes.select("node", "n", "odd")
+    sized = pairs.join(info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
+    sized = sized.join(info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
+    may = keep(sized.where(may_link("na", "nb", "oa", "ob")).select("a", "b", "na", "nb"), "candidates")
+    bits = pairs.sparkSession.sparkContext.broadcast(bit_filter(may.select(F.explode(F.array("a", "b")).alias("key"))))
+
+    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[passes(bits.value, batch["node"].to_numpy(np.int64))]
+
+    # only the sets of candidates are shuffled
+    some = sets.mapInPandas(needed, sets.schema)
+    full = may.join(some.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(
+        some.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b"
     )
     common = F.size(F.array_intersect("xa", "xb"))
-    return keep(full.where((100 + SIMILAR) * common >= SIMILAR * both).select("a", "b").distinct(), "links")
+    return keep(full.where((100 + SIMILAR) * common >= SIMILAR * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "links")
 
 
 def star_round(shared: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -233,29 +248,28 @@ def star_round(shared: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFram
 
 
 def with_component(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """The shared rows with their node's component, of shingles that several components have, and two nodes of those."""
+    """The shared rows with their node's component, of shingles that several components have."""
     named = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ends = [F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("node", "component").alias("low"), F.max_by("node", "component").alias("high")]
-    open_ones = named.groupBy("shingle").agg(*ends).where("least <> most").select("shingle", "low", "high")
+    open_ones = named.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("shingle")
     return named.join(open_ones, "shingle")
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a prefix shingle and pass length and place.
+def cross_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a prefix shingle and pass all filters.
 
-    a is the smaller set. Length: b has at most n / similarity shingles. Place: both
-    prefixes are in one order, so what two sets share lies at or behind their first common
-    shingle, and what is left there must be enough.
+    a is the smaller set, so it shares one of even fewer of its rarest shingles. Place:
+    both prefixes are in one order, so what two sets share lies at or behind their first
+    common shingle, and what is left there must be enough. The filters are part of the
+    join's condition: pairs that fail one are not made.
     """
-    left = rows.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca"))
-    right = rows.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-    # a row can only have partners up to a size that falls with its place; rows that have none go first
+    rows = keep(rows.join(nodes.select("node", "odd"), "node").select("shingle", "node", "n", "place", "component", "odd"), "cross")
+    left = rows.select("shingle", *[F.col(c).alias(x) for c, x in (("node", "a"), ("n", "na"), ("place", "pa"), ("component", "ca"), ("odd", "oa"))])
+    right = rows.select("shingle", *[F.col(c).alias(x) for c, x in (("node", "b"), ("n", "nb"), ("place", "pb"), ("component", "cb"), ("odd", "ob"))])
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     enough = (100 + SIMILAR) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= SIMILAR * (F.col("na") + F.col("nb"))
-    # the smaller set of a pair shares a shingle among so few of its rarest
-    first = left.where((100 + SIMILAR) * (F.col("na") - F.col("pa")) >= 2 * SIMILAR * F.col("na"))
-    pairs = first.join(right, "shingle").where(ordered & (F.col("ca") != F.col("cb")) & (100 * F.col("na") >= SIMILAR * F.col("nb")) & enough)
-    return keep(pairs.select("a", "b").distinct(), "pairs")
+    first = left.where((100 + SIMILAR) * (F.col("na") - F.col("pa")) >= 2 * SIMILAR * F.col("na")).withColumnRenamed("shingle", "same")
+    test = (F.col("same") == F.col("shingle")) & (F.col("ca") != F.col("cb")) & ordered & enough & may_link("na", "nb", "oa", "ob")
+    return keep(first.join(right, test).select("a", "b").distinct(), "pairs")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -277,20 +291,12 @@ def near_components(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     found = keep(prefixes(texts, frequency_sketch(texts)), "prefixes")
-    nodes = found.where("n > 0").select("node", "n", "sizes", "doc_id")
+    nodes = found.where("n > 0").select("node", "n", "odd", "doc_id")
     shared = shared_rows(found)
     sets = sets_of(texts, nodes, shared.select("node"))
-    unique = keep(nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("sizes").alias("sizes"), F.min("doc_id").alias("least_id")), "nodes")
+    unique = keep(nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("odd").alias("odd"), F.min("doc_id").alias("least_id")), "nodes")
     links = star_round(shared, unique, sets)
-    for side in ("low", "high"):
-        # the shingles that are still open get a hub of another component
-        labels = components(links)
-        still = keep(with_component(shared, labels), "open")
-        other = still.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")).distinct()
-        again = still.select("shingle", "node", "component", F.col(side).alias("hub")).join(other, "hub").where("component <> hub_component")
-        links = links.unionByName(star_round(again, unique, sets)).distinct()
-    labels = components(links)
-    last = links_of(cross_pairs(with_component(shared, labels)), unique, sets)
+    last = links_of(cross_pairs(with_component(shared, components(links)), unique), unique, sets)
     labels = components(links.unionByName(last))
     named = keep(unique.join(labels, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
