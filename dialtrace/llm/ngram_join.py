@@ -22,6 +22,8 @@ SKETCH = 1 << 20
 FILTER = 1 << 25
 #: Parts of the shingles whose sizes the suffix filter compares, as words of 64 bits.
 PARTS = 16 * 64
+#: Rounds of links to hubs before the pairs of what is still apart are made.
+HUB_ROUNDS = 3
 #: Bytes of text that are hashed at once.
 CHUNK = 4_000_000
 
@@ -157,7 +159,7 @@ def prefixes(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
 
 
 def shared_rows(docs: DataFrame) -> DataFrame:
-    """shingle, node, n, place, hub: the prefix shingles that several nodes have.
+    """shingle, node, n, place: the prefix shingles that several nodes have.
 
     Most prefix shingles are of one node. A filter of those of several, whose size is
     fixed, spares their rows the shuffle; what passes too much goes in the join.
@@ -165,7 +167,7 @@ def shared_rows(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.where("n > 0").select("node", F.explode("prefix").alias("shingle"))
     several = keep(
-        rows.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("shingle", "hub"), "several"
+        rows.groupBy("shingle").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one <> other").select("shingle"), "several"
     )
     bits = spark.sparkContext.broadcast(bit_filter(several.select(F.col("shingle").alias("key"))))
 
@@ -219,12 +221,9 @@ def may_link(na: str, nb: str, odd_a: str, odd_b: str) -> Column:
     return (100 * F.least(na, nb) >= SIMILAR * F.greatest(na, nb)) & ((100 + SIMILAR) * (both - differ) >= 2 * SIMILAR * both)
 
 
-def links_of(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, each compared once: first by lengths and parts, then by their sets."""
-    info = nodes.select("node", "n", "odd")
-    sized = pairs.join(info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
-    sized = sized.join(info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
-    may = keep(sized.where(may_link("na", "nb", "oa", "ob")).select("a", "b", "na", "nb"), "candidates")
+def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the filtered pairs (a, b) that link by their sets, each compared once."""
+    may = keep(pairs.select("a", "b"), "candidates")
     bits = pairs.sparkSession.sparkContext.broadcast(bit_filter(may.select(F.explode(F.array("a", "b")).alias("key"))))
 
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,14 +236,25 @@ def links_of(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
         some.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b"
     )
     common = F.size(F.array_intersect("xa", "xb"))
-    return keep(full.where((100 + SIMILAR) * common >= SIMILAR * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "links")
+    return keep(full.where((100 + SIMILAR) * common >= SIMILAR * (F.size("xa") + F.size("xb"))).select("a", "b").distinct(), "links")
+
 
+def star_round(rows: DataFrame, nodes: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+    """Links of each node to one hub of another component.
 
-def star_round(shared: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of each node to the hub with which it shares most prefix shingles: one pair a node."""
-    hubs = shared.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
-    pairs = hubs.groupBy("node").agg(F.max_by("hub", "c").alias("b")).select(F.col("node").alias("a"), "b")
-    return links_of(pairs, nodes, sets)
+    Every shingle names a few of its nodes as hubs. Of the hubs that a node's shingles
+    name and that pass the filters, it is compared to the one that most of them name.
+    """
+    dealt = F.xxhash64(F.lit(turn), "node")
+    hubs = rows.groupBy("shingle").agg(F.min_by("node", "component"), F.max_by("node", "component"), F.min_by("node", dealt), F.max_by("node", dealt))
+    named = hubs.select("shingle", F.explode(F.array_distinct(F.array(*hubs.columns[1:]))).alias("hub"))
+    of_hub = rows.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")).distinct()
+    met = rows.join(named, "shingle").groupBy("node", "component", "hub").agg(F.count(F.lit(1)).alias("c"))
+    info = nodes.select("node", "n", "odd")
+    sized = met.join(of_hub, "hub").where("component <> hub_component").join(info.select("node", F.col("n").alias("na"), F.col("odd").alias("oa")), "node")
+    sized = sized.join(info.select(F.col("node").alias("hub"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "hub").where(may_link("na", "nb", "oa", "ob"))
+    best = sized.groupBy("node").agg(F.max_by("hub", "c").alias("b"))
+    return links_of(best.select(F.col("node").alias("a"), "b"), sets)
 
 
 def with_component(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -295,8 +305,11 @@ def near_components(docs: DataFrame) -> DataFrame:
     shared = shared_rows(found)
     sets = sets_of(texts, nodes, shared.select("node"))
     unique = keep(nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("odd").alias("odd"), F.min("doc_id").alias("least_id")), "nodes")
-    links = star_round(shared, unique, sets)
-    last = links_of(cross_pairs(with_component(shared, components(links)), unique), unique, sets)
+    links = star_round(shared.withColumn("component", F.col("node")), unique, sets, 0)
+    for turn in range(1, HUB_ROUNDS):
+        still = keep(with_component(shared, components(links)), "open")
+        links = links.unionByName(star_round(still, unique, sets, turn)).distinct()
+    last = links_of(cross_pairs(with_component(shared, components(links)), unique), sets)
     labels = components(links.unionByName(last))
     named = keep(unique.join(labels, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
