@@ -46,11 +46,39 @@ def stream_rate_limit(spark, sf_dir):
     return tables.read_capture(spark, path).agg(F.count(F.lit(1)).alias("stored"), F.sum("malformed").alias("malformed"))
 
 
+def _counted(spark, name, packets):
+    path = _run(spark, name, lambda out, state: stream_metrics.write_partials(packets, stream_metrics.second_counters, out, state))
+    return stream_metrics.read_counters(spark, path)
+
+
+def _newest_first(spark, sf_dir):
+    """The packets as four files that arrive in reverse order of time, one in each micro-batch."""
+
+    def write(path):
+        ordered = inputs.packets(spark, sf_dir)
+        cuts = ordered.select(F.percentile_approx("timestamp_ns", [0.25, 0.5, 0.75]).alias("cuts")).first()["cuts"]
+        for low, high in reversed(list(zip([0, *cuts], [*cuts, 2**63 - 1], strict=True))):
+            ordered.where((F.col("timestamp_ns") >= low) & (F.col("timestamp_ns") < high)).coalesce(1).write.mode("append").parquet(path)
+
+    return tables.stream_packets(spark, inputs.stored(spark, sf_dir, "newest-first", write), 1)
+
+
+@query("stream_late_counters", oracle.on("packets", "SELECT ts, sensor, packets, bytes FROM seconds", SECONDS))
+def stream_late_counters(spark, sf_dir):
+    return _counted(spark, "stream-late-seconds", _newest_first(spark, sf_dir))
+
+
+@query(
+    "stream_late_dedup",
+    oracle.on("capture", f'SELECT DISTINCT {CHECKSUM} AS chsumm, "from" AS from_user, callid, msg FROM capture'),
+)
+def stream_late_dedup(spark, sf_dir):
+    return _deduplicated(spark, "stream-late-dedup", _newest_first(spark, sf_dir))
+
+
 @query("stream_second_counters", oracle.on("packets", "SELECT ts, sensor, packets, bytes FROM seconds", SECONDS))
 def stream_second_counters(spark, sf_dir):
-    counted = stream_metrics.second_counters(_packets(spark, sf_dir))
-    path = _run(spark, "stream-seconds", lambda out, state: stream_metrics.write_updates(counted, out, state))
-    return stream_metrics.read_updates(spark, path, ["ts", "sensor"])
+    return _counted(spark, "stream-seconds", _packets(spark, sf_dir))
 
 
 @query(
@@ -59,9 +87,8 @@ def stream_second_counters(spark, sf_dir):
 )
 def stream_gauge_flush(spark, sf_dir):
     gauges = spark.readStream.schema(schemas.METRIC).parquet(metric_path(spark, sf_dir))
-    flushed = stream_metrics.last_gauges(gauges)
-    path = _run(spark, "stream-gauges", lambda out, state: stream_metrics.write_updates(flushed, out, state))
-    return stream_metrics.read_updates(spark, path, ["ts", "metric", "sensor"])
+    path = _run(spark, "stream-gauges", lambda out, state: stream_metrics.write_partials(gauges, stream_metrics.last_gauges, out, state))
+    return stream_metrics.read_gauges(spark, path)
 
 
 @query(
@@ -71,10 +98,13 @@ def stream_gauge_flush(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     """Which copy stays depends on arrival, so only what the copies share is shown."""
 
-    packets = _packets(spark, sf_dir)
-    path = _run(spark, "stream-dedup", lambda out, state: stream.ingest_deduplicated(packets, out, state))
-    rows = spark.read.schema(f"{schemas.CAPTURE}, chsumm STRING").parquet(path)
-    return rows.select("chsumm", F.col("`from`").alias("from_user"), "callid", "msg")
+    return _deduplicated(spark, "stream-dedup", _packets(spark, sf_dir))
+
+
+def _deduplicated(spark, name, packets):
+    path = _run(spark, name, lambda out, state: stream.ingest_deduplicated(packets, out, state))
+    rows = spark.read.schema(f"{schemas.CAPTURE}, chsumm STRING, date DATE").parquet(path)
+    return rows.where("date IS NOT NULL").select("chsumm", F.col("`from`").alias("from_user"), "callid", "msg")
 
 
 @query(

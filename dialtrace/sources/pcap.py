@@ -21,6 +21,8 @@ MAGIC_MICRO = 0xA1B2C3D4
 MAGIC_NANO = 0xA1B23C4D
 VERSION = (2, 4)
 SNAPLEN = 16384
+# no record is longer than this in a sound file; the header's length is only what was asked for
+MOST_RECORD = 1 << 20
 LINKTYPE_ETHERNET = 1
 FILE_HEADER = 24
 RECORD_HEADER = 16
@@ -84,7 +86,7 @@ def ethernet_frame() -> Column:
 
 
 def savefile_records(packets: DataFrame) -> DataFrame:
-    """One binary savefile record per packet, long frames cut to the snapshot length."""
+    """One binary savefile record per packet, with its whole frame."""
     framed = packets.withColumn("frame", ethernet_frame()).withColumn(
         "size", F.call_function("div", F.length("frame"), F.lit(2))
     )
@@ -92,9 +94,9 @@ def savefile_records(packets: DataFrame) -> DataFrame:
     record = F.concat(
         _little_endian(second),
         _little_endian(F.col("timestamp_ns") % 1000000000),
-        _little_endian(F.least("size", F.lit(SNAPLEN))),
         _little_endian(F.col("size")),
-        F.substring("frame", 1, SNAPLEN * 2),
+        _little_endian(F.col("size")),
+        F.col("frame"),
     )
     return framed.select(F.unhex(record).alias("record"))
 
@@ -176,7 +178,11 @@ def _layout(header: bytes) -> tuple[str, bool]:
 
 
 def _index(split_bytes: int):
-    """Finds record boundaries: one row per run of records of about ``split_bytes``."""
+    """Finds record boundaries: one row per run of records of about ``split_bytes``.
+
+    What cannot be read gives a row with a reason: a file of another kind or link type,
+    and the bytes from a record on that is cut or has an impossible length.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -184,19 +190,30 @@ def _index(split_bytes: int):
                 rows = []
                 fs, inner = _open_fs(_local_uri(path))
                 with fs.open_input_stream(inner, buffer_size=1 << 20) as source:
-                    order, nano = _layout(source.read(FILE_HEADER))
-                    start = position = FILE_HEADER
-                    while len(header := source.read(RECORD_HEADER)) == RECORD_HEADER:
-                        kept = struct.unpack(f"{order}I", header[8:12])[0]
-                        if len(source.read(kept)) < kept:
-                            break
-                        position += RECORD_HEADER + kept
+                    head = source.read(FILE_HEADER)
+                    try:
+                        order, nano = _layout(head)
+                        link = struct.unpack(f"{order}I", head[20:24])[0] & 0xFFFF
+                        reason = None if link == LINKTYPE_ETHERNET else f"link type {link}"
+                    except (ValueError, struct.error):
+                        order, nano, reason = "<", False, "not a capture savefile"
+                    start = position = FILE_HEADER if reason is None else 0
+                    while reason is None and (header := source.read(RECORD_HEADER)):
+                        kept = struct.unpack(f"{order}I", header[8:12])[0] if len(header) == RECORD_HEADER else 0
+                        if kept > MOST_RECORD:
+                            reason = "impossible record length"
+                        elif len(header) < RECORD_HEADER or len(source.read(kept)) < kept:
+                            reason = "cut record"
+                        else:
+                            position += RECORD_HEADER + kept
                         if position - start >= split_bytes:
-                            rows.append((path, start, position, order, nano))
+                            rows.append((path, start, position, order, nano, None))
                             start = position
                     if position > start:
-                        rows.append((path, start, position, order, nano))
-                yield pd.DataFrame(rows, columns=["path", "start", "end", "byte_order", "nano"])
+                        rows.append((path, start, position, order, nano, None))
+                    if reason is not None:
+                        rows.append((path, position, None, order, nano, reason))
+                yield pd.DataFrame(rows, columns=["path", "start", "end", "byte_order", "nano", "reason"]).astype({"end": "Int64"})
 
     return run
 
@@ -264,14 +281,23 @@ def packet_columns(frames: DataFrame) -> DataFrame:
     )
 
 
+def _runs(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.mapInPandas(_index(split_bytes), "path string, start long, end long, byte_order string, nano boolean, reason string")
+
+
 def read_savefiles(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
-    """PACKET rows, without an id, of the savefiles in a folder.
+    """PACKET rows, without an id, of the savefiles in a folder, whatever their names.
 
     A first pass reads record headers only as far as memory goes and cuts each file
     into runs; the runs are spread over the cluster and decoded. So a single large
-    file is decoded by many tasks.
+    file is decoded by many tasks. ``savefile_rejects`` lists what cannot be read.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").load(path).select("path")
-    runs = files.mapInPandas(_index(split_bytes), "path string, start long, end long, byte_order string, nano boolean")
+    runs = _runs(spark, path, split_bytes).where("reason IS NULL").drop("reason")
     spread = runs.repartition(spark.sparkContext.defaultParallelism, "path", "start")
     return packet_columns(spread.mapInPandas(_decode, "timestamp_ns long, len long, frame binary"))
+
+
+def savefile_rejects(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """path, offset and reason of each part of the files that ``read_savefiles`` cannot read."""
+    return _runs(spark, path, split_bytes).where("reason IS NOT NULL").select("path", F.col("start").alias("offset"), "reason")

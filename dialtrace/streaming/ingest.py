@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dialtrace.functions.hashing import message_checksum
+from dialtrace.operators.ranking import first_per
 from dialtrace.plans.ingest import to_capture
 
-# how late a row may be: the table keeps one day
-HORIZON = "1 day"
-
-
 def _start(writer, path: str, checkpoint: str) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
@@ -28,11 +25,27 @@ def publish(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return _start(messages.select("value").writeStream.format("text").outputMode("append"), path, checkpoint)
 
 
-def deduplicate(capture: DataFrame) -> DataFrame:
-    """Drops retransmissions that arrive within the horizon of the first copy."""
-    hashed = capture.withColumn("chsumm", message_checksum())
-    return hashed.withWatermark("datetime", HORIZON).dropDuplicatesWithinWatermark(["chsumm"])
-
-
 def ingest_deduplicated(packets: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return _start(deduplicate(to_capture(packets)).writeStream.format("parquet").outputMode("append"), path, checkpoint)
+    """Stores one capture row per checksum, whatever the order and lateness of its copies.
+
+    A micro-batch is reduced to the first row of each checksum and held against the
+    checksums stored so far, of which only that column is read. Rows go below
+    ``path/epoch=N/date=D``; a batch that is run again replaces its own folder and is
+    not held against it, so a restart neither loses nor repeats a row.
+    """
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = first_per(batch.withColumn("chsumm", message_checksum()), ["chsumm"], [F.col("datetime"), F.col("id")])
+        if epoch:
+            stored = spark.read.schema("chsumm STRING, epoch INT").option("basePath", path).parquet(path)
+            rows = rows.join(stored.where(F.col("epoch") < epoch).select("chsumm").distinct(), "chsumm", "left_anti")
+        rows.withColumn("date", F.to_date("datetime")).write.mode("overwrite").partitionBy("date").parquet(f"{path}/epoch={epoch}")
+
+    return (
+        to_capture(packets)
+        .writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -2,66 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dialtrace.functions.time import ns_to_timestamp
 from dialtrace.operators.counters import FRAMING_BYTES, channel
-from dialtrace.streaming.ingest import HORIZON
 
 
 def second_counters(packets: DataFrame) -> DataFrame:
-    """Packets and bytes per second and channel; late packets count for one day."""
+    """Packets and bytes per second and channel of the given packets."""
     timed = packets.select(
-        ns_to_timestamp(F.col("timestamp_ns")).alias("ts"), channel().alias("sensor"), F.col("len")
+        F.date_trunc("second", ns_to_timestamp(F.col("timestamp_ns"))).alias("ts"), channel().alias("sensor"), F.col("len")
     )
-    return (
-        timed.withWatermark("ts", HORIZON)
-        .groupBy(F.window("ts", "1 second").alias("w"), "sensor")
-        .agg(
-            F.count(F.lit(1)).alias("packets"),
-            F.sum(F.col("len") + FRAMING_BYTES).cast("bigint").alias("bytes"),
-        )
-        .select(F.col("w.start").alias("ts"), "sensor", "packets", "bytes")
+    return timed.groupBy("ts", "sensor").agg(
+        F.count(F.lit(1)).alias("packets"),
+        F.sum(F.col("len") + FRAMING_BYTES).cast("bigint").alias("bytes"),
     )
 
 
 def last_gauges(metrics: DataFrame, interval: str = "60 seconds") -> DataFrame:
-    """Last value of each gauge per interval."""
+    """Last value of each gauge per interval, and when it was taken."""
     return (
-        metrics.withWatermark("ts", HORIZON)
-        .groupBy(F.window("ts", interval).alias("w"), "metric", "sensor")
-        .agg(F.max_by("value", "ts").alias("value"))
-        .select(F.col("w.start").alias("ts"), "metric", "sensor", "value")
+        metrics.groupBy(F.window("ts", interval).alias("w"), "metric", "sensor")
+        .agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("taken"))
+        .select(F.col("w.start").alias("ts"), "metric", "sensor", "value", "taken")
     )
 
 
-def write_updates(counters: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes each micro-batch of changed counters below ``path/epoch=N``.
+def write_partials(rows: DataFrame, partial: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Writes what ``partial`` makes of each micro-batch below ``path/epoch=N``.
 
-    A batch that is run again replaces its own folder, so a restart leaves no
-    double rows.
+    There is no watermark and no state: a late row is part of its own batch, and the
+    readers below put the partial results together, so nothing is lost however late it
+    comes and however the input falls into batches. A batch that is run again replaces
+    its own folder, so a restart leaves no double rows.
     """
 
     def store(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        partial(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return (
-        counters.writeStream.outputMode("update")
-        .foreachBatch(store)
+        rows.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest version of each counter."""
-    updates = spark.read.option("basePath", path).parquet(path)
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("epoch")))
-    return updates.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "epoch")
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    """Per second and channel the sum of all partial counts."""
+    partial = spark.read.option("basePath", path).parquet(path)
+    return partial.groupBy("ts", "sensor").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+
+
+def read_gauges(spark: SparkSession, path: str) -> DataFrame:
+    """Per interval and gauge the value taken last in any batch."""
+    partial = spark.read.option("basePath", path).parquet(path)
+    return partial.groupBy("ts", "metric", "sensor").agg(F.max_by("value", "taken").alias("value"))
 
 
 def tap(packets: DataFrame, name: str = "tap") -> tuple[DataFrame, Observation]:

@@ -3,11 +3,9 @@
 import pytest
 
 import __spark_entry__ as contract
+from dialtrace.registry import ORACLE, QUERIES
 from tests.compare import connect, difference
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def tables(sf_dir):
@@ -16,6 +14,7 @@ def tables(sf_dir):
 
 def test_every_query_has_a_check():
     assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -40,8 +40,8 @@ def test_counters_over_batches(spark, packets, arriving):
     for part in arriving:
         part.write.mode("append").parquet(path)
     source = tables.stream_packets(spark, path, files_per_trigger=1)
-    stream_metrics.write_updates(stream_metrics.second_counters(source), out, state).awaitTermination()
-    got = stream_metrics.read_updates(spark, out, ["ts", "sensor"]).select("ts", "sensor", "packets", "bytes")
+    stream_metrics.write_partials(source, stream_metrics.second_counters, out, state).awaitTermination()
+    got = stream_metrics.read_counters(spark, out).select("ts", "sensor", "packets", "bytes")
     expected = counters.per_second(packets).select("ts", "sensor", "packets", "bytes")
     assert got.count() == expected.count()
     assert got.exceptAll(expected).count() == 0
@@ -64,6 +64,26 @@ def test_retransmissions_in_a_later_batch_are_dropped(spark, packets, arriving):
     assert kept.count() == distinct.count() == kept.select("chsumm").distinct().count()
 
 
+@pytest.mark.parametrize("files_per_batch", [1, 3])
+def test_nothing_is_lost_when_the_newest_comes_first(spark, packets, arriving, files_per_batch):
+    """Days of data in reverse order: the number of files in a batch changes nothing."""
+    path = work_dir(spark, "in")
+    for k, part in enumerate(reversed(arriving)):
+        part.withColumn("timestamp_ns", F.col("timestamp_ns") - k * 3 * 86_400 * 10**9).write.mode("append").parquet(path)
+    whole = tables.read_packets(spark, path)
+    out, state, kept, kept_state = (work_dir(spark, x) for x in ("out", "state", "kept", "kept-state"))
+    source = lambda: tables.stream_packets(spark, path, files_per_trigger=files_per_batch)
+    stream_metrics.write_partials(source(), stream_metrics.second_counters, out, state).awaitTermination()
+    got, expected = stream_metrics.read_counters(spark, out), counters.per_second(whole)
+    columns = ["ts", "sensor", "packets", "bytes"]
+    assert got.count() == expected.count() and got.select(columns).exceptAll(expected.select(columns)).isEmpty()
+    stream.ingest_deduplicated(source(), kept, kept_state).awaitTermination()
+    distinct = to_capture(whole).select(message_checksum().alias("c")).distinct()
+    stored = spark.read.parquet(kept)
+    assert stored.count() == distinct.count() == stored.select("chsumm").distinct().count()
+    assert tables.read_capture(spark, kept).where("date IS NULL").isEmpty()
+
+
 def test_tap_counts_what_flows(spark, packets):
     tapped, seen = stream_metrics.tap(packets, "test-tap")
     tapped.write.mode("overwrite").format("noop").save()
