@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dialtrace.llm.common import whole_text
 
-#: Parts of texts and pairs of pieces that a task keeps at most; beyond that it starts anew.
+#: Parts of texts in one generation, of which a worker keeps two, and pairs of pieces kept at most.
 KEPT_PARTS = 500_000
 KEPT_PAIRS = 500_000
 
@@ -195,14 +195,17 @@ class Parts(dict):
     """Part of a text -> its ids; parts lie between places that no piece crosses."""
 
     def __init__(self, pieces: Pieces) -> None:
-        super().__init__({"": b""})
+        super().__init__()
+        self.older: dict[str, bytes] = {}
         self.pieces = pieces
 
     def __missing__(self, part: str) -> bytes:
-        found = np.asarray(self.pieces.encode_part(part), dtype="<u4").tobytes()
         if len(self) >= KEPT_PARTS:
+            self.older = dict(self)
             self.clear()
-            self[""] = b""
+        found = self.older.get(part)
+        if found is None:
+            found = np.asarray(self.pieces.encode_part(part), dtype="<u4").tobytes()
         self[part] = found
         return found
 
