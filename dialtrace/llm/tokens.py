@@ -7,8 +7,8 @@ import re
 
 import numpy as np
 
-#: Words that a task keeps at most; beyond that it starts anew.
-KEPT_WORDS = 700_000
+#: Words of one generation; a worker keeps two, so that the frequent ones stay.
+KEPT_WORDS = 600_000
 
 #: The parts end before a single space, comma or dot and around a line feed. The tokenizer
 #: parts words there as well, unless one of these comes next to white space or another sign.
@@ -26,6 +26,7 @@ class Encoder(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.older: dict[str, bytes] = {}
         # one Spark task has one core
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -37,17 +38,22 @@ class Encoder(dict):
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        if LATIN.fullmatch(part):
-            # one word of the tokenizer's pattern: its model alone does
-            ids = [t.id for t in self.tokenizer.model.tokenize("\u0120" + part[1:])]
-            found = np.asarray(ids, dtype="<u4").tobytes()
-        else:
-            found = self.ids(part) if part else b""
         if len(self) >= KEPT_WORDS:
+            self.older = dict(self)
             self.clear()
+        found = self.older.get(part)
+        if found is None:
+            found = self.fresh(part)
         self[part] = found
         return found
 
+    def fresh(self, part: str) -> bytes:
+        if LATIN.fullmatch(part):
+            # one word of the tokenizer's pattern: its model alone does
+            ids = [t.id for t in self.tokenizer.model.tokenize("\u0120" + part[1:])]
+            return np.asarray(ids, dtype="<u4").tobytes()
+        return self.ids(part) if part else b""
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
