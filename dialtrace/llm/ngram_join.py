@@ -24,8 +24,8 @@ FILTER = 1 << 25
 PARTS = 16 * 64
 #: Rounds of links to hubs before the pairs of what is still apart are made.
 HUB_ROUNDS = 3
-#: Bytes of text that are hashed at once.
-CHUNK = 4_000_000
+#: Bytes of text that are hashed at once, unless one text alone is longer.
+CHUNK = 500_000
 
 _rng = np.random.default_rng(20240917)
 BYTE_VALUE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -184,7 +184,8 @@ def shared_rows(docs: DataFrame) -> DataFrame:
 
     some = docs.where("n > 0").select("node", "n", "prefix").mapInPandas(work, "shingle BIGINT, node BIGINT, n INT, place INT")
     # documents of equal sets have equal rows; one is enough
-    return keep(some.join(several, "shingle").distinct(), "shared")
+    shared = keep(some.join(several, "shingle").distinct(), "shared")
+    return shared
 
 
 def sets_of(texts: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -206,7 +207,8 @@ def sets_of(texts: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["node", "shingles"])
 
     keyed = texts.select(F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("bigint"))).alias("key"), "text")
-    return keep(keyed.mapInPandas(work, "node BIGINT, shingles ARRAY<BIGINT>"), "sets")
+    sets = keep(keyed.mapInPandas(work, "node BIGINT, shingles ARRAY<BIGINT>"), "sets")
+    return sets
 
 
 def may_link(na: str, nb: str, odd_a: str, odd_b: str) -> Column:
@@ -224,19 +226,22 @@ def may_link(na: str, nb: str, odd_a: str, odd_b: str) -> Column:
 def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the filtered pairs (a, b) that link by their sets, each compared once."""
     may = keep(pairs.select("a", "b"), "candidates")
-    bits = pairs.sparkSession.sparkContext.broadcast(bit_filter(may.select(F.explode(F.array("a", "b")).alias("key"))))
+    filters = {name: pairs.sparkSession.sparkContext.broadcast(bit_filter(may.select(F.col(name).alias("key")))) for name in ("a", "b")}
 
-    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[passes(bits.value, batch["node"].to_numpy(np.int64))]
+    def side(name: str) -> DataFrame:
+        """The sets that pairs have on this side; only these are shuffled."""
+        bits = filters[name]
 
-    # only the sets of candidates are shuffled
-    some = sets.mapInPandas(needed, sets.schema)
-    full = may.join(some.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(
-        some.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b"
-    )
+        def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch[passes(bits.value, batch["node"].to_numpy(np.int64))]
+
+        return sets.mapInPandas(needed, sets.schema).select(F.col("node").alias(name), F.col("shingles").alias(f"x{name}"))
+
+    full = may.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("xa", "xb"))
-    return keep(full.where((100 + SIMILAR) * common >= SIMILAR * (F.size("xa") + F.size("xb"))).select("a", "b").distinct(), "links")
+    links = keep(full.where((100 + SIMILAR) * common >= SIMILAR * (F.size("xa") + F.size("xb"))).select("a", "b").distinct(), "links")
+    return links
 
 
 def star_round(rows: DataFrame, nodes: DataFrame, sets: DataFrame, turn: int) -> DataFrame:

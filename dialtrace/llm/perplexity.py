@@ -21,6 +21,8 @@ SLACK, SLACK_SHORT = 0.1, 4.0
 TRUSTED_ROWS = 1_000_000
 #: Rows of the model in one shard; a shard is all that is broadcast at once.
 SHARD_ROWS = 1 << 15
+#: Symbols that are counted or scored at once, unless one text alone is longer.
+CHUNK = 500_000
 
 #: The symbols of the model. 0 begins a text; all capitals are one symbol, all
 #: digits another, and so are letters and signs that are not listed.
@@ -82,7 +84,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
                 texts, at = group["text"].tolist(), 0
                 while at < len(texts):
                     stop, size = at, 0
-                    while stop < len(texts) and size < 4_000_000:
+                    while stop < len(texts) and size < CHUNK:
                         size, stop = size + len(texts[stop]), stop + 1
                     context, symbol = ngrams(texts[at:stop])
                     gram, n = np.unique(context * SYMBOLS + symbol, return_counts=True)
@@ -190,7 +192,7 @@ def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> Da
                     sums, at = np.zeros(len(texts)), 0
                     while at < len(texts):
                         stop, size = at, 0
-                        while stop < len(texts) and size < 2_000_000:
+                        while stop < len(texts) and size < CHUNK:
                             size, stop = size + len(texts[stop]), stop + 1
                         context, symbol = ngrams(texts[at:stop])
                         lengths = np.fromiter(map(len, texts[at:stop]), dtype=np.int64, count=stop - at)
