@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 #: The ASCII white space that separates words, as a class body of a pattern.
 SPACE = r"\x20\x09-\x0D"
 
+#: Rows and bytes of texts that a Python worker gets at once; one longer text comes alone.
+BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """The same documents, in a session that hands texts to Python in small batches.
+
+    A worker holds a batch, what it makes of it and both of them as Arrow buffers, and
+    the executor's JVM holds those buffers once more.
+    """
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs
+
 
 def whole_text(column: str = "text") -> Column:
     """The whole text; a missing one counts as empty."""

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialtrace.llm.common import whole_text
+from dialtrace.llm.common import in_small_batches, whole_text
 from dialtrace.llm.components import components
 from dialtrace.session import keep
 
@@ -185,6 +185,7 @@ def shared_rows(docs: DataFrame) -> DataFrame:
     some = docs.where("n > 0").select("node", "n", "prefix").mapInPandas(work, "shingle BIGINT, node BIGINT, n INT, place INT")
     # documents of equal sets have equal rows; one is enough
     shared = keep(some.join(several, "shingle").distinct(), "shared")
+    bits.destroy()
     return shared
 
 
@@ -208,6 +209,7 @@ def sets_of(texts: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     keyed = texts.select(F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("bigint"))).alias("key"), "text")
     sets = keep(keyed.mapInPandas(work, "node BIGINT, shingles ARRAY<BIGINT>"), "sets")
+    bits.destroy()
     return sets
 
 
@@ -241,6 +243,8 @@ def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     full = may.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("xa", "xb"))
     links = keep(full.where((100 + SIMILAR) * common >= SIMILAR * (F.size("xa") + F.size("xb"))).select("a", "b").distinct(), "links")
+    for bits in filters.values():
+        bits.destroy()
     return links
 
 
@@ -304,7 +308,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     and different texts are different nodes; repeated rows have a row each. An empty
     table gives no rows. Further columns are not read.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     found = keep(prefixes(texts, frequency_sketch(texts)), "prefixes")
     nodes = found.where("n > 0").select("node", "n", "odd", "doc_id")
     shared = shared_rows(found)

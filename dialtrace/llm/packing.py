@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialtrace.llm.common import whole_text
+from dialtrace.llm.common import in_small_batches, whole_text
 from dialtrace.llm.tokens import encoder
 from dialtrace.session import keep
 
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     repeated rows are documents of their own. An empty table gives no rows. Further
     columns are not read.
     """
-    pieces = keep(cut(docs, tokenizer, capacity, end), "pieces")
+    pieces = keep(cut(in_small_batches(docs), tokenizer, capacity, end), "pieces")
     rests = pieces.where(F.col("own_sequence").isNull()).drop("own_sequence")
     groups = max(1, -(-rests.count() // group))
 

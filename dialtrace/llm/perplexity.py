@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dialtrace.llm.common import in_small_batches
 from dialtrace.session import keep
 
 #: A trusted document calibrates the thresholds if its hash falls on 0 of so many, else it trains.
@@ -247,7 +248,7 @@ def classify(
     good = good.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE)) == 0
     trusted = keep(good.orderBy(F.xxhash64(F.lit(1), "doc_id")).limit(trusted_rows).select("doc_id", F.when(fold, 1).otherwise(2).alias("trust")), "trusted")
-    texts = docs.select(
+    texts = in_small_batches(docs).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")
     )
     some = texts.where("text <> ''").join(F.broadcast(trusted), "doc_id", "left").withColumn("trust", F.coalesce("trust", F.lit(0)))
