@@ -23,6 +23,10 @@ MERGED = 20_000
 RUN_BYTES = 32_000_000
 #: Groups up to this size are compared pair by pair, larger ones by hashes of their windows.
 FEW = 12
+#: Kinds of surroundings of a piece up to which they meet in one task; the windows of more are counted by shuffle.
+LARGE = 50_000
+#: Parts of the rows that have the same window.
+SALTS = 16
 
 _rng = np.random.default_rng(20240918)
 BYTE_VALUE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -190,6 +194,24 @@ def merge(runs: list[Iterator[tuple[int, tuple]]]) -> Iterator[tuple[int, tuple]
             node //= 2
 
 
+def window_hashes(some: list[tuple], offsets: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of records (after, before, ...), by how many bytes lie before the place; 0 where the text ends within."""
+    rows = np.zeros((len(some), BEFORE + LENGTH), dtype=np.uint8)
+    have = np.zeros((len(some), 2), dtype=np.int64)
+    for k, r in enumerate(some):
+        have[k] = len(r[1]), len(r[0])
+        rows[k, BEFORE - len(r[1]) : BEFORE] = np.frombuffer(r[1], dtype=np.uint8)[::-1]
+        rows[k, BEFORE : BEFORE + len(r[0])] = np.frombuffer(r[0], dtype=np.uint8)
+    a, b = BEFORE - offsets[-1], BEFORE - offsets[0] + LENGTH
+    power, back = powers(BEFORE + LENGTH + 1)
+    sums = np.zeros((len(some), b - a + 1), dtype=np.uint64)
+    np.cumsum(BYTE_VALUE[rows[:, a:b]] * power[: b - a], axis=1, out=sums[:, 1:])
+    start = BEFORE - offsets - a
+    h = mix((sums[:, start + LENGTH] - sums[:, start]) * back[start])
+    inside = (offsets <= have[:, :1]) & (LENGTH - offsets <= have[:, 1:])
+    return np.where(inside, h | np.uint64(1), np.uint64(0))
+
+
 def reaches(group: list[tuple], shared: list[int]) -> Iterator[tuple[int, int]]:
     """How far before and after its place each record's repeated bytes reach; (0, 0) if none are.
 
@@ -212,26 +234,12 @@ def reaches(group: list[tuple], shared: list[int]) -> Iterator[tuple[int, int]]:
         return
     # the windows around the place, by how many bytes lie before it; equal ones have equal hashes
     low, high = np.full(m, BEFORE + 1), np.full(m, -1)
-    step, width = 46, BEFORE + LENGTH
+    step = 46
     for first in range(0, BEFORE + 1, step):
         offsets = np.arange(first, min(first + step, BEFORE + 1))
         found = np.zeros((m, len(offsets)), dtype=np.uint64)
         for at in range(0, m, 4096):
-            some = group[at : at + 4096]
-            rows = np.zeros((len(some), width), dtype=np.uint8)
-            have = np.zeros((len(some), 2), dtype=np.int64)
-            for k, r in enumerate(some):
-                have[k] = len(r[1]), len(r[0])
-                rows[k, BEFORE - len(r[1]) : BEFORE] = np.frombuffer(r[1], dtype=np.uint8)[::-1]
-                rows[k, BEFORE : BEFORE + len(r[0])] = np.frombuffer(r[0], dtype=np.uint8)
-            a, b = BEFORE - offsets[-1], BEFORE - offsets[0] + LENGTH
-            power, back = powers(width + 1)
-            sums = np.zeros((len(some), b - a + 1), dtype=np.uint64)
-            np.cumsum(BYTE_VALUE[rows[:, a:b]] * power[: b - a], axis=1, out=sums[:, 1:])
-            start = BEFORE - offsets - a
-            h = mix((sums[:, start + LENGTH] - sums[:, start]) * back[start])
-            inside = (offsets <= have[:, :1]) & (LENGTH - offsets <= have[:, 1:])
-            found[at : at + 4096] = np.where(inside, h | np.uint64(1), np.uint64(0))
+            found[at : at + 4096] = window_hashes(group[at : at + 4096], offsets)
         for k, o in enumerate(offsets):
             column = found[:, k]
             order = np.argsort(column, kind="stable")
@@ -302,7 +310,52 @@ def edge_spans(texts: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     return sorted_runs.groupBy("bucket").applyInPandas(merged, "k1 BIGINT, k2 BIGINT, start BIGINT, stop BIGINT")
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def window_spans(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """k1, k2, start, stop: as edge_spans, for pieces whose kinds are too many for one task.
+
+    Every window around a place is a row with its hash, and Spark counts equal ones:
+    partly in each task, then by a shuffle on the window, so that a passage of very many
+    texts is one row a task. The windows that occur twice go back to their rows in
+    ``SALTS`` parts.
+    """
+    places = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "piece")).alias("places"))
+
+    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k1, k2, text, found in zip(batch["k1"], batch["k2"], batch["text"], batch["places"], strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                for x in found:
+                    place = int(x["place"])
+                    out.append((k1, k2, place, int(x["piece"]), data[place : place + LENGTH], data[max(0, place - BEFORE) : place][::-1]))
+            yield pd.DataFrame(out, columns=["k1", "k2", "place", "piece", "after", "before"])
+
+    schema = "k1 BIGINT, k2 BIGINT, place BIGINT, piece BIGINT, after BINARY, before BINARY"
+    records = keep(texts.join(places, ["k1", "k2"]).select("k1", "k2", "text", "places").mapInPandas(around, schema), "around")
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        offsets = np.arange(BEFORE + 1)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                some = batch.iloc[at : at + 256]
+                h = window_hashes(list(zip(some["after"], some["before"], strict=True)), offsets)
+                row, offset = np.nonzero(h)
+                piece = some["piece"].to_numpy(np.int64).view(np.uint64)[row]
+                key = h[row, offset] ^ mix(piece + offset.astype(np.uint64))
+                frame = some[["k1", "k2", "place"]].iloc[row]
+                yield frame.assign(offset=offset, same=key.view(np.int64))
+
+    rows = records.mapInPandas(windows, "k1 BIGINT, k2 BIGINT, place BIGINT, offset BIGINT, same BIGINT")
+    rows = rows.withColumn("own", F.xxhash64("k1", "k2", "place"))
+    twice = keep(rows.groupBy("same").agg(F.min("own").alias("one"), F.max("own").alias("other")).where("one <> other").select("same"), "twice")
+    dealt = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = rows.withColumn("salt", F.pmod("own", F.lit(SALTS))).join(dealt, ["same", "salt"])
+    return hit.groupBy("k1", "k2", "place").agg(F.max("offset").alias("most"), F.min("offset").alias("least")).select(
+        "k1", "k2", (F.col("place") - F.col("most")).alias("start"), (F.col("place") + LENGTH - F.col("least")).alias("stop")
+    )
+
+
+def suffix_dedup(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_bytes of every document.
 
     Every byte is removed that is part of 400 bytes which also start elsewhere, in any
@@ -313,7 +366,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
        far as a passage around it can reach, occur twice is settled: they are repeated.
     2. Places that share a piece but differ in their surroundings are at the edges of
        repeated passages. One of each kind goes into the sort of suffixes, where
-       neighbours show how far the repetition reaches.
+       neighbours show how far the repetition reaches. Pieces of more than ``large``
+       kinds do not go into one task; their windows are counted instead.
     3. The stretches of a text are joined and cut out.
 
     Equal texts have equal stretches and share one key, a 128-bit hash. Surroundings and
@@ -333,9 +387,13 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     settled = found.where("c > 1").select(
         "k1", "k2", F.greatest(F.col("place") - BEFORE, F.lit(0)).alias("start"), F.least(F.col("place") + LENGTH, F.col("n")).alias("stop")
     )
-    wanted = found.where("kinds > 1 AND one").select("k1", "k2", "place", "piece")
+    edges = found.where("kinds > 1 AND one")
+    wanted, many = (edges.where(x).select("k1", "k2", "place", "piece") for x in (F.col("kinds") <= large, F.col("kinds") > large))
     buckets = max(1, -(-wanted.count() // MERGED))
-    spans = settled.unionByName(edge_spans(keyed, wanted, buckets)).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    repeated = settled.unionByName(edge_spans(keyed, wanted, buckets))
+    if not many.isEmpty():
+        repeated = repeated.unionByName(window_spans(keyed, many))
+    spans = repeated.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
