@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Kept = TypeVar("Kept")
+
 #: The ASCII white space that separates words, as a class body of a pattern.
 SPACE = r"\x20\x09-\x0D"
 
@@ -25,6 +31,26 @@ def in_small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+_kept: dict[str, object] = {}
+
+
+def kept_by_worker(name: str, make: Callable[[], Kept]) -> Kept:
+    """What ``make`` gives, kept by this Python worker for its next tasks.
+
+    A worker outlives a stage. It keeps one thing, so what an earlier stage needed goes.
+    """
+    if name not in _kept:
+        keep_nothing()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def keep_nothing() -> None:
+    """Frees what this Python worker kept for the tasks of other stages."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def whole_text(column: str = "text") -> Column:
     """The whole text; a missing one counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

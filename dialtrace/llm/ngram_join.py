@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialtrace.llm.common import in_small_batches, whole_text
+from dialtrace.llm.common import in_small_batches, keep_nothing, whole_text
 from dialtrace.llm.components import components
 from dialtrace.session import keep
 
@@ -87,6 +87,7 @@ def frequency_sketch(texts: DataFrame) -> np.ndarray:
     rows = 64
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_nothing()
         total = np.zeros(SKETCH, dtype=np.int64)
         for batch in batches:
             held, n = [], 0
@@ -141,6 +142,7 @@ def prefixes(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_nothing()
         for batch in batches:
             out = []
             for doc_id, one in zip(batch["doc_id"], shingle_sets(batch["text"].tolist()), strict=True):
@@ -196,6 +198,7 @@ def sets_of(texts: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     bits = spark.sparkContext.broadcast(bit_filter(first.select(F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("bigint"))).alias("key"))))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_nothing()
         seen: set[int] = set()
         for batch in batches:
             some = batch[passes(bits.value, batch["key"].to_numpy(np.int64))]
@@ -235,6 +238,7 @@ def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         bits = filters[name]
 
         def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            keep_nothing()
             for batch in batches:
                 yield batch[passes(bits.value, batch["node"].to_numpy(np.int64))]
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialtrace.llm.common import in_small_batches
+from dialtrace.llm.common import in_small_batches, keep_nothing
 from dialtrace.session import keep
 
 #: A trusted document calibrates the thresholds if its hash falls on 0 of so many, else it trains.
@@ -184,6 +184,7 @@ def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> Da
         shared = spark.sparkContext.broadcast(held)
 
         def work(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            keep_nothing()
             for batch in batches:
                 for lang, group in batch.groupby("lang"):
                     if lang not in shared.value:

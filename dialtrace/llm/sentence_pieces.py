@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialtrace.llm.common import whole_text
+from dialtrace.llm.common import kept_by_worker, whole_text
 
 #: Parts of texts in one generation, of which a worker keeps two, and pairs of pieces kept at most.
 KEPT_PARTS = 500_000
@@ -210,14 +210,9 @@ class Parts(dict):
         return found
 
 
-_models: dict[str, Pieces] = {}
-
-
 def pieces_of(path: str) -> Pieces:
     """The model of this worker; it outlives a task."""
-    if path not in _models:
-        _models[path] = Pieces(path)
-    return _models[path]
+    return kept_by_worker(f"pieces {path}", lambda: Pieces(path))
 
 
 def encode_decode(docs: DataFrame, model: str) -> DataFrame:

@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from dialtrace.llm.common import kept_by_worker
+
 #: Words of one generation; a worker keeps two, so that the frequent ones stay.
 KEPT_WORDS = 600_000
 
@@ -68,11 +70,6 @@ class Encoder(dict):
         return b"".join([self[parts[0]], *map(self.__getitem__, [" " + x for x in parts[1:]])])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The encoder of this worker; it outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept_by_worker(f"encoder {path}", lambda: Encoder(path))

@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 
 from dialtrace.llm import exact_dedup, line_dedup, ngram_join, packing, perplexity, pseudonyms, quality_rules, suffix_dedup, token_store
+from dialtrace.llm.common import keep_nothing, kept_by_worker
 from dialtrace.llm.registry import tokenizer_file
 from dialtrace.llm.sentence_pieces import encode_decode, pieces_of
 
@@ -107,6 +108,14 @@ def test_sentence_pieces(spark, odd_rows):
     assert found == expected
 
 
+def test_worker_keeps_one_thing():
+    first = kept_by_worker("first", lambda: [1])
+    assert kept_by_worker("first", list) is first
+    assert kept_by_worker("second", list) == [] and kept_by_worker("first", lambda: [2]) == [2]
+    keep_nothing()
+    assert kept_by_worker("first", lambda: [3]) == [3]
+
+
 def test_sentence_pieces_on_random_texts():
     pieces, rng = pieces_of(tokenizer_file("piece_bpe_32k.model")), random.Random(3)
     parts = [" ", "  ", "\n", ",", ".", "a", "b", "Th", "é", "ß", "1", "'s", "#", "\t", "\xa0", "日", "😀", "\x01", "<s>", "▁", "the", "ing", "==", "...", "er"]
@@ -140,7 +149,8 @@ def test_near_components(spark, odd_rows):
     assert len({c for _, _, c in expected}) < len(odd_rows) - 15
 
 
-def test_suffix_dedup(spark, odd_rows):
+@pytest.mark.parametrize("large", [0, 4, suffix_dedup.LARGE])
+def test_suffix_dedup(spark, odd_rows, large):
     data = [(t or "").encode() for _, t in odd_rows]
     starts = Counter(b[s : s + 400] for b in data for s in range(len(b) - 399))
     expected = Counter()
@@ -151,7 +161,7 @@ def test_suffix_dedup(spark, odd_rows):
                 gone[s : s + 400] = b"\1" * 400
         runs = sum(1 for k, x in enumerate(gone) if x and not (k and gone[k - 1]))
         expected[i, len(b), sum(gone), runs, bytes(x for x, y in zip(b, gone, strict=True) if not y)] += 1
-    found = suffix_dedup.suffix_dedup(documents(spark, odd_rows)).collect()
+    found = suffix_dedup.suffix_dedup(documents(spark, odd_rows), large).collect()
     assert Counter((r[0], r[1], r[2], r[3], bytes(r[4])) for r in found) == expected
 
 
