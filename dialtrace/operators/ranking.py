@@ -31,10 +31,10 @@ def top_distinct_per(
 ) -> DataFrame:
     """First ``k`` rows of each group after keeping one row per value of ``distinct``.
 
-    The rows of a group are spread over ``salts`` tasks by that value. Equal values
-    meet in the same task, so both steps share one exchange, and the task that
-    numbers a group in the end sees at most ``k * salts`` of its rows.
+    One row per value leaves each task, and values are spread over all tasks however
+    large their group is. Of those at most ``k`` rows of a group leave each task, to
+    ``salts`` tasks a group, so the task that numbers a group in the end sees at most
+    ``k * salts`` of its rows.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(distinct), F.lit(salts))).repartition(*keys, "_salt")
-    unique = first_per(salted, [*keys, "_salt", distinct], order)
+    unique = first_per(df, [*keys, distinct], order).withColumn("_salt", F.pmod(F.xxhash64(distinct), F.lit(salts)))
     return top_per(top_per(unique, [*keys, "_salt"], order, k, "_rank").drop("_rank", "_salt"), keys, order, k, number)

@@ -216,9 +216,11 @@ def export_flows(flow: DataFrame, capture: DataFrame) -> DataFrame:
 
 
 def _documents(flow: DataFrame, messages: DataFrame) -> DataFrame:
-    entries = messages.select(
+    # an id that is stored several times has one message, that of its first line
+    once = messages.groupBy("session", "id").agg(F.min(F.struct("number", "rendered")).alias("m"))
+    entries = once.select(
         "session",
-        F.struct("number", F.col("id").cast("string").alias("id"), ascii_html(F.col("rendered")).alias("text")).alias("entry"),
+        F.struct("m.number", F.col("id").cast("string").alias("id"), ascii_html(F.col("m.rendered")).alias("text")).alias("entry"),
     )
     by_session = entries.groupBy("session").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
     mapped = F.map_from_entries(F.transform("entries", lambda e: F.struct(e["id"], e["text"])))

@@ -76,6 +76,8 @@ def page_bounds(rows: int | str | None = None, page: int | str | None = None) ->
 
 # time steps that narrow down a deep page, in microseconds
 _STEPS = [3_600_000_000, 1_000_000]
+# the step of rows without a time, which come first
+_NO_TIME = -(2**62)
 
 
 def take_page(found: DataFrame, limit: int, offset: int) -> DataFrame:
@@ -84,13 +86,15 @@ def take_page(found: DataFrame, limit: int, offset: int) -> DataFrame:
     A page near the front is a top-k. For a page further back no task could hold
     all rows before it, so counts per hour, and per second inside the hours that
     matter, tell which seconds the page is in. Only the rows of those seconds are
-    sorted, and their time limits reach the scan.
+    sorted, and their time limits reach the scan. Rows without a time come first on
+    both ways, as a step of their own.
     """
     if offset + limit <= HEAP_ROWS:
         return found.orderBy(*_order()).offset(offset).limit(limit)
     rows = found
     for step in _STEPS:
-        slot = F.call_function("div", F.unix_micros("datetime"), F.lit(step))
+        micros = F.unix_micros("datetime")
+        slot = F.coalesce(F.call_function("div", micros - F.pmod(micros, F.lit(step)), F.lit(step)), F.lit(_NO_TIME))
         counts = rows.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
         # one row per time step, so the single-partition window stays small
         upto = counts.withColumn("upto", F.sum("n").over(W.orderBy("slot")))
@@ -99,7 +103,14 @@ def take_page(found: DataFrame, limit: int, offset: int) -> DataFrame:
         if first is None:
             return found.limit(0)
         offset -= before
-        start, end = (F.timestamp_micros(F.lit(n * step)) for n in (first, last + 1))
+        if last == _NO_TIME:
+            rows = rows.where(F.col("datetime").isNull())
+            break
+        end = F.timestamp_micros(F.lit((last + 1) * step))
+        if first == _NO_TIME:
+            rows = rows.where(F.col("datetime").isNull() | (F.col("datetime") < end))
+            continue
+        start = F.timestamp_micros(F.lit(first * step))
         rows = rows.where((F.col("datetime") >= start) & (F.col("datetime") < end))
         if "date" in rows.columns:
             rows = rows.where((F.col("date") >= F.to_date(start)) & (F.col("date") <= F.to_date(end)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from dialtrace.plans.ingest import to_capture, to_sdp
 from dialtrace.session import use_utc, work_dir
 from dialtrace.sources import tables
-from dialtrace.sources.wire import wire
+from dialtrace.registry.wire import wire
 
 _written: dict[tuple[str, str, str], str] = {}
 

@@ -5,7 +5,7 @@ SQL, so that an oracle statement shares no code with the Spark plans but for the
 statement that derives the packets.
 """
 
-from dialtrace.sources.wire import WIRE_SQL
+from dialtrace.registry.wire import WIRE_SQL
 
 _WIRE = WIRE_SQL.replace("@US@", "epoch_us(ts)").replace("{events}", "events")
 

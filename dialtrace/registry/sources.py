@@ -12,7 +12,7 @@ from dialtrace.registry.base import query
 from dialtrace.registry.headers import decoded, parsed
 from dialtrace.session import work_dir
 from dialtrace.sources import pcap, records, tables
-from dialtrace.sources.wire import text_wire
+from dialtrace.registry.wire import text_wire
 from dialtrace.streaming import ingest as stream
 
 _PACKET = "pkt_id, timestamp_ns, src_ip, src_port, dst_ip, dst_port, ip_version, payload_offset, len, pkt_hex"

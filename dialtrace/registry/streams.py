@@ -149,20 +149,25 @@ def drop_expired_days(spark, sf_dir):
     return spark.table(table).groupBy("date").agg(F.count(F.lit(1)).alias("stored"))
 
 
+_MEASURED = ["id", "source_ip", "source_port", "destination_ip", "destination_port", "response_code", "malformed"]
+
+
 @query(
     "table_statistics",
     oracle.on(
         "capture",
-        """SELECT 'response_code' AS column_name, min(response_code)::VARCHAR AS min, max(response_code)::VARCHAR AS max,
-        (count(*) - count(response_code))::VARCHAR AS num_nulls FROM capture
-        UNION ALL SELECT 'malformed', min(malformed)::VARCHAR, max(malformed)::VARCHAR, (count(*) - count(malformed))::VARCHAR FROM capture""",
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS column_name, min({c})::VARCHAR AS min, max({c})::VARCHAR AS max,
+        (count(*) - count({c}))::VARCHAR AS num_nulls FROM capture"""
+            for c in _MEASURED
+        ),
     ),
 )
 def table_statistics(spark, sf_dir):
     table = _table(spark, sf_dir, "analysed")
     maintenance.refresh_statistics(spark, table)
     rows = []
-    for column in ("response_code", "malformed"):
+    for column in _MEASURED:
         found = maintenance.column_statistics(spark, table, column)
         rows.append((column, found["min"], found["max"], found["num_nulls"]))
     return spark.createDataFrame(rows, "column_name STRING, min STRING, max STRING, num_nulls STRING")

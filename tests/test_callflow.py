@@ -104,6 +104,14 @@ def test_flow_of_a_message_without_call_id_is_empty(spark, hot):
     assert callflow.call_flow(hot[1], 30_001).count() == 0
 
 
+def test_export_of_a_table_that_was_loaded_twice(spark):
+    df = make.capture(spark, [make.message(i, i, "a") for i in range(5)] + [make.message(9, 3, "b")])
+    once = {r["session"]: r["document"] for r in callflow.export_flows(callflow.call_flows(df), df).collect()}
+    twice = df.unionByName(df)
+    found = {r["session"]: r["document"] for r in callflow.export_flows(callflow.call_flows(twice), twice).collect()}
+    assert found == once and set(found) == {"a", "b"}
+
+
 def test_lanes_and_spans(spark):
     ips = {"a": 1, "b": 2, "c": 3}
     hops = ["ab", "ba", "bc", "ca", "cc"]

@@ -21,6 +21,18 @@ def test_deep_grouped_search(spark, capture, monkeypatch):
     assert search.search(capture, rows=20, page=4).collect() == shallow
 
 
+def test_deep_pages_with_missing_times_and_ties(spark, monkeypatch):
+    seconds = [-7200.5, -0.25, 0, 0, 0.25, 3599.75, 3600, 86400]
+    rows = [make.message(i, seconds[i % 8], str(i % 9), **({"datetime": None} if i % 5 == 0 else {})) for i in range(60)]
+    df = make.capture(spark, rows + rows[:6])
+    monkeypatch.setattr(search, "HEAP_ROWS", 0)
+    for grouping in (0, 1):
+        everything = [r["id"] for r in search.matches(df, grouping).orderBy("datetime", "id").collect()]
+        for limit, offset in ((4, 0), (4, 2), (9, 10), (5, 40), (70, 1)):
+            page = search.take_page(search.matches(df, grouping), limit, offset)
+            assert [r["id"] for r in page.collect()] == everything[offset : offset + limit]
+
+
 def test_deep_page_inside_one_second(spark, monkeypatch):
     monkeypatch.setattr(search, "HEAP_ROWS", 0)
     df = make.capture(spark, [make.message(i, 5 + (i % 7) * 0.01, str(i)) for i in range(100)])
