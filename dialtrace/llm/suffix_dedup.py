@@ -25,7 +25,7 @@ RUN_BYTES = 32_000_000
 FEW = 12
 #: Kinds of surroundings of a piece up to which they meet in one task; the windows of more are counted by shuffle.
 LARGE = 50_000
-#: Parts of the rows that have the same window.
+#: Parts of the rows that have the same window, and of the kinds of a piece.
 SALTS = 16
 
 _rng = np.random.default_rng(20240918)
@@ -381,8 +381,11 @@ def suffix_dedup(docs: DataFrame, large: int = LARGE) -> DataFrame:
     rows = rows.select("k1", "k2", "n", "s.place", "s.piece", "s.around", F.xxhash64("k1", "k2", "s.place").alias("own"))
     kinds = rows.groupBy("piece", "around").agg(F.count(F.lit(1)).alias("c"), F.min("own").alias("first"))
     kinds = keep(kinds, "kinds")
-    mixed = kinds.groupBy("piece").agg(F.count(F.lit(1)).alias("kinds"))
-    open_kinds = kinds.join(mixed, "piece").where("c > 1 OR kinds > 1")
+    # a piece can have very many kinds, so they meet its count in parts
+    mixed = kinds.groupBy("piece").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    dealt = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counted = kinds.withColumn("salt", F.pmod("around", F.lit(SALTS))).join(dealt, ["piece", "salt"], "left").drop("salt")
+    open_kinds = counted.withColumn("kinds", F.coalesce("kinds", F.lit(1))).where("c > 1 OR kinds > 1")
     found = keep(rows.join(open_kinds, ["piece", "around"]).select("k1", "k2", "n", "place", "piece", "c", "kinds", (F.col("own") == F.col("first")).alias("one")), "found")
     settled = found.where("c > 1").select(
         "k1", "k2", F.greatest(F.col("place") - BEFORE, F.lit(0)).alias("start"), F.least(F.col("place") + LENGTH, F.col("n")).alias("stop")
