@@ -275,6 +275,43 @@ def test_perplexity(spark):
     assert stay.count() == 202 and stay.columns == docs.columns
 
 
+def test_perplexity_sees_words_of_any_script(spark):
+    rng = random.Random(8)
+    scripts = {"en": "the and of house tree stone water light river road", "ru": "дом лес вода камень река свет дорога город поле небо"}
+    def text(lang):
+        out = [rng.choice(scripts[lang].split())]
+        while len(out) < 80:
+            out += [w for w in [rng.choice(scripts[lang].split())] if w != out[-1]]
+        return " ".join(out)
+
+    rows = [(1000 * k + i, text(lang), lang) for k, lang in enumerate(scripts) for i in range(150)]
+    rows += [(5000, "house " * 400, "en"), (5001, "the tree " * 300, "en"), (5002, "дом " * 400, "ru")]
+    # the letters of each word in another order: a run of one symbol to the model of symbols
+    rows += [(5003, " ".join("".join(rng.sample(w, len(w))) for w in text("ru").split()), "ru")]
+    docs = spark.createDataFrame([(i, t, lang, None) for i, t, lang in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows if i < 5000], "doc_id BIGINT, quality INT, toxic INT")
+    out = {r["doc_id"]: r for r in perplexity.classify(docs, labels).collect()}
+    assert not any(out[i]["kept"] for i in range(5000, 5004))
+    assert sum(not r["kept"] for i, r in out.items() if i < 5000) <= 6
+
+
+def test_word_model_is_kneser_ney(spark):
+    texts = ["a b a c", "a b b", "c a b"]
+    docs = spark.createDataFrame([(k, "en", t) for k, t in enumerate(texts + ["b a x"])], "tid BIGINT, lang STRING, text STRING")
+    model, rates = perplexity.train_words(perplexity.count_words(docs.where("tid < 3")))
+    pairs = Counter((v, w) for t in texts for v, w in zip(["^"] + t.split(), t.split()))
+    kinds, d = Counter(w for _, w in pairs), lambda c: (lambda one, two: min(max(one / (one + 2 * two), 0.05), 0.95) if one else 0.5)(*(list(c.values()).count(k) for k in (1, 2)))
+    def p(v, w):
+        low = max(kinds[w] - d(kinds), 0) / sum(kinds.values()) + d(kinds) * len(kinds) / sum(kinds.values()) / 256 ** (len(w) + 1)
+        total, follow = sum(n for (a, _), n in pairs.items() if a == v), sum(a == v for a, _ in pairs)
+        return (max(pairs[v, w] - d(pairs), 0) + d(pairs) * follow * low) / total if total else low
+
+    for head, cells in ((0, 1), (3, 64), (1000, 1 << 12)):
+        out = {r["tid"]: r["word_nll"] for r in perplexity.score_words(docs, model, rates, head, cells).collect()}
+        for k, t in enumerate(texts + ["b a x"]):
+            assert abs(out[k] + sum(np.log(p(v, w)) for v, w in zip(["^"] + t.split(), t.split())) / len(t)) < 1e-9
+
+
 def test_model_sums_to_one():
     context, symbol = perplexity.ngrams(["the house and the tree", "a stone"])
     gram, n = np.unique(context.astype(np.int64) * perplexity.SYMBOLS + symbol, return_counts=True)
