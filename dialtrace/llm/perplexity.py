@@ -422,7 +422,7 @@ def classify(
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good = good.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE)) == 0
-    trusted = keep(good.orderBy(F.xxhash64(F.lit(1), "doc_id")).limit(trusted_rows).select("doc_id", F.when(fold, 1).otherwise(2).alias("trust")), "trusted")
+    trusted = keep(good.select("doc_id", F.when(fold, 1).otherwise(2).alias("trust")), "trusted")
     texts = in_small_batches(docs).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")
     )

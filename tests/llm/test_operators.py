@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from dialtrace.llm import exact_dedup, line_dedup, ngram_join, packing, perplexity, pseudonyms, quality_rules, suffix_dedup, token_store
 from dialtrace.llm.common import keep_nothing, kept_by_worker
@@ -295,6 +296,15 @@ def test_perplexity_sees_words_of_any_script(spark):
     assert sum(not r["kept"] for i, r in out.items() if i < 5000) <= 6
 
 
+def test_all_trusted_documents_count(spark):
+    rng = random.Random(9)
+    rows = [(i, words(rng, 60), "en", None) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id BIGINT, quality INT, toxic INT")
+    few, many = (sorted(tuple(r) for r in perplexity.classify(docs, labels, trusted_rows=n).select("doc_id", F.round("perplexity", 9), F.round("limit", 9), "kept").collect()) for n in (10, 1000))
+    assert few == many
+
+
 def test_word_model_is_kneser_ney(spark):
     texts = ["a b a c", "a b b", "c a b"]
     docs = spark.createDataFrame([(k, "en", t) for k, t in enumerate(texts + ["b a x"])], "tid BIGINT, lang STRING, text STRING")
