@@ -25,8 +25,8 @@ SLACK = 3.0
 TRUSTED_ROWS = 1_000_000
 #: Frequent rows of the word model that every task holds, and 64-bit cells of the filter of
 #: all its keys. Both only spare rows in the shuffle; results are the same without.
-HEAD_ROWS = 1 << 17
-FILTER_CELLS = 1 << 21
+HEAD_ROWS = 1 << 16
+FILTER_CELLS = 1 << 19
 #: Words among which a pair of words counts as new once.
 BLOCK = 256
 #: Rows of the model in one shard; a shard is all that is broadcast at once.
