@@ -9,7 +9,10 @@ from dialtrace.llm.common import SPACE, with_text
 from dialtrace.session import keep
 
 #: A line on more than this share of a host's pages is boilerplate, from so many pages on.
-RATIO = 0.1
+#: Of the 5418 places of the 35 lines that 50 pages or more of sf0.1 have, 0.1 finds 634, 0.05 1061,
+#: 0.02 2973, 0.01 4219 and 0.005 4559; the most widespread line, on 4 to 13% of the pages of each
+#: of the 20 sources, is found on all its 1061 pages from 0.05 down.
+RATIO = 0.01
 LEAST_PAGES = 5
 
 HAS_WORD = f"[^{SPACE}]"

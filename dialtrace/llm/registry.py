@@ -179,7 +179,8 @@ def op9b(spark, sf_dir):
 def op10(spark, sf_dir):
     from dialtrace.llm.line_dedup import line_dedup
 
-    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    # the share that the checking SQL has; the pipeline takes the default
+    return line_dedup(table(spark, sf_dir, "documents"), ratio=0.1).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 @query("pipeline")

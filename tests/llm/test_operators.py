@@ -261,6 +261,12 @@ def test_line_dedup(spark):
     assert out[20]["text"] is None and out[20]["n_lines"] == 0 and out[21]["text"] == "" and out[22]["text"] == "menu"
 
 
+def test_line_on_nine_percent_of_pages(spark):
+    rows = [(k, f"own line {k}\n" + ("menu" if k < 9 else f"more {k}")) for k in range(100)]
+    docs = spark.createDataFrame([(i, t, "h") for i, t in rows], "doc_id BIGINT, text STRING, source STRING")
+    assert {r["doc_id"] for r in line_dedup.line_dedup(docs).where("n_dropped = 1").collect()} == set(range(9))
+
+
 def test_perplexity(spark):
     rng = random.Random(4)
     clean = lambda: " ".join(rng.choice(["the", "and", "house", "tree", "stone", "water"]) for _ in range(60))
