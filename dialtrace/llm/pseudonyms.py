@@ -17,10 +17,17 @@ ROUNDS = 8
 FORMS: dict[str, str] = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|token|secret|api[_-]?key)\b\s*[=:]\s*\"?[A-Za-z0-9+/_-]{8,})",
-    "phone": r"(?<![0-9])\+1[ .-]?\(?[2-9][0-9]{2}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])\+1[ .-]?\(?[2-9][0-9]{2}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    # any other country code and 7 to 15 digits
+    r"|(?<![0-9A-Za-z])\+[2-9](?:[ ()./-]{0,3}[0-9]){6,14}(?![0-9])"
+    # North America without a +, with separators
+    r"|(?<![0-9+]|[0-9][.-])(?:1[ .-])?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])"
+    # national numbers behind a 0, with separators, 9 to 12 digits, no dates
+    r"|(?<![0-9+]|[0-9][./-])(?![0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}(?![0-9]))(?=\(?0[1-9](?:[ ()/.-]{0,2}[0-9]){7,10}(?![ .-]?[0-9]))"
+    r"\(?0[1-9][0-9]{0,4}(?:\)[ ./-]?|[ ./-])[0-9]{2,8}(?:[ ./-][0-9]{2,8}){0,4}(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9])",
+    "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 ANY_FORM = "|".join(FORMS.values())
@@ -121,13 +128,27 @@ def card(value: Column, key: str) -> Column:
     return F.when(luhn_sum(digits, F.lit(0)) % 10 == 0, refill(value, whole))
 
 
+#: The country codes of E.164 with one or two digits; all others have three.
+COUNTRY = "^(7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+
+
 def phone(value: Column, key: str) -> Column:
-    """Country code and separators stay, and an area code still starts with 2 to 9."""
-    digits = F.substr(digits_of(value), F.lit(2))
+    """Country code and separators stay, and an area code of North America still starts with 2 to 9.
+
+    Other numbers keep their country code, or 0 and one digit of a national one, and the rest
+    is permuted. One number of North America has one pseudonym with and without +1.
+    """
+    america = F.regexp_extract(digits_of(value), "^1?([2-9][0-9]{9})$", 1)
+    is_america = (america != "") & (~value.startswith("+") | value.startswith("+1"))
+    all_digits = digits_of(value)
+    code = F.when(value.startswith("+"), F.when(all_digits.rlike(COUNTRY), F.regexp_extract(all_digits, COUNTRY, 1)).otherwise(F.substring(all_digits, 1, 3)))
+    head = F.coalesce(code, F.substring(all_digits, 1, 2))
+    other = F.concat(head, feistel_text(F.substr(all_digits, F.length(head) + 1), key, "phone", (DIGITS,)))
+    digits = america
     a, b = F.substring(digits, 1, 5).cast("bigint") - 20000, F.substring(digits, 6, 5).cast("bigint")
     moved = F.transform(F.array(feistel_numbers(a, b, 80000, 100000, key, "phone")), lambda s: F.concat(
-        F.lit("1"), (s["a"] + 20000).cast("string"), F.lpad(s["b"].cast("string"), 5, "0")))[0]
-    return refill(value, moved)
+        F.regexp_extract(all_digits, "^(1?)[2-9][0-9]{9}$", 1), (s["a"] + 20000).cast("string"), F.lpad(s["b"].cast("string"), 5, "0")))[0]
+    return refill(value, F.when(is_america, moved).otherwise(other))
 
 
 def ip(value: Column, key: str) -> Column:
@@ -143,6 +164,7 @@ def date(value: Column, key: str) -> Column:
     """A day of 1800 to 2199 becomes another one in the same form; what is no such day gives null.
 
     The forms are 2024-01-31, 31/01/2024 and 31.01.2024, and 01/31/2024 where that is the only reading.
+    A day or month of one digit is a form without leading zeros.
     """
 
     def moved(form: str) -> Column:
@@ -153,8 +175,9 @@ def date(value: Column, key: str) -> Column:
         return F.when((n >= 0) & (n < DAYS_A * DAYS_B), back)
 
     iso = F.when(value.contains("-"), moved("yyyy-MM-dd"))
-    dots = F.when(value.contains("."), moved("dd.MM.yyyy"))
-    slashes = F.when(value.contains("/"), F.coalesce(moved("dd/MM/yyyy"), moved("MM/dd/yyyy")))
+    full = F.length(value) == 10
+    dots = F.when(value.contains("."), F.when(full, moved("dd.MM.yyyy")).otherwise(moved("d.M.yyyy")))
+    slashes = F.when(value.contains("/"), F.when(full, F.coalesce(moved("dd/MM/yyyy"), moved("MM/dd/yyyy"))).otherwise(F.coalesce(moved("d/M/yyyy"), moved("M/d/yyyy"))))
     return F.coalesce(iso, dots, slashes)
 
 

@@ -198,6 +198,22 @@ def test_pseudonyms(spark):
     assert out[3]["text"] is None and out[5]["text"] == "no data" and out[5]["n_pii"] == 0
 
 
+def test_pseudonyms_of_other_phones_and_dates(spark):
+    gone = ["(415) 555-0123", "415-555-0123", "1-415-555-0123", "415.555.0123", "+44 20 7946 0958", "+49 30 123456", "+33 1 23 45 67 89", "+351 912 345 678",
+            "020 7946 0958", "01 23 45 67 89", "(030) 1234567", "1/2/2024", "3.4.2024", "2/29/2024"]
+    stays = ["30.2.2024", "12 345 678", "2024-25", "1.2.3", "1234567890", "+1 (111) 222 3333"]
+    rows = [(k, f"at {v}, yes") for k, v in enumerate(gone + stays)] + [(90, "4418 4525 2484 2586"), (91, "+442079460958"), (92, "+1 415 555 0123")]
+    out = {r["doc_id"]: r for r in pseudonyms.pseudonymise(documents(spark, rows)).collect()}
+    form = lambda t: re.sub("[0-9]", "0", t)
+    plain = lambda k: re.sub("[^0-9]", "", out[k]["text"])
+    for k, v in enumerate(gone):
+        assert v not in out[k]["text"] and out[k]["n_pii"] == 1 and out[k]["pii_kinds"] == ("date" if "2024" in v else "phone"), (v, out[k])
+        assert form(out[k]["text"]) == form(f"at {v}, yes") or "2024" in v
+    for k, v in enumerate(stays, len(gone)):
+        assert out[k]["text"] == f"at {v}, yes", (v, out[k])
+    assert plain(4) == plain(91) and plain(4).startswith("44") and plain(1) == plain(0) == plain(3) == plain(92)[1:] == plain(2)[1:]
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
