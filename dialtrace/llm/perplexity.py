@@ -281,24 +281,25 @@ def score_words(docs: DataFrame, model: DataFrame, rates: DataFrame, head_rows:
                     n = np.bincount(doc, minlength=stop - at)
                     block = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) // BLOCK
                     pairs = mixed(before, own)
-                    new = np.unique(np.stack([doc.astype(np.uint64), block.astype(np.uint64), pairs], axis=1), axis=0) if len(doc) else np.zeros((0, 3))
-                    fresh = np.bincount(new[:, 0].astype(np.int64), minlength=stop - at)
-                    rows = pd.DataFrame({
-                        "doc": np.concatenate([doc, doc, doc]), "key": np.concatenate([own, before, pairs]).view(np.int64),
-                        "own": np.repeat([1, 0, 1], len(doc)), "next": np.repeat([0, 1, 0], len(doc)),
-                    }).groupby(["doc", "key"], sort=False).sum().reset_index()
-                    key, d = rows["key"].to_numpy(), rows["doc"].to_numpy()
+                    _, new = np.unique(mixed(pairs, ((doc << 32) + block).astype(np.uint64)), return_index=True)
+                    fresh = np.bincount(doc[new], minlength=stop - at)
+                    # each document's distinct keys, and how often they stand and are followed
+                    every, docs_of = np.concatenate([own, before, pairs]), np.tile(doc, 3)
+                    _, first, group_of = np.unique(mixed(every, docs_of.astype(np.uint64)), return_index=True, return_inverse=True)
+                    key, d, w = every[first].view(np.int64), docs_of[first], len(doc)
+                    follows = np.bincount(group_of[w : 2 * w], minlength=len(first))
+                    stands = np.bincount(group_of, minlength=len(first)) - follows
                     place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
                     here = keys[place] == key if len(keys) else np.zeros(len(key), dtype=bool)
                     held = np.zeros(stop - at)
                     if here.any():
-                        held = np.bincount(d[here], rows["own"][here] * a[place[here]] + rows["next"][here] * b[place[here]], minlength=stop - at)
+                        held = np.bincount(d[here], stands[here] * a[place[here]] + follows[here] * b[place[here]], minlength=stop - at)
                     sent = ~here & ((bits[(key >> 6) % cells] >> (key & 63)) & 1 == 1)
                     none = np.zeros(stop - at, dtype=np.int64)
                     yield pd.DataFrame({"tid": ids[at:stop], "lang": lang, "key": ids[at:stop], "own": none, "next": none, "held": held, "n": n,
                                         "letters": np.bincount(doc, length + 1, minlength=stop - at).astype(np.int64), "fresh": fresh,
                                         "n_symbols": list(map(len, texts[at:stop]))})
-                    yield pd.DataFrame({"tid": ids[at:stop][d[sent]], "lang": lang, "key": key[sent], "own": rows["own"][sent], "next": rows["next"][sent],
+                    yield pd.DataFrame({"tid": ids[at:stop][d[sent]], "lang": lang, "key": key[sent], "own": stands[sent], "next": follows[sent],
                                         "held": 0.0, "n": 0, "letters": 0, "fresh": 0, "n_symbols": 0})
 
     sent = docs.select("tid", "lang", "text").mapInPandas(
