@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Kept = TypeVar("Kept")
@@ -31,6 +32,20 @@ def in_small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small batches for what is written inside; the session's own settings come back after it."""
+    sizes = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {key: spark.conf.get(key) for key in sizes}
+    try:
+        for key, value in sizes.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 _kept: dict[str, object] = {}
 
 

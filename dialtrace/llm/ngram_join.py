@@ -54,8 +54,8 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
-def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
-    """The sorted hashes of each text's distinct shingles."""
+def shingle_sets(texts: list[str], width: int = WORDS) -> Iterator[np.ndarray]:
+    """The sorted hashes of each text's distinct shingles of ``width`` words, at most WORDS."""
     at = 0
     while at < len(texts):
         stop, size, held = at, 0, []
@@ -64,13 +64,13 @@ def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
             size, stop = size + len(held[-1]) + 1, stop + 1
         starts, words = word_hashes(b"\n".join(held))
         bounds = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in held)]))
-        whole = np.zeros(max(0, len(words) - WORDS + 1), dtype=np.uint64)
-        for k in range(WORDS):
-            whole += words[k : len(words) - WORDS + 1 + k] * PLACE_VALUE[k]
+        whole = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
+        for k in range(width):
+            whole += words[k : len(words) - width + 1 + k] * PLACE_VALUE[k]
         whole = mix(whole)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if b - a >= WORDS:
-                yield np.unique(whole[a : b - WORDS + 1])
+            if b - a >= width:
+                yield np.unique(whole[a : b - width + 1])
             elif b > a:
                 yield mix((words[a:b] * PLACE_VALUE[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))
             else:

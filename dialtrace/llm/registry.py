@@ -67,12 +67,13 @@ def op3(spark, sf_dir):
     return with_digests(encode_decode(table(spark, sf_dir, "documents"), model))
 
 
-#: Shingle sets, links and components; SET in the name of a shingle list sorts and thins it.
-JACCARD = rf"""WITH RECURSIVE w AS (
+def jaccard(width: int) -> str:
+    """Shingle sets of ``width`` words, links and components."""
+    return rf"""WITH RECURSIVE w AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}+') AS ws FROM documents
 ), s AS (
-    SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-        ELSE list_distinct([array_to_string(ws[i : i + 4], ' ') for i in range(1, len(ws) - 3)]) END AS sh FROM w
+    SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct([array_to_string(ws[i : i + {width - 1}], ' ') for i in range(1, len(ws) - {width - 2})]) END AS sh FROM w
 ), u AS (SELECT doc_id, len(sh) AS n, md5(unnest(sh)) AS h FROM s
 ), hits AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (SELECT a, b FROM hits WHERE 100 * c >= 80 * (na + nb - c)
@@ -82,7 +83,7 @@ JACCARD = rf"""WITH RECURSIVE w AS (
 
 @query(
     "op4_ngram_join",
-    JACCARD + """ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+    jaccard(5) + """ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.b) AS component_id
     FROM s JOIN reach r ON s.doc_id = r.a GROUP BY s.doc_id, len(s.sh)""",
 )
 def op4(spark, sf_dir):
@@ -183,6 +184,83 @@ def op10(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents"), ratio=0.1).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+@query(
+    "op11_hyper_minhash",
+    jaccard(4) + """ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
+    FROM s JOIN reach r ON s.doc_id = r.a GROUP BY s.doc_id, len(s.sh)""",
+)
+def op11(spark, sf_dir):
+    from dialtrace.llm.hyper_minhash import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_filter_audit",
+    rf"""WITH RECURSIVE orders AS (SELECT '' AS filter_order UNION ALL
+        SELECT filter_order || f FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(f) WHERE NOT contains(filter_order, f)
+    ), steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f, left(filter_order, step - 1) AS ahead
+        FROM orders, range(1, 6) r(step) WHERE len(filter_order) = 5
+    ), w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}+') AS ws FROM documents
+    ), marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+    ), m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END
+            || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 'C' ELSE '' END
+            || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+        FROM w LEFT JOIN marks USING (doc_id)
+    ), c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails
+    ), a AS (SELECT part, filter_order, step, f, c.*, translate(fails, ahead, '') = fails AS here, contains(fails, f) AS failed FROM steps, c
+    ), t AS (SELECT part, filter_order, step, f, CAST(coalesce(sum(n) FILTER (here AND NOT failed), 0) AS BIGINT) AS kept,
+            CAST(coalesce(sum(n) FILTER (here AND failed), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (NOT here AND failed), 0) AS BIGINT) AS redundant,
+            CAST(coalesce(sum(n) FILTER (fails = f), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (here AND failed), 0) AS BIGINT) AS good_lost,
+            CAST(coalesce(sum(toxic) FILTER (here AND failed), 0) AS BIGINT) AS toxic_lost FROM a GROUP BY part, filter_order, step, f
+    ) SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM t""",
+)
+def op12(spark, sf_dir):
+    from dialtrace.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def hashed(*fields: str) -> str:
+    """SQL of a leaf's digest."""
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({x}::VARCHAR))::VARCHAR || ':' || {x}::VARCHAR, '-')" for x in fields) + ")"
+
+
+CHECKSUM = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, n: CASE WHEN x & 1 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END)))"""
+
+
+@query(
+    "op13_merkle_manifest",
+    f"""WITH RECURSIVE l AS (SELECT doc_id, lang, {hashed("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+        {hashed("doc_id", "source", "lang", "(n_chars + 1)", "text")} AS other, coalesce({CHECKSUM} % 7 = 0, false) AS hit FROM documents
+    ), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS BIGINT) AS pos FROM l
+    ), low AS (SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS h FROM p GROUP BY lang UNION ALL
+        SELECT lang, level + 1, list_transform(range(1, len(h) + 1, 2), lambda i: sha256(h[i] || coalesce(h[i + 1], ''))) FROM low WHERE len(h) > 1
+    ), tops AS (SELECT lang, h[1] AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM low WHERE len(h) = 1
+    ), high AS (SELECT 0 AS level, list(subroot ORDER BY place) AS h FROM tops UNION ALL
+        SELECT level + 1, list_transform(range(1, len(h) + 1, 2), lambda i: sha256(h[i] || coalesce(h[i + 1], ''))) FROM high WHERE len(h) > 1
+    ), steps AS (SELECT p.lang, p.pos, level, (p.pos >> level) & 1 AS slot, h[xor(p.pos >> level, 1) + 1] AS sibling
+            FROM p JOIN low ON p.lang IS NOT DISTINCT FROM low.lang WHERE len(h) > 1 UNION ALL
+        SELECT p.lang, p.pos, t.height + level, (t.place >> level) & 1, h[xor(t.place >> level, 1) + 1] FROM p JOIN tops t ON p.lang IS NOT DISTINCT FROM t.lang, high WHERE len(h) > 1
+    ), paths AS (SELECT lang, pos, list({{'slot': slot, 'sibling': sibling}} ORDER BY level) AS path FROM steps GROUP BY lang, pos
+    ), fold AS (SELECT lang, pos, 1 AS i, CASE WHEN hit THEN other ELSE leaf END AS node FROM p UNION ALL
+        SELECT f.lang, f.pos, i + 1, sha256(CASE WHEN path[i].sibling IS NULL THEN node WHEN path[i].slot = 0 THEN node || path[i].sibling ELSE path[i].sibling || node END)
+        FROM fold f JOIN paths s ON f.lang IS NOT DISTINCT FROM s.lang AND f.pos = s.pos WHERE i <= len(path)
+    ), folded AS (SELECT lang, pos, arg_max(node, i) AS folded_root FROM fold GROUP BY lang, pos
+    ) SELECT doc_id, leaf, subroot, (SELECT h[1] FROM high WHERE len(h) = 1) AS root,
+        sha256(coalesce(array_to_string(list_transform(list_filter(path, lambda x: x.sibling IS NOT NULL), lambda x: x.sibling), ''), '')) AS proof_sha256,
+        folded_root, folded_root = (SELECT h[1] FROM high WHERE len(h) = 1) AS verified
+    FROM p JOIN tops t ON p.lang IS NOT DISTINCT FROM t.lang JOIN folded f ON p.lang IS NOT DISTINCT FROM f.lang AND p.pos = f.pos
+    LEFT JOIN paths s ON p.lang IS NOT DISTINCT FROM s.lang AND p.pos = s.pos""",
+)
+def op13(spark, sf_dir):
+    from dialtrace.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
