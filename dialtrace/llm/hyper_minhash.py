@@ -31,8 +31,12 @@ MANTISSA = 10
 COLLIDES = 0.169919487159739
 #: Sets of fewer shingles link only if they are equal.
 LEAST = 4
-#: Standard deviations that an estimate may fall short and its pair still be compared.
-MARGIN = 6.0
+#: Standard deviations that an estimate may fall short and its pair still be compared, and
+#: what it may fall short besides.
+MARGIN = 4.0
+TOLERANCE = 0.01
+#: Values of the four bits of a register that a first estimate looks at; 0 is an empty bucket.
+NIBBLE = 15
 #: What a copied register is moved by for each empty bucket that it has jumped.
 JUMP = 40503
 #: Rounds of links to hubs before the pairs of what is still apart are made.
@@ -40,40 +44,60 @@ HUB_ROUNDS = 3
 
 
 def registers(one: np.ndarray) -> np.ndarray:
-    """The sketch of a sorted set of 64-bit hashes.
+    """The sketch of a sorted set of 64-bit hashes: bucket and register of each bucket in use.
 
     The first bits of a hash are its bucket. Of a bucket's smallest hash the register
-    holds the number of leading zeros behind those bits and the MANTISSA bits behind
-    the first one. An empty bucket takes the register of the next one that is not, moved
-    by the distance, so that sketches of small sets agree as often as the sets do.
+    holds the number of leading zeros behind those bits, counted from 1, and the
+    MANTISSA bits behind the first one.
     """
     edges = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
     first = np.searchsorted(one, edges)
-    full = first < np.append(first[1:], len(one))
-    value = (one[first[full]] << np.uint64(BUCKET_BITS)) >> np.uint64(11)  # 53 bits, which a float holds
+    used = np.flatnonzero(first < np.append(first[1:], len(one)))
+    value = (one[first[used]] << np.uint64(BUCKET_BITS)) >> np.uint64(11)  # 53 bits, which a float holds
     part, exponent = np.frexp(value.astype(np.float64))
     mantissa = np.where(value > 0, (part * 2 - 1) * (1 << MANTISSA), 0).astype(np.int64)
-    at = np.flatnonzero(full)
-    source = np.searchsorted(at, np.arange(BUCKETS))
-    distance = np.append(at, at[0] + BUCKETS)[source] - np.arange(BUCKETS)
-    held = ((53 - exponent) << MANTISSA | mantissa)[source % len(at)]
-    return ((held + JUMP * distance) & 0xFFFF).astype("<u2")
+    return (used << 16 | (54 - exponent) << MANTISSA | mantissa).astype(np.int32)
+
+
+def marks(sketch: np.ndarray) -> np.ndarray:
+    """Ten words of 64 bits: four bits of each register, and which buckets are in use."""
+    held = np.zeros(BUCKETS, dtype=np.uint8)
+    held[sketch >> 16] = (sketch & 0xFFFF) % NIBBLE + 1
+    used = np.packbits(held > 0, bitorder="little")
+    return np.concatenate([held[::2] | held[1::2] << 4, used]).view("<i8")
+
+
+def dense(sketches: list[np.ndarray]) -> np.ndarray:
+    """All registers of each sketch; an empty bucket takes the next one in use, moved by the distance.
+
+    So bands of small sets agree as often as the sets do.
+    """
+    size = list(map(len, sketches))
+    flat = np.concatenate(sketches).astype(np.int64)
+    held = np.zeros((len(sketches), BUCKETS), dtype=np.int64)
+    held[np.repeat(np.arange(len(sketches)), size), flat >> 16] = flat & 0xFFFF
+    bucket = np.arange(2 * BUCKETS)
+    twice = np.where(np.tile(held, 2) > 0, bucket, 2 * BUCKETS)
+    source = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :BUCKETS]
+    moved = np.take_along_axis(held, source % BUCKETS, axis=1) + JUMP * (source - bucket[:BUCKETS])
+    return (moved & 0xFFFF).astype("<u2")
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """doc_id, row_key, n, set_key and sketch of every document; an empty set has no sketch."""
+    """doc_id, row_key, n, set_key, sketch and its marks of every document; an empty set has an empty sketch."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep_nothing()
         for batch in batches:
-            n, key, sketch = [], [], []
+            n, key, sketch, mark = [], [], [], []
             for one in shingle_sets(batch["text"].tolist(), WORDS):
                 n.append(len(one))
                 key.append(xxhash.xxh3_128_digest(one.tobytes()) if len(one) else None)
-                sketch.append(registers(one).tobytes() if len(one) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "row_key": batch["row_key"], "n": n, "set_key": key, "sketch": sketch})
+                sketch.append(registers(one))
+                mark.append(marks(sketch[-1]))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "row_key": batch["row_key"], "n": n, "set_key": key, "sketch": sketch, "marks": mark})
 
-    return texts.mapInPandas(work, "doc_id BIGINT, row_key BINARY, n INT, set_key BINARY, sketch BINARY")
+    return texts.mapInPandas(work, "doc_id BIGINT, row_key BINARY, n INT, set_key BINARY, sketch ARRAY<INT>, marks ARRAY<BIGINT>")
 
 
 def bands(nodes: DataFrame) -> DataFrame:
@@ -83,42 +107,61 @@ def bands(nodes: DataFrame) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                whole = np.frombuffer(b"".join(batch["sketch"]), dtype="<u8").reshape(-1, BANDS)
-                key = mix(whole ^ band).reshape(-1).view(np.int64)
+                key = mix(dense(batch["sketch"].tolist()).view("<u8") ^ band).reshape(-1).view(np.int64)
                 yield pd.DataFrame({"key": key, "node": np.repeat(batch["node"].to_numpy(), BANDS), "n": np.repeat(batch["n"].to_numpy(), BANDS)})
 
     return nodes.where(F.col("n") >= LEAST).select("node", "n", "sketch").mapInPandas(work, "key BIGINT, node BIGINT, n INT")
 
 
 def lengths_agree(a: str, b: str) -> Column:
+    """Length filter: the smaller set has the needed share of the larger one."""
     return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
 
-def estimates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity may be that of a link, with the estimate.
+def allows(differ: Column, used: Column) -> Column:
+    """Whether a link is likely enough if ``differ`` of the ``used`` buckets of na and nb shingles differ.
 
-    The share of equal registers is corrected by those that different values give by
-    chance. How far an estimate may fall short follows from how many different values
-    two sketches hold: few for small sets, which so are all compared.
+    The deviation of the estimate follows from how many of the shingles of both the
+    buckets show: all of them, in small sets.
     """
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(lengths_agree("na", "nb"))
+    share = SIMILAR / 100
+    every = (F.col("na") + F.col("nb")) / (1 + share)  # shingles of both, if they are as similar as a link needs
+    deviation = F.sqrt(share * (1 - share) / used * F.greatest(F.lit(0.0), 1 - used / every))
+    return differ / used <= 1 - share + MARGIN * deviation + TOLERANCE
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x, y = (np.frombuffer(b"".join(batch[c]), dtype="<u2").reshape(-1, BUCKETS) for c in ("sa", "sb"))
-            na, nb = batch["na"].to_numpy(np.float64), batch["nb"].to_numpy(np.float64)
-            by_chance = COLLIDES * 2.0**-MANTISSA * 4 * na * nb / (na + nb) ** 2
-            found = (x == y).mean(axis=1) - by_chance
-            empty = np.exp(-np.maximum(na, nb) / BUCKETS)
-            values = BUCKETS * (1 - empty)
-            least = SIMILAR / 100 - MARGIN * np.sqrt(SIMILAR / 100 * (1 - SIMILAR / 100) * (1 + empty) / values)
-            at = found >= least
-            yield pd.DataFrame({"a": batch["a"][at], "b": batch["b"][at], "estimate": found[at]})
 
-    return both.mapInPandas(work, "a BIGINT, b BIGINT, estimate DOUBLE")
+def may_link() -> Column:
+    """The estimate from all registers, corrected by those that different values share by chance."""
+    na, nb = F.col("na"), F.col("nb")
+    equal = F.size(F.array_intersect("sa", "sb"))
+    bucket = lambda s: F.transform(s, lambda x: F.shiftright(x, 16))
+    used = F.size(F.array_union(bucket("sa"), bucket("sb")))
+    by_chance = COLLIDES * 2.0**-MANTISSA * 4 * na * nb / ((na + nb) * (na + nb))
+    return allows(used - equal + by_chance * used, used)
+
+
+def marks_agree() -> Column:
+    """A first estimate by the words ma0 .. mb9, in a few operations on whole words.
+
+    Four bits of two different registers agree once in NIBBLE times; the count of
+    different ones is corrected by that.
+    """
+    differ = used = None
+    for k in range(8):
+        x = F.col(f"ma{k}").bitwiseXOR(F.col(f"mb{k}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        count = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+        differ = count if differ is None else differ + count
+    for k in (8, 9):
+        count = F.bit_count(F.col(f"ma{k}").bitwiseOR(F.col(f"mb{k}")))
+        used = count if used is None else used + count
+    return allows(differ * NIBBLE / (NIBBLE - 1), used)
+
+
+def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that agree in length and may link."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(lengths_agree("na", "nb") & may_link()).select("a", "b")
 
 
 def links_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -148,25 +191,36 @@ def still_open(shared: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def to_hubs(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each node and the hubs of other components that its bands name.
+    """Pairs (a, b) of each node and the hub of another component that most of its bands name.
+
+    A band names a node of its least and one of its greatest component, others in each
+    turn: one pair for each node, however many nodes a band has.
+    """
+    hub = F.struct("component", F.xxhash64(F.lit(turn), "node").alias("dealt"), "node", "n")
+    # at first every node is a component of its own, and one hub is enough
+    hubs = rows.groupBy("key").agg(F.array(F.min(hub), F.max(hub)) if turn else F.array(F.min(hub)))
+    named = hubs.select("key", F.explode(hubs.columns[1]).alias("hub"))
+    met = rows.join(named, "key").where((F.col("component") != F.col("hub.component")) & lengths_agree("n", "hub.n"))
+    counted = met.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
+    return counted.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
-    A band names its nodes of the least and the greatest component, and others that
-    change with the turn: a few pairs for each node, however many nodes a band has.
+
+def cross_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs (a, b) that share a band, are of different components and may link.
+
+    The filters are the join's condition: of texts that share a frequent passage, and so
+    many bands, but are not alike, no pairs are made.
     """
-    dealt = F.xxhash64(F.lit(turn), "node")
-    row = F.struct("component", "node", "n")
-    hubs = rows.groupBy("key").agg(F.min(row), F.max(row), F.min_by(row, dealt), F.max_by(row, dealt))
-    named = hubs.select("key", F.explode(F.array_distinct(F.array(*hubs.columns[1:]))).alias("hub"))
-    met = rows.join(named, "key").where(F.col("component") != F.col("hub.component")).withColumn("nb", F.col("hub.n")).where(lengths_agree("n", "nb"))
-    return met.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-
-
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs (a, b) that share a band, are of different components, and agree in length."""
-    left = rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = rows.select(F.col("key").alias("same"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    word = [F.col("marks")[k].alias(f"m{k}") for k in range(10)]
+    rows = keep(rows.join(nodes.select("node", *word), "node"), "cross")
+
+    def side(x: str) -> list[Column]:
+        named = [F.col(c).alias(f"{y}{x}") for c, y in (("node", ""), ("n", "n"), ("component", "c"))]
+        return named + [F.col(f"m{k}").alias(f"m{x}{k}") for k in range(10)]
+
+    left, right = rows.select("key", *side("a")), rows.select(F.col("key").alias("same"), *side("b"))
     test = (F.col("key") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & lengths_agree("na", "nb")
-    return left.join(right, test).select("a", "b").distinct()
+    return left.join(right, test & marks_agree()).select("a", "b").distinct()
 
 
 def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
@@ -187,9 +241,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Documents of equal sets are one node. A node's sketch has 128 registers of 16 bits;
     nodes that agree in a band of 4 registers are candidates, and go on if the estimate
     from all registers allows a link; then their whole texts are compared, each pair
-    once. Each node is first compared with the hub that its bands name and that looks
-    most alike, which joins a large group in as many pairs as it has nodes; after a few
-    such rounds all pairs that share a band and are still apart are compared. A link can
+    once. Each node is first compared with the hub that most of its bands name, which
+    joins a large group in as many pairs as it has nodes; after a few such rounds all
+    pairs that share a band and are still apart are compared. A link can
     only be missed if no band of the two sketches agrees (see ROWS) or the estimate is
     off by MARGIN standard deviations, and then only if no other links join the two.
 
@@ -204,7 +258,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).withColumn("row_key", F.unhex(F.md5(row)))
         found = keep(sketches(texts), "sketches")
         sets = found.where("n > 0").groupBy("set_key").agg(
-            F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key")
+            F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks"), F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key")
         )
         nodes = keep(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
         several = bands(nodes).groupBy("key").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one <> other").select("key")
@@ -216,13 +270,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
         open_rows, links, tested = shared.withColumn("component", F.col("node")), None, None
         for turn in range(HUB_ROUNDS + 1):
             last = turn == HUB_ROUNDS
-            pairs = cross_pairs(open_rows) if last else to_hubs(open_rows, turn)
-            likely = estimates(untested(pairs, tested), nodes)
-            if not last:
-                best = likely.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+            if last:
+                pairs = estimated(cross_pairs(open_rows, nodes), nodes)
+            else:
                 # two nodes that chose each other are one pair
-                likely = best.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).dropDuplicates(["low", "high"])
-            likely = keep(likely.select("a", "b"), "likely")
+                named = to_hubs(open_rows, turn).withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+                pairs = estimated(named.dropDuplicates(["low", "high"]), nodes)
+            likely = keep(untested(pairs, tested), "likely")
             new = keep(links_of(likely, chosen), "links")
             links = new if links is None else links.unionByName(new)
             tested = likely if tested is None else tested.unionByName(likely)

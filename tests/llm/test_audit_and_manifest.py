@@ -82,37 +82,44 @@ def test_large_group_takes_pairs_in_proportion(spark):
     assert sum(seen) <= 2 * 300
 
 
-def test_equal_sets_have_equal_sketches_and_estimates_are_close():
+def sketch_rows(spark, pairs):
+    sketches = [(len(a), len(b), hyper_minhash.registers(a), hyper_minhash.registers(b)) for a, b in pairs]
+    rows = [(na, nb, a.tolist(), b.tolist(), hyper_minhash.marks(a).tolist(), hyper_minhash.marks(b).tolist()) for na, nb, a, b in sketches]
+    found = spark.createDataFrame(rows, "na INT, nb INT, sa ARRAY<INT>, sb ARRAY<INT>, ma ARRAY<BIGINT>, mb ARRAY<BIGINT>")
+    return found.select("*", *[F.col(f"m{x}")[k].alias(f"m{x}{k}") for x in "ab" for k in range(10)])
+
+
+def test_no_link_fails_the_estimate(spark):
+    """Pairs of exactly the needed similarity pass, pairs of half of it do not."""
     rng = np.random.default_rng(1)
-    for n in (1, 4, 30, 200, 5000):
-        both = rng.integers(0, 2**64, n, dtype=np.uint64)
-        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**64, n // 8, dtype=np.uint64)])) for _ in range(2))
-        assert (hyper_minhash.registers(np.sort(both)) == hyper_minhash.registers(np.unique(both))).all()
-        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        agree = (hyper_minhash.registers(a) == hyper_minhash.registers(b)).mean()
-        empty = np.exp(-len(a) / hyper_minhash.BUCKETS)
-        assert abs(agree - true) <= 6 * np.sqrt(0.16 * (1 + empty) / (hyper_minhash.BUCKETS * (1 - empty)))
+    like, unlike = [], []
+    for n in (4, 8, 40, 200, 1000, 5000):
+        for _ in range(60):
+            every = np.unique(rng.integers(0, 2**64, n + n // 4, dtype=np.uint64))
+            like.append((every, np.sort(rng.permutation(every)[:n])))
+            if n >= 40:
+                unlike.append((every, np.sort(np.concatenate([every[::2], rng.integers(0, 2**64, n // 2, dtype=np.uint64)]))))
+    assert sketch_rows(spark, like).where(~hyper_minhash.may_link() | ~hyper_minhash.marks_agree()).isEmpty()
+    assert sketch_rows(spark, unlike).where(hyper_minhash.may_link()).isEmpty()
 
 
 def test_bands_of_similar_sets_meet():
     """No pair of similarity 0.8 among some thousands is without a common band, small sets included."""
     rng = np.random.default_rng(2)
-    for n in (4, 5, 8, 9, 20, 100, 700):
-        differ = n // 9 if n > 5 else n // 5
+    for n in (4, 8, 9, 20, 100, 700):
         for _ in range(600):
-            every = np.unique(rng.integers(0, 2**64, n + differ, dtype=np.uint64))
-            a, b = every, np.sort(rng.permutation(every)[: n + differ - max(differ, 1)]) if n > 4 else every
-            if 100 * len(b) < 80 * len(a):
-                continue
-            x, y = (hyper_minhash.registers(s).view("<u8") for s in (a, b))
+            every = np.unique(rng.integers(0, 2**64, n + n // 4, dtype=np.uint64))
+            part = np.sort(rng.permutation(every)[:n])
+            x, y = hyper_minhash.dense([hyper_minhash.registers(every), hyper_minhash.registers(part)]).view("<u8")
             assert (x == y).any()
 
 
 def test_register_holds_leading_zeros_and_mantissa():
-    plain = hyper_minhash.registers(np.array([(5 << 57) | (0b11 << 40)], dtype=np.uint64))
+    one = hyper_minhash.registers(np.array([(5 << 57) | (0b11 << 40)], dtype=np.uint64))
     # 57 bits behind the bucket: the first one is bit 41, so 15 zeros, and a mantissa of one half
-    assert plain[5] == 15 << hyper_minhash.MANTISSA | 1 << (hyper_minhash.MANTISSA - 1)
-    assert plain[4] == (int(plain[5]) + hyper_minhash.JUMP) & 0xFFFF
+    assert one.tolist() == [5 << 16 | 16 << hyper_minhash.MANTISSA | 1 << (hyper_minhash.MANTISSA - 1)]
+    whole = hyper_minhash.dense([one])[0]
+    assert whole[4] == (int(whole[5]) + hyper_minhash.JUMP) & 0xFFFF
 
 
 # ------------------------------------------------------------ filter audit
