@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from dialtrace.functions.net import symmetric_flow
 from dialtrace.functions.time import ns_to_timestamp
-from dialtrace.operators.headers import METHODS
+from dialtrace.operators.headers import METHODS, parse
+from dialtrace.operators.validate import reject_reason, with_malformed
 
 # fixed value: preamble, checksum and gap around each frame on the wire
 FRAMING_BYTES = 24
@@ -137,6 +138,74 @@ def as_metrics(counts: DataFrame, prefix: str, values: list[str]) -> DataFrame:
     return long.select("ts", F.concat(F.lit(f"{prefix}."), "metric").alias("metric"), "sensor", "value")
 
 
+#: Gauges of a packet stream: those of the transport, and those of the messages in it.
+TRAFFIC_GAUGES = ["packets", "bytes", "brokenPkts"]
+SIP_GAUGES = ["request", "response", *[m.lower() for m in METHODS], *[f"status_{n}xx" for n in range(1, 7)], "malformed"]
+
+
+def all_counts(packets: DataFrame) -> DataFrame:
+    """All counters per second and channel, in one pass over the packets and one shuffle.
+
+    Packets that do not reach the parser are counted as broken and parsed as if they
+    had no bytes.
+    """
+    reason = reject_reason()
+    tagged = packets.select("timestamp_ns", channel().alias("sensor"), "len", "payload_offset", reason.isNotNull().alias("broken"), F.when(reason.isNull(), F.col("pkt_hex")).alias("pkt_hex"))
+    checked = with_malformed(parse(tagged))
+    code, good = F.col("response_code"), ~F.col("broken")
+    tests = {"brokenPkts": F.col("broken"), "request": message_kind() == "request", "response": message_kind() == "response", "malformed": F.col("malformed") == 1}
+    tests |= {name.lower(): F.col("request_method") == name for name in METHODS}
+    tests |= {f"status_{n}xx": code.between(n * 100, n * 100 + 99) for n in range(1, 7)}
+    second = F.date_trunc("second", ns_to_timestamp(F.col("timestamp_ns")))
+    return checked.groupBy(second.alias("ts"), "sensor").agg(
+        F.count(F.lit(1)).alias("packets"),
+        F.sum(F.col("len") + FRAMING_BYTES).cast("bigint").alias("bytes"),
+        *[F.count_if(test if name == "brokenPkts" else good & test).alias(name) for name, test in tests.items()],
+    )
+
+
+def all_gauges(packets: DataFrame) -> DataFrame:
+    """METRIC rows of all running counters: ``capture.*`` of the transport, ``sip_stat.*`` of the messages."""
+    wide = running(all_counts(packets), TRAFFIC_GAUGES + SIP_GAUGES)
+    names = {**{v: f"capture.{v}" for v in TRAFFIC_GAUGES}, **{v: f"sip_stat.{v}" for v in SIP_GAUGES}}
+    renamed = wide.select("ts", "sensor", *[F.col(v).cast("double").alias(name) for v, name in names.items()])
+    long = renamed.unpivot(["ts", "sensor"], [F.col(f"`{name}`") for name in names.values()], "metric", "value")
+    return long.select("ts", "metric", "sensor", "value")
+
+
+def wait_sketches(packets: DataFrame, interval: str = "1 minute") -> DataFrame:
+    """Per interval and channel a quantile sketch of the waits between the packets of a conversation, in microseconds.
+
+    Sketches of parts are put together by ``kll_merge_agg_bigint``, so timings of any
+    longer time, or of streams, need no second look at the packets.
+    """
+    key = symmetric_flow(F.col("src_ip"), F.col("src_port"), F.col("dst_ip"), F.col("dst_port"))
+    return waits(packets, key).groupBy(F.window("ts", interval).start.alias("ts"), "sensor").agg(
+        F.count(F.lit(1)).alias("waits"), F.kll_sketch_agg_bigint("wait").alias("sketch")
+    )
+
+
+def waits(packets: DataFrame, key: Column) -> DataFrame:
+    """ts, sensor and wait of each packet but the first of its conversation.
+
+    Rows are taken by conversation and day, so a conversation that never ends is split.
+    The wait across midnight is not among them.
+    """
+    at = ns_to_timestamp(F.col("timestamp_ns"))
+    timed = packets.select(key.alias("flow"), at.alias("ts"), channel().alias("sensor"), F.unix_micros(at).alias("at"))
+    before = F.lag("at").over(W.partitionBy("flow", F.to_date("ts")).orderBy("at"))
+    return timed.withColumn("wait", F.col("at") - before).where(F.col("wait").isNotNull()).select("ts", "sensor", "wait")
+
+
+def wait_quantiles(sketches: DataFrame, ranks: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """METRIC rows of the quantiles of each channel over all intervals of the sketches."""
+    merged = sketches.groupBy("sensor").agg(F.min("ts").alias("ts"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+    wide = merged.select("ts", "sensor", *[F.kll_sketch_get_quantile_bigint("sketch", F.lit(r)).cast("double").alias(f"timing.wait_p{round(r * 100)}") for r in ranks])
+    names = [f"timing.wait_p{round(r * 100)}" for r in ranks]
+    long = wide.unpivot(["ts", "sensor"], [F.col(f"`{n}`") for n in names], "metric", "value")
+    return long.select("ts", "metric", "sensor", "value")
+
+
 def flush(metrics: DataFrame, interval: str = "60 seconds") -> DataFrame:
     """Last value of each gauge per interval."""
     return (

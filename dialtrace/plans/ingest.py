@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from dialtrace import schemas
 from dialtrace.functions.time import ns_to_timestamp
 from dialtrace.operators.headers import parse, sdp_codecs, with_text
-from dialtrace.operators.validate import accepted, with_malformed
+from dialtrace.operators.validate import accepted, rejected, with_malformed
 
 
 def to_capture(packets: DataFrame) -> DataFrame:
@@ -36,3 +36,21 @@ def to_sdp(packets: DataFrame) -> DataFrame:
         F.explode(sdp_codecs(F.col("text"))).alias("codec"),
         F.to_date(ns_to_timestamp(F.col("timestamp_ns"))).alias("date"),
     )
+
+
+def checked_with_codecs(packets: DataFrame) -> DataFrame:
+    """Parsed and validated packets with the list of their codecs: all that the stored tables take from a packet."""
+    parsed = parse(accepted(packets))
+    return with_malformed(parsed.withColumn("codecs", sdp_codecs(F.col("text"))))
+
+
+def codec_rows(checked: DataFrame) -> DataFrame:
+    """The rows of :func:`to_sdp` from packets that are parsed already."""
+    return checked.select(
+        F.col("pkt_id").alias("id"), F.explode("codecs").alias("codec"), F.to_date(ns_to_timestamp(F.col("timestamp_ns"))).alias("date")
+    )
+
+
+def to_rejects(packets: DataFrame) -> DataFrame:
+    """Packets that do not reach the parser, with the reason and the day of the packet."""
+    return rejected(packets).withColumn("date", F.to_date(ns_to_timestamp(F.col("timestamp_ns"))))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from dialtrace import schemas
 from dialtrace.operators import counters
-from dialtrace.operators.headers import parse, with_headers
+from dialtrace.operators.headers import METHODS, parse, with_headers
 from dialtrace.operators.validate import accepted, with_malformed
 from dialtrace.plans.ingest import capture_rows, to_capture, to_sdp
 from dialtrace.registry import inputs, oracle
@@ -257,6 +257,35 @@ METRICS = """metrics AS (
 )"""
 
 
-@query("metric_sink", oracle.on("packets", "SELECT ts, metric, sensor, value FROM metrics", SECONDS, RUNNING, METRICS))
+_GAUGES = {
+    "brokenPkts": "c.pkt_id IS NULL", "request": "request_method IS NOT NULL", "response": "request_method IS NULL AND response_code IS NOT NULL", "malformed": "malformed = 1",
+    **{m.lower(): f"request_method = '{m}'" for m in METHODS}, **{f"status_{n}xx": f"response_code // 100 = {n}" for n in range(1, 7)},
+}
+ALL_METRICS = f"""counted AS (
+  SELECT date_trunc('second', make_timestamp(p.timestamp_ns // 1000)) AS ts, 'ch' || ((p.src_ip + p.src_port + p.dst_ip + p.dst_port) % 4)::VARCHAR AS sensor,
+    count(*) AS packets, sum(p.len + 24) AS bytes, {", ".join(f"count(*) FILTER ({test}) AS {name}" for name, test in _GAUGES.items())}
+  FROM packets p LEFT JOIN checked c ON p.pkt_id = c.pkt_id GROUP BY 1, 2
+), summed AS (
+  SELECT ts, sensor, {", ".join(f"CAST(sum({c}) OVER w AS DOUBLE) AS {c}" for c in ("packets", "bytes", *_GAUGES))}
+  FROM counted WINDOW w AS (PARTITION BY sensor ORDER BY ts ROWS UNBOUNDED PRECEDING)
+), all_metrics AS ({" UNION ALL ".join(f"SELECT ts, '{'capture' if c in ('packets', 'bytes', 'brokenPkts') else 'sip_stat'}.{c}' AS metric, sensor, {c} AS value FROM summed" for c in ("packets", "bytes", *_GAUGES))})"""
+
+
+@query("metric_sink", oracle.on("checked", "SELECT ts, metric, sensor, value FROM all_metrics", ALL_METRICS))
 def metric_sink(spark, sf_dir):
-    return metrics(spark, sf_dir)
+    """All running gauges, written as METRIC rows and read back."""
+
+    def write(path):
+        counters.all_gauges(inputs.packets(spark, sf_dir)).write.mode("append").parquet(path)
+
+    return spark.read.schema(schemas.METRIC).parquet(inputs.stored(spark, sf_dir, "all-metrics", write))
+
+
+@query("wait_quantiles")
+def wait_quantiles(spark, sf_dir):
+    """Quantiles of the waits between packets by channel, from sketches per minute that are stored and merged."""
+
+    def write(path):
+        counters.wait_sketches(inputs.packets(spark, sf_dir)).write.mode("append").parquet(path)
+
+    return counters.wait_quantiles(spark.read.parquet(inputs.stored(spark, sf_dir, "wait-sketches", write)))

@@ -34,6 +34,64 @@ def stream_ingest(spark, sf_dir):
     return tables.read_capture(spark, path).drop("date")
 
 
+_FAULTY = """faulty AS (
+  SELECT pkt_id, CASE WHEN payload_offset >= len2 THEN 'empty payload' WHEN ip_version <> 4 THEN 'not IPv4' WHEN length(pkt_hex) <> 2 * len2 THEN 'length mismatch' END AS reason,
+    len2 AS len FROM (SELECT *, CAST(len + CASE WHEN pkt_id % 107 = 0 THEN 1 ELSE 0 END AS INTEGER) AS len2 FROM packets)
+)"""
+
+
+def _faulty_path(spark, sf_dir):
+    """The packets, some of a length that does not agree with their bytes."""
+
+    def write(path):
+        wrong = inputs.packets(spark, sf_dir).withColumn("len", F.when(F.col("pkt_id") % 107 == 0, F.col("len") + 1).otherwise(F.col("len")))
+        tables.write_packets(wrong, path)
+
+    return inputs.stored(spark, sf_dir, "faulty-packets", write)
+
+
+def _ingested(spark, sf_dir):
+    def write(path):
+        packets = tables.stream_packets(spark, _faulty_path(spark, sf_dir), 3)
+        stream.ingest_all(packets, path, work_dir(spark, "ingest-all-checkpoint")).awaitTermination()
+
+    return inputs.stored(spark, sf_dir, "ingest-all", write)
+
+
+@query(
+    "stream_capture_codecs_rejects",
+    oracle.on(
+        "sdp",
+        """SELECT 'capture' AS stored_in, id, msg AS detail, malformed FROM capture WHERE id % 107 <> 0
+        UNION ALL SELECT 'sdp', id, codec, NULL FROM sdp WHERE id % 107 <> 0
+        UNION ALL SELECT 'rejects', pkt_id, reason, NULL FROM faulty WHERE reason IS NOT NULL""",
+        _FAULTY,
+    ),
+)
+def stream_capture_codecs_rejects(spark, sf_dir):
+    """The three tables that one stream stores, next to one another."""
+    path, none = _ingested(spark, sf_dir), F.lit(None).cast("int").alias("malformed")
+    capture = stream.read_table(spark, path, "capture").select(F.lit("capture").alias("stored_in"), "id", F.col("msg").alias("detail"), "malformed")
+    codecs = stream.read_table(spark, path, "sdp").select(F.lit("sdp").alias("stored_in"), "id", F.col("codec").alias("detail"), none)
+    rejects = stream.read_table(spark, path, "rejects").select(F.lit("rejects").alias("stored_in"), F.col("pkt_id").alias("id"), F.col("reason").alias("detail"), none)
+    return capture.unionByName(codecs).unionByName(rejects)
+
+
+@query(
+    "stream_tap",
+    oracle.on(
+        "capture",
+        """SELECT CAST(count(*) AS BIGINT) AS packets, CAST(sum(len) AS BIGINT) AS bytes, CAST(count(*) FILTER (reason IS NULL) AS BIGINT) AS stored,
+        CAST(count(reason) AS BIGINT) AS rejected, CAST((SELECT sum(malformed) FROM capture WHERE id % 107 <> 0) AS BIGINT) AS malformed FROM faulty""",
+        _FAULTY,
+    ),
+)
+def stream_tap(spark, sf_dir):
+    """What came into the stream and what became of it, summed over its epochs."""
+    account = stream.read_table(spark, _ingested(spark, sf_dir), "account")
+    return account.agg(*[F.sum(c).alias(c) for c in ("packets", "bytes", "stored", "rejected", "malformed")])
+
+
 @query(
     "stream_rate_limit",
     oracle.on("capture", "SELECT CAST(count(*) AS BIGINT) AS stored, CAST(sum(malformed) AS BIGINT) AS malformed FROM capture"),
@@ -52,15 +110,16 @@ def _counted(spark, name, packets):
 
 
 def _newest_first(spark, sf_dir):
-    """The packets as four files that arrive in reverse order of time, one in each micro-batch."""
+    """The packets in four quarters that arrive in reverse order of time, about one in each micro-batch."""
 
     def write(path):
         ordered = inputs.packets(spark, sf_dir)
         cuts = ordered.select(F.percentile_approx("timestamp_ns", [0.25, 0.5, 0.75]).alias("cuts")).first()["cuts"]
         for low, high in reversed(list(zip([0, *cuts], [*cuts, 2**63 - 1], strict=True))):
-            ordered.where((F.col("timestamp_ns") >= low) & (F.col("timestamp_ns") < high)).coalesce(1).write.mode("append").parquet(path)
+            quarter = ordered.where((F.col("timestamp_ns") >= low) & (F.col("timestamp_ns") < high))
+            quarter.repartitionByRange(2, "timestamp_ns").write.mode("append").parquet(path)
 
-    return tables.stream_packets(spark, inputs.stored(spark, sf_dir, "newest-first", write), 1)
+    return tables.stream_packets(spark, inputs.stored(spark, sf_dir, "newest-first", write), 2)
 
 
 @query("stream_late_counters", oracle.on("packets", "SELECT ts, sensor, packets, bytes FROM seconds", SECONDS))
@@ -103,8 +162,7 @@ def stream_dedup(spark, sf_dir):
 
 def _deduplicated(spark, name, packets):
     path = _run(spark, name, lambda out, state: stream.ingest_deduplicated(packets, out, state))
-    rows = spark.read.schema(f"{schemas.CAPTURE}, chsumm STRING, date DATE").parquet(path)
-    return rows.where("date IS NOT NULL").select("chsumm", F.col("`from`").alias("from_user"), "callid", "msg")
+    return stream.read_deduplicated(spark, path).select("chsumm", F.col("`from`").alias("from_user"), "callid", "msg")
 
 
 @query(
@@ -149,6 +207,17 @@ def drop_expired_days(spark, sf_dir):
     return spark.table(table).groupBy("date").agg(F.count(F.lit(1)).alias("stored"))
 
 
+@query(
+    "delete_expired",
+    oracle.on("capture", "SELECT id, datetime FROM capture WHERE datetime > TIMESTAMP '2024-01-16 12:00:00' - INTERVAL 1 DAY"),
+)
+def delete_expired(spark, sf_dir):
+    """What is left in the table after whole days are dropped and the border day is written anew."""
+    table = _table(spark, sf_dir, "retained")
+    maintenance.delete_expired(spark, table, "2024-01-16 12:00:00")
+    return spark.table(table).select("id", "datetime")
+
+
 _MEASURED = ["id", "source_ip", "source_port", "destination_ip", "destination_port", "response_code", "malformed"]
 
 

@@ -30,6 +30,8 @@ CAPTURE = (
 
 SDP = "id BIGINT, codec STRING"
 
+REJECT = f"{PACKET}, reason STRING, date DATE"
+
 METRIC = "ts TIMESTAMP, metric STRING, sensor STRING, value DOUBLE"
 
 

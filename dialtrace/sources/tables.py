@@ -36,17 +36,29 @@ def day_layout(rows: DataFrame, gather: bool = True) -> DataFrame:
     return dated.sortWithinPartitions("date", "callid", "datetime")
 
 
-def append_capture(rows: DataFrame, path: str, gather: bool = True) -> None:
-    writer = day_layout(rows, gather).write.mode("append").partitionBy("date")
+def _with_filters(writer):
     for column in LOOKUP_COLUMNS:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
+    return writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+
+
+def append_capture(rows: DataFrame, path: str, gather: bool = True) -> None:
+    _with_filters(day_layout(rows, gather).write.mode("append").partitionBy("date")).parquet(path)
 
 
-def append_sdp(rows: DataFrame, path: str) -> None:
+def day_writer(rows: DataFrame):
+    """Writer of the rows of one day, in the layout of the others."""
+    return _with_filters(rows.hint("rebalance").sortWithinPartitions("callid", "datetime").write)
+
+
+def append_by_day(rows: DataFrame, path: str) -> None:
+    """Appends rows that have a day, each day's rows gathered and large days split."""
     rows.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
 
 
+append_sdp = append_by_day
+
+
 def read_capture(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{schemas.CAPTURE}, date DATE").parquet(path)
 
