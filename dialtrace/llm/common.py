@@ -66,6 +66,14 @@ def keep_nothing() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def free_name(docs: DataFrame, wish: str) -> str:
+    """A column name that the documents do not have."""
+    taken = {c.lower() for c in docs.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def whole_text(column: str = "text") -> Column:
     """The whole text; a missing one counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -47,7 +47,7 @@ def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, leas
     ends. Lines without a word are never dropped. A missing host is a host of its own, a
     missing text stays missing and has no lines; repeated rows are pages of their own.
     All columns of the documents are returned; columns of theirs that are named n_lines
-    or n_dropped are replaced. The table of hosts is joined by what its size allows:
+    or n_dropped are replaced. An empty table gives no rows. The table of hosts is joined by what its size allows:
     the planner broadcasts a small one and else shuffles by host, splitting hot hosts.
     """
     lines = keep(boilerplate(docs, host, ratio, least_pages), "boilerplate")

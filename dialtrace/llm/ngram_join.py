@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialtrace.llm.common import in_small_batches, keep_nothing, whole_text
+from dialtrace.llm.common import free_name, in_small_batches, keep_nothing, whole_text
 from dialtrace.llm.components import components
 from dialtrace.session import keep
 
@@ -335,10 +335,21 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents without all but the smallest doc_id of each component, all columns kept.
-
-    Documents without shingles stay, and so do rows without an id.
+    """The documents without all but one row of each component, all columns kept.
+
+    The row with the smallest doc_id stays, whatever number of rows has that id: rows
+    are told apart by numbers of their own, so a row goes for its own text and never
+    for that of another row of its id. Of repeated rows one stays; a row without an id
+    stays if its component has no row with one. Rows without shingles, as those with a
+    missing or empty text, all stay. Columns may have any names. An empty table gives
+    no rows.
     """
-    found = near_components(docs)
-    copies = keep(found.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_copy_id")).distinct(), "copies")
-    return docs.join(copies, F.col("doc_id") == F.col("_copy_id"), "left_anti")
+    row, number = free_name(docs, "row"), F.col("doc_id")
+    # written, so that each row has the same number wherever it is read
+    numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_components(numbered.select(F.col(row).alias("doc_id"), "text")).where("n_shingles > 0").select(number.alias("row"), "component_id")
+    ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    members = keep(found.join(ids, "row"), "members")
+    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select("component_id", F.col("first.row").alias("stays"))
+    gone = keep(members.join(stays, "component_id").where("row <> stays").select(F.col("row").alias(row)), "copies")
+    return numbered.join(gone, row, "left_anti").drop(row).select(*[f"`{c}`" for c in docs.columns])

@@ -263,9 +263,9 @@ def score_words(docs: DataFrame, model: DataFrame, rates: DataFrame, head_rows:
     in the task, and keys that a filter of fixed size does not know are not sent.
     """
     context = docs.sparkSession.sparkContext
-    head = model.orderBy(F.desc("n"), "key").limit(head_rows).select("key", "a", "b").toPandas().sort_values("key")
+    head = model.orderBy(F.desc("n"), "key").limit(head_rows).select("key", "a", "b").toArrow().to_pandas().sort_values("key")
     marks = model.select(F.expr(f"pmod(key >> 6, {cells})").alias("cell"), F.expr("1L << CAST(key & 63 AS INT)").alias("bit"))
-    marks = marks.groupBy("cell").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
+    marks = marks.groupBy("cell").agg(F.expr("bit_or(bit)").alias("bits")).toArrow().to_pandas()
     bits = np.zeros(cells, dtype=np.int64)
     bits[marks["cell"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64)
     shared = context.broadcast((head["key"].to_numpy(np.int64), head["a"].to_numpy(), head["b"].to_numpy(), bits))
@@ -340,8 +340,11 @@ def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> Da
     for shard in shards:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for lang in shard:
-            rows = model.where(F.col("lang") == lang).select("context", "logps").toPandas()
-            contexts, logps = rows["context"].to_numpy(np.int64), np.stack(rows["logps"].to_numpy()).astype(np.float32)
+            # as Arrow columns: rows of Python numbers take ten times the driver's memory
+            rows = model.where(F.col("lang") == lang).select("context", "logps").toArrow()
+            contexts = rows["context"].to_numpy()
+            logps = rows["logps"].combine_chunks().flatten().to_numpy().reshape(-1, SYMBOLS)
+            del rows
             # row of each context; a context that does not occur has the row of the next order
             k = SYMBOLS
             row_of = np.empty(k**3, dtype=np.int32)
@@ -457,7 +460,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with all their columns.
 
     Rows that share an id are kept or rejected together; a row without an id has no
-    verdict and stays if it has a text.
+    verdict and stays if it has a text. Rows with a missing or empty text go; repeated
+    rows all stay or go. Columns may have any names. An empty table gives no rows.
     """
-    bad = keep(classify(docs, labels).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_bad_id")).distinct(), "rejected")
-    return docs.where("text <> ''").join(bad, F.col("doc_id") == F.col("_bad_id"), "left_anti")
+    bad = keep(classify(docs, labels).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "rejected")
+    return docs.where("text <> ''").join(bad, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

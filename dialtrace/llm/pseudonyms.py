@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialtrace.llm.common import with_text
 
-#: Default key of tests and checks; a production run passes its own secret.
-KEY = "change-me"
+#: Setting of a session that holds the secret key of its pseudonyms.
+KEY_SETTING = "spark.dialtrace.pseudonymKey"
 ROUNDS = 8
 
+
+def session_key(spark: SparkSession) -> str:
+    """The session's secret key; a fresh one if it has none, under which values stay linked in one run only."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+
+
 #: The form of each kind, in order of precedence.
 FORMS: dict[str, str] = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -222,7 +229,7 @@ def replacement(value: Column, key: str) -> Column:
     return F.struct(kind.alias("kind"), new.alias("new"))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """The documents with personal data replaced, and n_pii and pii_kinds.
 
     Emails, secrets, telephone, card and social security numbers, network addresses and
@@ -233,6 +240,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     A missing text stays missing with n_pii 0; repeated rows are treated alike; all
     columns of the documents are returned, with n_pii and pii_kinds replaced if there.
+    An empty table gives no rows. Whoever has the key can invert the pseudonyms.
     """
     docs = docs.drop("n_pii", "pii_kinds")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -109,9 +109,9 @@ def op6(spark, sf_dir):
 
 @query("op7_pseudonyms")
 def op7(spark, sf_dir):
-    from dialtrace.llm.pseudonyms import pseudonymise
+    from dialtrace.llm.pseudonyms import pseudonymise, session_key
 
-    return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii", "pii_kinds")
+    return pseudonymise(table(spark, sf_dir, "documents"), session_key(spark)).select("doc_id", "text", "n_pii", "pii_kinds")
 
 
 @query("op8_packing")
@@ -171,7 +171,7 @@ def op9b(spark, sf_dir):
     ), l AS (SELECT page, doc_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM p
     ), k AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key FROM l
     ), common AS (SELECT host, key FROM k JOIN (SELECT host, count(*) AS total FROM p GROUP BY host) USING (host) WHERE key <> ''
-        GROUP BY host, key, total HAVING count(DISTINCT page) >= 5 AND count(DISTINCT page) > 0.1 * total
+        GROUP BY host, key, total HAVING count(DISTINCT page) >= 5 AND count(DISTINCT page) > 0.01 * total
     ), kept AS (SELECT k.page, k.line, k.no, c.key IS NOT NULL AS dropped FROM k LEFT JOIN common c ON k.host = c.host AND k.key = c.key
     ), r AS (SELECT page, string_agg(line, chr(10) ORDER BY no) FILTER (NOT dropped) AS text, count(*) AS n, count(*) FILTER (dropped) AS d FROM kept GROUP BY page
     ) SELECT doc_id, CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text, CAST(coalesce(r.n, 0) AS BIGINT) AS n_lines,
@@ -180,8 +180,7 @@ def op9b(spark, sf_dir):
 def op10(spark, sf_dir):
     from dialtrace.llm.line_dedup import line_dedup
 
-    # the share that the checking SQL has; the pipeline takes the default
-    return line_dedup(table(spark, sf_dir, "documents"), ratio=0.1).select("doc_id", "text", "n_lines", "n_dropped")
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 @query(

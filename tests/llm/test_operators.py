@@ -183,7 +183,7 @@ def test_pseudonyms(spark):
     good = next(body + str(k) for k in range(10) if luhn(body + str(k)))
     text = text.replace("4418452524842581", good)
     rows = [(1, text), (2, "again jo.doe7@mail.example.com"), (3, None), (4, ""), (5, "no data"), (2, "again jo.doe7@mail.example.com")]
-    found = pseudonyms.pseudonymise(documents(spark, rows)).collect()
+    found = pseudonyms.pseudonymise(documents(spark, rows), "key of tests").collect()
     out = {r["doc_id"]: r for r in found}
     new = out[1]["text"]
     assert len(found) == len(rows)
@@ -203,7 +203,7 @@ def test_pseudonyms_of_other_phones_and_dates(spark):
             "020 7946 0958", "01 23 45 67 89", "(030) 1234567", "1/2/2024", "3.4.2024", "2/29/2024"]
     stays = ["30.2.2024", "12 345 678", "2024-25", "1.2.3", "1234567890", "+1 (111) 222 3333"]
     rows = [(k, f"at {v}, yes") for k, v in enumerate(gone + stays)] + [(90, "4418 4525 2484 2586"), (91, "+442079460958"), (92, "+1 415 555 0123")]
-    out = {r["doc_id"]: r for r in pseudonyms.pseudonymise(documents(spark, rows)).collect()}
+    out = {r["doc_id"]: r for r in pseudonyms.pseudonymise(documents(spark, rows), "key of tests").collect()}
     form = lambda t: re.sub("[0-9]", "0", t)
     plain = lambda k: re.sub("[^0-9]", "", out[k]["text"])
     for k, v in enumerate(gone):
@@ -354,6 +354,25 @@ def test_model_sums_to_one():
 def test_empty_tables(spark):
     docs = documents(spark, [(1, "x")]).where("doc_id > 5")
     labels = spark.createDataFrame([], "doc_id BIGINT, quality INT, toxic INT")
-    for df in (exact_dedup.exact_dedup(docs), ngram_join.near_components(docs), suffix_dedup.suffix_dedup(docs), pseudonyms.pseudonymise(docs),
+    for df in (exact_dedup.exact_dedup(docs), ngram_join.near_components(docs), suffix_dedup.suffix_dedup(docs), pseudonyms.pseudonymise(docs, "key of tests"),
                packing.pack(docs, tokenizer_file()), quality_rules.quality_rules(docs), line_dedup.line_dedup(docs), perplexity.classify(docs, labels)):
         assert df.count() == 0
+
+
+def test_near_copies_lose_no_row_of_another_text(spark):
+    """Rows are dropped one by one: a text that links with nothing stays, whatever its id."""
+    a, b = "one two three four five six seven eight", "something else that is like no other text here"
+    rows = [(1, a), (1, a), (5, a), (5, b), (None, a), (None, a), (6, None), (6, None), (7, ""), (None, b + " at all " * 9), (None, b + " at all " * 9)]
+    docs = documents(spark, rows).withColumns({"_copy_id": F.lit(1), "row": F.lit(2), "component_id": F.lit(3)})
+    found = ngram_join.drop_near_copies(docs)
+    assert found.columns == docs.columns
+    expected = [(1, a), (5, b), (6, None), (6, None), (7, ""), (None, b + " at all " * 9)]
+    assert collected(found, "doc_id", "text") == Counter(expected)
+
+
+def test_classifier_takes_any_column_names(spark):
+    docs = documents(spark, [(1, "some words"), (2, ""), (3, None)]).withColumn("_bad_id", F.lit(1))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id BIGINT, quality INT, toxic INT")
+    found = perplexity.keep_good(docs, labels)
+    assert found.columns == docs.columns
+    assert collected(found, "doc_id") == Counter([(1,)])
