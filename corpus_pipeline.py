@@ -14,7 +14,7 @@ from dialtrace.llm.line_dedup import line_dedup
 from dialtrace.llm.ngram_join import drop_near_copies
 from dialtrace.llm.packing import pack
 from dialtrace.llm.perplexity import keep_good
-from dialtrace.llm.pseudonyms import pseudonymise
+from dialtrace.llm.pseudonyms import pseudonymise, session_key
 from dialtrace.llm.registry import tokenizer_file
 from dialtrace.session import keep
 
@@ -30,13 +30,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id."""
+    """One row of each group of near copies stays, that of the smallest id."""
     return drop_near_copies(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by pseudonyms."""
-    return pseudonymise(docs).drop("n_pii", "pii_kinds")
+    """Personal data is replaced by pseudonyms under the session's key."""
+    return pseudonymise(docs, session_key(spark)).drop("n_pii", "pii_kinds")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
