@@ -102,16 +102,13 @@ class EpochStore:
         that readers have the time of two to finish.
         """
         merges = merges or {}
-        self._sweep()
+        live = self._sweep()
         level = 0
-        while True:
-            live = sorted((e for e in self.entries() if e.level == level and e.last < before), key=lambda e: e.first)
-            if len(live) < self.fanout:
-                if not any(e.level > level for e in self.entries()):
-                    return
+        while level <= max((e.level for e in live), default=-1):
+            some = sorted((e for e in live if e.level == level and e.last < before), key=lambda e: e.first)[: self.fanout]
+            if len(some) < self.fanout:
                 level += 1
                 continue
-            some = live[: self.fanout]
             first, last = some[0].first, some[-1].last
             folders: dict[str, list[str]] = {}
             for table in sorted({t for e in some for t in e.folders}):
@@ -123,15 +120,19 @@ class EpochStore:
                     rows.write.partitionBy(*by).parquet(f"{self.path}/data/{target}")
                     old = [target]
                 folders[table] = old
-            self._publish(Entry(level + 1, first, last, folders))
+            merged = Entry(level + 1, first, last, folders)
+            self._publish(merged)
+            live = [e for e in live if e not in some] + [merged]
 
-    def _sweep(self) -> None:
+    def _sweep(self) -> list[Entry]:
+        """Removes what nothing names any more; returns the entries that count."""
         every = self.every_entry()
         named = {folder for e in every for folders in e.folders.values() for folder in folders}
         for table in files.names(self.spark, f"{self.path}/data"):
             for folder in files.names(self.spark, f"{self.path}/data/{table}"):
                 if f"{table}/{folder}" not in named:
                     files.remove(self.spark, f"{self.path}/data/{table}/{folder}")
-        for e in every:
-            if any(other.covers(e) for other in every):
-                files.remove(self.spark, f"{self.path}/log/{e.name}")
+        old = [e for e in every if any(other.covers(e) for other in every)]
+        for e in old:
+            files.remove(self.spark, f"{self.path}/log/{e.name}")
+        return [e for e in every if e not in old]
