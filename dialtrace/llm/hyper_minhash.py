@@ -143,8 +143,8 @@ def may_link() -> Column:
 def marks_agree() -> Column:
     """A first estimate by the words ma0 .. mb9, in a few operations on whole words.
 
-    Four bits of two different registers agree once in NIBBLE times; the count of
-    different ones is corrected by that.
+    Four bits of two different registers may agree, so no more differ than do, and
+    the later estimate from whole registers is the one that is corrected.
     """
     differ = used = None
     for k in range(8):
@@ -155,7 +155,7 @@ def marks_agree() -> Column:
     for k in (8, 9):
         count = F.bit_count(F.col(f"ma{k}").bitwiseOR(F.col(f"mb{k}")))
         used = count if used is None else used + count
-    return allows(differ * NIBBLE / (NIBBLE - 1), used)
+    return allows(differ, used)
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
