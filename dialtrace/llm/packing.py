@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialtrace.llm.common import in_small_batches, whole_text
+from dialtrace.llm.common import small_batches, whole_text
 from dialtrace.llm.tokens import encoder
 from dialtrace.session import keep
 
@@ -72,12 +72,12 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end: int) -> DataFrame:
     """
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode_all, part = encoder(tokenizer).encode_all, TaskContext.get().partitionId()
         closing, row, full = np.asarray([end], dtype="<u4").tobytes(), 0, 0
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encode(text) + closing
+            for doc_id, ids in zip(batch["doc_id"], encode_all(batch["text"].tolist()), strict=True):
+                ids += closing
                 n, row = len(ids) // 4, row + 1
                 salt = xxhash.xxh64_intdigest(f"{doc_id} {part} {row}") >> 1
                 for start in range(0, n, capacity):
@@ -105,7 +105,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     repeated rows are documents of their own. An empty table gives no rows. Further
     columns are not read.
     """
-    pieces = keep(cut(in_small_batches(docs), tokenizer, capacity, end), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = keep(cut(docs, tokenizer, capacity, end), "pieces")
     rests = pieces.where(F.col("own_sequence").isNull()).drop("own_sequence")
     groups = max(1, -(-rests.count() // group))
 

@@ -11,15 +11,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialtrace.llm.common import whole_text
+from dialtrace.llm.common import small_batches, whole_text
 from dialtrace.llm.tokens import encoder
 
-#: The id that ends a document, tokens from which a shard is closed, and the grammar's limits:
-#: a pair becomes a rule if it occurs so often, in so many rounds at most.
+#: The id that ends a document, tokens from which a shard is closed, and how often a pair
+#: occurs that becomes a rule.
 END = 0
 SHARD_TOKENS = 1 << 19
-LEAST = 32
-MOST_ROUNDS = 3
+LEAST = 8
 
 #: One row of a file is one shard: the ids of consecutive documents. ``rules`` holds the two
 #: sides of each rule and ``lengths`` how many ids it stands for; symbols from ``first_rule``
@@ -35,45 +34,55 @@ def u4(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values, dtype="<u4").tobytes()
 
 
-def frequent_pairs(row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each frequent pair in ``row`` and the pair's number; 0 is the most frequent."""
+def frequent_pairs(row: np.ndarray, maybe: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places ``maybe``, those of frequent pairs, and each one's number; 0 is the most frequent."""
     # counting by a short hash first leaves few pairs to sort
-    short = (row[:-1] * 0x9E37 + row[1:] * 0x6A09) & 0xFFFFF
-    at = np.flatnonzero(np.bincount(short, minlength=1 << 20)[short] >= least)
-    found, number, count = np.unique(row[at] << 32 | row[at + 1], return_inverse=True, return_counts=True)
+    left, right = row[maybe], row[maybe + 1]
+    short = (left * 0x9E37 + right * 0x6A09) & 0x3FFFF
+    often = np.bincount(short, minlength=1 << 18)[short] >= least
+    at = maybe[often]
+    found, number, count = np.unique(left[often] << 32 | right[often], return_inverse=True, return_counts=True)
     order = np.lexsort((found, -count))
     rank = np.empty(len(found), dtype=np.int64)
     rank[order] = np.arange(len(found))
-    often = int((count >= least).sum())
+    frequent = int((count >= least).sum())
     ranks = rank[number]
-    return at[ranks < often], ranks[ranks < often]
+    return at[ranks < frequent], ranks[ranks < frequent]
 
 
-def compress(row: np.ndarray, first_rule: int, least: int = LEAST, most_rounds: int = MOST_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(row: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (n, 2), their expansion lengths, and the remaining symbols.
 
     A round replaces all pairs that occur ``least`` times or more, the more frequent one
     where two overlap and the left one where a pair overlaps itself, and the next round
-    counts anew; this is the pair-by-pair replacement taken a whole layer at a time.
+    counts anew; this is the pair-by-pair replacement taken a whole layer at a time. It
+    ends when no pair occurs so often. A later round only counts pairs that have a symbol
+    of the round before and those that were frequent in it: all others were rare and stay so.
     """
     rules, lengths = [np.empty((0, 2), dtype=np.int64)], [np.empty(0, dtype=np.int64)]
     known = 0
-    for _ in range(most_rounds):
-        if len(row) < 2:
-            break
-        at, rank = frequent_pairs(row, least)
+    maybe = np.arange(max(0, len(row) - 1))
+    while True:
+        at, rank = frequent_pairs(row, maybe, least)
         if not len(at):
             break
-        best = np.full(len(row) + 1, np.iinfo(np.int64).max)
-        best[at] = rank
-        here = best[at]
-        won = at[(here <= best[at + 1]) & ((at == 0) | (here <= best[np.maximum(at, 1) - 1]))]
+        # a pair beside a more frequent one that shares a symbol with it waits for the next round
+        wins, beside = np.ones(len(at), dtype=bool), np.diff(at) == 1
+        wins[:-1] &= ~beside | (rank[:-1] <= rank[1:])
+        wins[1:] &= ~beside | (rank[1:] <= rank[:-1])
+        won, rank_won = at[wins], rank[wins]
         # neighbours among the winners are runs of one pair with itself: every second one stays
         run = np.cumsum(np.diff(won, prepend=-2) != 1) - 1
         first = won[np.flatnonzero(np.diff(run, prepend=-1))][run]
-        won = won[(won - first) % 2 == 0]
-        used, rule = np.unique(best[won], return_inverse=True)
-        where = won[np.unique(rule, return_index=True)[1]]
+        second = (won - first) % 2 == 0
+        won, rank_won = won[second], rank_won[second]
+        place = np.full(int(rank.max()) + 1, -1)
+        place[rank_won[::-1]] = won[::-1]
+        used = np.flatnonzero(place >= 0)
+        where = place[used]
+        number = np.zeros(len(place), dtype=np.int64)
+        number[used] = np.arange(len(used))
+        rule = number[rank_won]
         sides = np.stack([row[where], row[where + 1]], axis=1)
         all_lengths = np.concatenate(lengths)
         size = np.ones(sides.shape, dtype=np.int64)
@@ -83,10 +92,14 @@ def compress(row: np.ndarray, first_rule: int, least: int = LEAST, most_rounds:
         lengths.append(size.sum(axis=1))
         row = row.copy()
         row[won] = first_rule + known + rule
-        known += len(used)
-        stays = np.ones(len(row), dtype=bool)
+        stays, again = np.ones(len(row), dtype=bool), np.zeros(len(row), dtype=bool)
         stays[won + 1] = False
-        row = row[stays]
+        again[at] = True
+        row, again = row[stays], again[stays]
+        again |= row >= first_rule + known
+        again[:-1] |= row[1:] >= first_rule + known
+        maybe = np.flatnonzero(again[:-1])
+        known += len(used)
     return np.concatenate(rules), np.concatenate(lengths), row
 
 
@@ -132,6 +145,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, sha
     The documents are dealt by ranges of doc_id, and each task writes its shards in
     order; a missing doc_id comes first, a missing text is empty. A shard ends with the
     document that fills it, so memory is bounded by ``shard_tokens`` and one document.
+    Repeated rows are documents of their own, in any order among themselves; an empty
+    table gives no files' rows. Further columns are not read.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -152,8 +167,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, sha
             return pd.DataFrame([out], columns=[x.split()[0] for x in FILES.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                held.append(tool.encode(text) + closing)
+            for doc_id, ids in zip(batch["doc_id"], tool.encode_all(batch["text"].tolist()), strict=True):
+                held.append(ids + closing)
                 doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
                 n += len(held[-1]) // 4
                 if n >= shard_tokens:
@@ -164,7 +179,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, sha
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     ordered = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInPandas(shards, FILES).write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        ordered.mapInPandas(shards, FILES).write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

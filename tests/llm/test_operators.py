@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from dialtrace.llm import exact_dedup, line_dedup, ngram_join, packing, perplexity, pseudonyms, quality_rules, suffix_dedup, token_store
+from dialtrace.llm import exact_dedup, line_dedup, ngram_join, packing, perplexity, pseudonyms, quality_rules, suffix_dedup, token_store, tokens
 from dialtrace.llm.common import keep_nothing, kept_by_worker
 from dialtrace.llm.registry import tokenizer_file
 from dialtrace.llm.sentence_pieces import encode_decode, pieces_of
@@ -86,11 +86,32 @@ def test_token_files(spark, odd_rows, tmp_path):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found) == Counter((i, len(x), crc(x)) for i, x in ((i, plain_ids(t)) for i, t in odd_rows))
 
 
+
+def test_encoder_parts_texts_like_the_tokenizer():
+    tool = tokens.Encoder(tokenizer_file())
+    signs = [" ", " ", "  ", ",", ".", "\n", "\t", "\r", "\x01", "\x0b", "\x1c", "\x85", "\u00a0", "'", "'s", "!", "_", "-", "<|endoftext|>"]
+    letters = ["a", "B", "don't", "\u00e9", "\u00df", "\u00b2", "1", "\u0663", "\u4e2d", "\u0301", "\u0436", "\u01c4", "\U0001f600"]
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(signs + letters) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    texts += ["word, other. " * 200_000, "x" * 20_000, None, ""]
+    for text, ids in zip(texts, tool.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tool.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+    assert list(tool.encode_all([])) == []
+
+
+def test_grammar_ends_without_frequent_pairs():
+    rng = np.random.default_rng(3)
+    for row in (rng.integers(0, 4, 3000), np.ones(1000, dtype=np.int64), np.arange(50), np.empty(0, dtype=np.int64)):
+        rules, _, rest = token_store.compress(row, 100, least=3)
+        assert token_store.expand(rest, rules, 100).tolist() == row.tolist()
+        assert max(Counter(zip(rest[:-1].tolist(), rest[1:].tolist())).values(), default=0) < 3
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     for _ in range(60):
         row = rng.integers(0, rng.integers(1, 6), rng.integers(0, 300)).astype(np.int64)
-        rules, lengths, rest = token_store.compress(row, 100, least=3, most_rounds=9)
+        rules, lengths, rest = token_store.compress(row, 100, least=3)
         assert (token_store.expand(rest, rules, 100) == row).all()
         raw = pd.Series({"first_rule": 100, "rules": token_store.u4(rules), "symbols": token_store.u4(rest), "lengths": token_store.u4(lengths), "doc_ids": [1], "doc_starts": token_store.u4(np.zeros(1)), "n_tokens": len(row)})
         shard = token_store.Shard(raw)
