@@ -15,9 +15,9 @@ from dialtrace.plans.callflow import call_flow, call_flows, export_flow, export_
 from dialtrace.plans.dashboards import dashboard
 from dialtrace.plans.ingest import to_capture, to_sdp
 from dialtrace.plans.search import search, search_document
-from dialtrace.sources.pcap import read_savefiles, write_savefiles
+from dialtrace.sources.pcap import index_savefiles, indexed_packets, read_savefiles, write_savefiles
 
 __all__ = [
-    "call_flow", "call_flows", "dashboard", "export_flow", "export_flows", "message",
+    "call_flow", "call_flows", "dashboard", "export_flow", "export_flows", "index_savefiles", "indexed_packets", "message",
     "read_savefiles", "search", "search_document", "to_capture", "to_sdp", "write_savefiles",
 ]

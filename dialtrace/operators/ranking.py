@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dialtrace.session import keep
+
 
 def first_per(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
     """First row of each group.
@@ -38,3 +40,22 @@ def top_distinct_per(
     """
     unique = first_per(df, [*keys, distinct], order).withColumn("_salt", F.pmod(F.xxhash64(distinct), F.lit(salts)))
     return top_per(top_per(unique, [*keys, "_salt"], order, k, "_rank").drop("_rank", "_salt"), keys, order, k, number)
+
+
+def numbered(df: DataFrame, order: list, number: str, first: int = 1, weight: Column | None = None) -> DataFrame:
+    """All rows in order, each with its place in column ``number``, counted from ``first``.
+
+    With ``weight`` the number is ``first`` plus the weights of all rows before it. Rows
+    are cut into ranges of the order and stored; each range is numbered by itself, on top
+    of what the ranges before it add up to, so no task sees more than a range. Rows that
+    are equal in ``order`` have different numbers in no particular order. Without rows
+    there are none.
+    """
+    one = F.lit(1) if weight is None else weight
+    rows = keep(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    # as many rows as the shuffle has partitions
+    sizes = rows.groupBy("_range").agg(F.sum(one).alias("_size"))
+    before = sizes.select("_range", (F.sum("_size").over(W.orderBy("_range")) - F.col("_size")).alias("_before"))
+    within = F.sum(one).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    placed = rows.withColumn("_within", F.coalesce(within, F.lit(0))).join(F.broadcast(before), "_range")
+    return placed.withColumn(number, (F.col("_before") + F.col("_within") + first).cast("bigint")).drop("_range", "_before", "_within")

@@ -11,7 +11,7 @@ from dialtrace.functions.net import endpoint
 from dialtrace.functions.text import message_label
 from dialtrace.functions.time import epoch_seconds
 from dialtrace.operators.filters import search_filter
-from dialtrace.operators.ranking import first_per
+from dialtrace.operators.ranking import first_per, numbered
 from dialtrace.session import keep
 
 # up to here Spark keeps the leading rows in a heap; later pages go by counts per time step
@@ -80,6 +80,11 @@ _STEPS = [3_600_000_000, 1_000_000]
 _NO_TIME = -(2**62)
 
 
+def in_time_order(found: DataFrame) -> DataFrame:
+    """All rows with their place in time order, from 1, in column ``place``; for exports of whole results."""
+    return numbered(found, _order(), "place")
+
+
 def take_page(found: DataFrame, limit: int, offset: int) -> DataFrame:
     """Rows ``offset+1 .. offset+limit`` in time order, exactly.
 

@@ -100,6 +100,12 @@ def time_order(spark, sf_dir):
     return plan.take_page(found, 500, 0).select("id", "datetime")
 
 
+@query("time_order_all", oracle.on("capture", "SELECT id, datetime, row_number() OVER (ORDER BY datetime, id) AS place FROM capture"))
+def time_order_all(spark, sf_dir):
+    found = plan.matches(inputs.capture(spark, sf_dir), grouping=0)
+    return plan.in_time_order(found).select("id", "datetime", "place")
+
+
 @query(
     "sort_grid",
     oracle.on("capture", f"SELECT {oracle.RESULT} FROM found WHERE malformed = 1 ORDER BY method DESC, from_user, id", oracle.matching()),

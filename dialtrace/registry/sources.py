@@ -220,6 +220,55 @@ def pcap_scan(spark, sf_dir):
     return df.withColumn("payload", payload).drop("pkt_hex")
 
 
+def _savefile_index(spark, sf_dir):
+    """Index of savefiles of the packets that go to the parser, in many runs."""
+    path = inputs.stored(spark, sf_dir, "accepted-savefiles", lambda path: pcap.write_savefiles(accepted(inputs.packets(spark, sf_dir)), path))
+    return pcap.index_savefiles(spark, path, split_bytes=1 << 16)
+
+
+@query("pcap_to_capture", oracle.on("capture", "SELECT * EXCLUDE (id) REPLACE (split_part(msg, 'RAW PACKET:', 1) AS msg) FROM capture"))
+def pcap_to_capture(spark, sf_dir):
+    """Savefiles to capture rows.
+
+    Ids count the packets in order of the files, so they are checked by themselves. The
+    frame in a report has the link and address headers of the savefile, which the writer
+    builds anew, so reports are compared up to it.
+    """
+    rows = to_capture(pcap.indexed_packets(_savefile_index(spark, sf_dir))).drop("id")
+    return rows.withColumn("msg", F.substring_index("msg", "RAW PACKET:", 1))
+
+
+@query(
+    "pcap_packet_ids",
+    oracle.on("capture", """SELECT CAST(count(*) AS BIGINT) AS packets, CAST(count(*) AS BIGINT) AS different, CAST(1 AS BIGINT) AS least,
+        CAST(count(*) AS BIGINT) AS most FROM capture"""),
+)
+def pcap_packet_ids(spark, sf_dir):
+    packets = pcap.indexed_packets(_savefile_index(spark, sf_dir))
+    return packets.agg(
+        F.count(F.lit(1)).alias("packets"), F.countDistinct("pkt_id").alias("different"), F.min("pkt_id").alias("least"), F.max("pkt_id").alias("most")
+    )
+
+
+@query(
+    "pcap_time_range",
+    oracle.on(
+        "packets",
+        """SELECT timestamp_ns, src_ip, src_port, dst_ip, dst_port, substr(pkt_hex, payload_offset * 2 + 1) AS payload
+        FROM sound, span WHERE timestamp_ns BETWEEN least + size // 4 AND least + size // 2""",
+        "sound AS (SELECT * FROM packets WHERE ip_version = 4 AND payload_offset < len AND length(pkt_hex) = 2 * len)",
+        "span AS (SELECT min(timestamp_ns) AS least, max(timestamp_ns) - min(timestamp_ns) AS size FROM sound)",
+    ),
+)
+def pcap_time_range(spark, sf_dir):
+    """The packets of the second quarter of the time that the index spans."""
+    index = _savefile_index(spark, sf_dir)
+    least, most = index.agg(F.min("least_ns"), F.max("most_ns")).first()
+    found = pcap.indexed_packets(index, least + (most - least) // 4, least + (most - least) // 2)
+    payload = F.substr(F.col("pkt_hex"), F.col("payload_offset") * 2 + 1).alias("payload")
+    return found.select("timestamp_ns", "src_ip", "src_port", "dst_ip", "dst_port", payload)
+
+
 @query("message_publish", oracle.on("parsed", f"SELECT {ENVELOPE} AS value FROM parsed"))
 def message_publish(spark, sf_dir):
     path = work_dir(spark, "published")

@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from dialtrace.operators.ranking import numbered
+from dialtrace.session import keep
+
 # fixed values: savefile layout
 MAGIC_MICRO = 0xA1B2C3D4
 MAGIC_NANO = 0xA1B23C4D
@@ -180,8 +183,9 @@ def _layout(header: bytes) -> tuple[str, bool]:
 def _index(split_bytes: int):
     """Finds record boundaries: one row per run of records of about ``split_bytes``.
 
-    What cannot be read gives a row with a reason: a file of another kind or link type,
-    and the bytes from a record on that is cut or has an impossible length.
+    A run has the number of its records and their least and greatest time. What cannot
+    be read gives a row with a reason: a file of another kind or link type, and the
+    bytes from a record on that is cut or has an impossible length.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,29 +202,34 @@ def _index(split_bytes: int):
                     except (ValueError, struct.error):
                         order, nano, reason = "<", False, "not a capture savefile"
                     start = position = FILE_HEADER if reason is None else 0
+                    scale = 1 if nano else 1000
+                    records, least, most = 0, None, None
                     while reason is None and (header := source.read(RECORD_HEADER)):
-                        kept = struct.unpack(f"{order}I", header[8:12])[0] if len(header) == RECORD_HEADER else 0
+                        second, fraction, kept = struct.unpack(f"{order}III", header[:12]) if len(header) == RECORD_HEADER else (0, 0, 0)
                         if kept > MOST_RECORD:
                             reason = "impossible record length"
                         elif len(header) < RECORD_HEADER or len(source.read(kept)) < kept:
                             reason = "cut record"
                         else:
                             position += RECORD_HEADER + kept
+                            records, at = records + 1, second * 1_000_000_000 + fraction * scale
+                            least, most = (at, at) if least is None else (min(least, at), max(most, at))
                         if position - start >= split_bytes:
-                            rows.append((path, start, position, order, nano, None))
-                            start = position
+                            rows.append((path, start, position, order, nano, None, records, least, most))
+                            start, records, least, most = position, 0, None, None
                     if position > start:
-                        rows.append((path, start, position, order, nano, None))
+                        rows.append((path, start, position, order, nano, None, records, least, most))
                     if reason is not None:
-                        rows.append((path, position, None, order, nano, reason))
-                yield pd.DataFrame(rows, columns=["path", "start", "end", "byte_order", "nano", "reason"]).astype({"end": "Int64"})
+                        rows.append((path, position, None, order, nano, reason, 0, None, None))
+                columns = ["path", "start", "end", "byte_order", "nano", "reason", "records", "least_ns", "most_ns"]
+                yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("end", "least_ns", "most_ns")})
 
     return run
 
 
 def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Records of the given runs; each run is read at once, its size is bounded."""
-    columns = ["timestamp_ns", "len", "frame"]
+    """Records of the given runs, numbered from ``first_id``; each run is read at once, its size is bounded."""
+    columns = ["pkt_id", "timestamp_ns", "len", "frame"]
     for frame in frames:
         for run in frame.itertuples(index=False):
             fs, inner = _open_fs(_local_uri(run.path))
@@ -228,12 +237,13 @@ def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 data = source.read_at(run.end - run.start, run.start)
             header = struct.Struct(f"{run.byte_order}IIII")
             scale = 1 if run.nano else 1000
-            rows, held, at = [], 0, 0
+            rows, held, at, number = [], 0, 0, run.first_id
             while at + RECORD_HEADER <= len(data):
                 second, fraction, kept, size = header.unpack_from(data, at)
                 at += RECORD_HEADER
-                rows.append((second * 1_000_000_000 + fraction * scale, size, data[at : at + kept]))
+                rows.append((number, second * 1_000_000_000 + fraction * scale, size, data[at : at + kept]))
                 at += kept
+                number += 1
                 held += kept
                 if held >= 4 << 20:
                     yield pd.DataFrame(rows, columns=columns)
@@ -249,11 +259,11 @@ def _number(text: Column, byte: Column | int, size: int) -> Column:
 
 
 def packet_columns(frames: DataFrame) -> DataFrame:
-    """PACKET columns, without an id, of Ethernet frames that carry UDP or TCP over IP.
+    """PACKET columns of numbered Ethernet frames that carry UDP or TCP over IP.
 
     A frame without IP gets version 0, so that the IPv4 test drops it.
     """
-    hexed = frames.select("timestamp_ns", F.col("len").cast("int").alias("len"), F.lower(F.hex("frame")).alias("pkt_hex"))
+    hexed = frames.select("pkt_id", "timestamp_ns", F.col("len").cast("int").alias("len"), F.lower(F.hex("frame")).alias("pkt_hex"))
     text = F.col("pkt_hex")
     tagged = F.substring(text, 25, 4) == "8100"
     at_ip = hexed.withColumn("_ip", F.when(tagged, 18).otherwise(14))
@@ -269,6 +279,7 @@ def packet_columns(frames: DataFrame) -> DataFrame:
     l4, four = F.col("_l4"), F.col("ip_version") == 4
     tcp_header = F.shiftright(_number(text, l4 + 12, 1), 4).cast("int") * 4
     return sized.select(
+        "pkt_id",
         "timestamp_ns",
         F.when(four, _number(text, ip + 12, 4)).alias("src_ip"),
         _number(text, l4, 2).cast("int").alias("src_port"),
@@ -281,9 +292,17 @@ def packet_columns(frames: DataFrame) -> DataFrame:
     )
 
 
+_RUN = "path string, start long, end long, byte_order string, nano boolean, reason string, records long, least_ns long, most_ns long"
+
+
 def _runs(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path")
-    return files.mapInPandas(_index(split_bytes), "path string, start long, end long, byte_order string, nano boolean, reason string")
+    return files.mapInPandas(_index(split_bytes), _RUN)
+
+
+def _packets(runs: DataFrame) -> DataFrame:
+    spread = runs.select("path", "start", "end", "byte_order", "nano", "first_id").repartition(runs.sparkSession.sparkContext.defaultParallelism, "path", "start")
+    return packet_columns(spread.mapInPandas(_decode, "pkt_id long, timestamp_ns long, len long, frame binary"))
 
 
 def read_savefiles(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
@@ -293,9 +312,39 @@ def read_savefiles(spark: SparkSession, path: str, split_bytes: int = 64 << 20)
     into runs; the runs are spread over the cluster and decoded. So a single large
     file is decoded by many tasks. ``savefile_rejects`` lists what cannot be read.
     """
+    runs = _runs(spark, path, split_bytes).where("reason IS NULL")
+    return _packets(runs.withColumn("first_id", F.lit(0).cast("bigint"))).drop("pkt_id")
+
+
+def index_savefiles(spark: SparkSession, path: str, first_id: int = 1, split_bytes: int = 64 << 20) -> DataFrame:
+    """The runs of the savefiles in a folder, one row each, for ``indexed_packets``.
+
+    ``first_id`` of a run is the id of its first packet. Ids count the packets in order
+    of file name and place in the file, without gaps, and depend on the files alone, not
+    on the size of runs. ``least_ns`` and ``most_ns`` are the times of a run. The index
+    is stored, so the files are gone through once, however often they are read after.
+    """
     runs = _runs(spark, path, split_bytes).where("reason IS NULL").drop("reason")
-    spread = runs.repartition(spark.sparkContext.defaultParallelism, "path", "start")
-    return packet_columns(spread.mapInPandas(_decode, "timestamp_ns long, len long, frame binary"))
+    placed = numbered(runs, ["path", "start"], "first_id", first_id, F.col("records"))
+    return keep(placed, "savefile-index")
+
+
+def runs_between(index: DataFrame, since_ns: int | None = None, until_ns: int | None = None) -> DataFrame:
+    """The runs that may hold a packet at ``since_ns`` or later and at ``until_ns`` or earlier."""
+    after = F.lit(True) if since_ns is None else F.col("most_ns") >= since_ns
+    return index.where(after if until_ns is None else after & (F.col("least_ns") <= until_ns))
+
+
+def indexed_packets(index: DataFrame, since_ns: int | None = None, until_ns: int | None = None) -> DataFrame:
+    """PACKET rows of an index of savefiles, both limits of time included.
+
+    Only runs with packets of that time are read. A packet has the same id whatever
+    the limits are.
+    """
+    found = _packets(runs_between(index, since_ns, until_ns))
+    if since_ns is not None:
+        found = found.where(F.col("timestamp_ns") >= since_ns)
+    return found if until_ns is None else found.where(F.col("timestamp_ns") <= until_ns)
 
 
 def savefile_rejects(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:

@@ -3,6 +3,8 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from dialtrace import schemas
+from dialtrace.plans.ingest import to_capture
 from dialtrace.session import work_dir
 from dialtrace.sources import pcap
 from tests import make
@@ -94,3 +96,48 @@ def test_header_checksum(spark, packets):
         while total >> 16:
             total = (total & 0xFFFF) + (total >> 16)
         assert total == 0xFFFF
+
+
+def times(spark, tmp_path, name, *seconds):
+    data = struct.pack("<IHHiIII", pcap.MAGIC_NANO, 2, 4, 0, 0, 65535, 1)
+    for second in seconds:
+        data += struct.pack("<IIII", second, second, len(frame()), len(frame())) + frame()
+    (tmp_path / name).write_bytes(data)
+
+
+def test_ids_follow_the_files_whatever_the_runs(spark, tmp_path):
+    times(spark, tmp_path, "b", *range(100, 140))
+    times(spark, tmp_path, "a", *range(139, 99, -1))
+    times(spark, tmp_path, "c")
+    (tmp_path / "d").write_bytes(b"hello")
+    expected = [(7 + i, s * 1_000_000_001) for i, s in enumerate([*range(139, 99, -1), *range(100, 140)])]
+    for size in (1, 200, 1000, 64 << 20):
+        index = pcap.index_savefiles(spark, str(tmp_path), first_id=7, split_bytes=size)
+        assert sorted((r["pkt_id"], r["timestamp_ns"]) for r in pcap.indexed_packets(index).collect()) == expected
+
+
+def test_limits_of_time_leave_runs_out_and_ids_as_they_are(spark, tmp_path):
+    times(spark, tmp_path, "a", *range(100, 200))
+    index = pcap.index_savefiles(spark, str(tmp_path), split_bytes=10 * (16 + len(frame())))
+    assert index.count() == 10
+    since, until = 120 * 1_000_000_001, 139 * 1_000_000_001
+    assert pcap.runs_between(index, since, until).count() == 2
+    assert pcap.runs_between(index, since).count() == 8
+    assert pcap.runs_between(index, until_ns=until).count() == 4
+    found = pcap.indexed_packets(index, since, until)
+    assert found.columns == schemas.columns(schemas.PACKET)
+    assert sorted(r["pkt_id"] for r in found.collect()) == list(range(21, 41))
+    assert pcap.indexed_packets(index, since + 1, until - 1).count() == 18
+    assert pcap.indexed_packets(index, until + 10**12).count() == 0
+
+
+def test_packets_read_back_go_to_the_capture_table(spark, tmp_path):
+    times(spark, tmp_path, "a", 1, 2, 3)
+    rows = to_capture(pcap.indexed_packets(pcap.index_savefiles(spark, str(tmp_path)))).orderBy("id").collect()
+    assert [r["id"] for r in rows] == [1, 2, 3] and {r["source_port"] for r in rows} == {5060}
+
+
+def test_no_savefiles_have_no_packets(spark, tmp_path):
+    (tmp_path / "empty").write_bytes(b"")
+    index = pcap.index_savefiles(spark, str(tmp_path))
+    assert index.count() == 0 and pcap.indexed_packets(index).count() == 0

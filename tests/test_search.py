@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dialtrace.operators import filters
+from dialtrace.operators.ranking import numbered
 from dialtrace.plans import dashboards, search
 from tests import make
 
@@ -153,3 +154,18 @@ def test_dashboard_with_fixed_end(spark, capture):
     assert {tuple(r) for r in rows.collect()} == {tuple(r) for r in expected.collect()}
     with pytest.raises(ValueError):
         dashboards.dashboard(capture, codecs, "unknown")
+
+
+def test_rows_are_numbered_across_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id"), F.when(F.col("id") % 3 > 0, 5).alias("group"))
+    placed = numbered(rows.repartition(5), ["group", "id"], "place", first=3).collect()
+    expected = sorted(((r["group"] is not None, r["group"] or 0, r["id"]) for r in placed))
+    assert [(r["group"] is not None, r["group"] or 0, r["id"]) for r in sorted(placed, key=lambda r: r["place"])] == expected
+    assert sorted(r["place"] for r in placed) == list(range(3, 1003))
+
+
+def test_numbers_by_weight_leave_room(spark):
+    rows = spark.createDataFrame([(4, 10), (1, 0), (3, 5), (2, 7)], "id int, size int")
+    placed = numbered(rows, ["id"], "at", 100, F.col("size")).orderBy("id").collect()
+    assert [r["at"] for r in placed] == [100, 100, 107, 112]
+    assert numbered(rows.where("id > 9"), ["id"], "at").count() == 0
