@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialtrace.session import keep
+from dialtrace.session import free, keep
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,6 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         step = keep(lower, "step")
         jump = step.select(F.col("node").alias("at"), F.col("low").alias("jumped"))
         new = keep(step.join(jump, F.col("low") == F.col("at"), "left").select("node", F.col("component").alias("old"), F.least("low", F.coalesce("jumped", "low")).alias("component")), "labels")
+        free(step, labels)
         labels = new.select("node", "component")
         if new.where("old <> component").isEmpty():
+            free(edges)
             return labels

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dialtrace.llm.common import free_name, in_small_batches, keep_nothing, whole_text
 from dialtrace.llm.components import components
-from dialtrace.session import keep
+from dialtrace.session import free, keep
 
 #: Words of a shingle, and the similarity from which documents link, in hundredths.
 WORDS = 5
@@ -131,13 +131,18 @@ def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
+def odd_parts(one: np.ndarray) -> np.ndarray:
+    """A bit for each part of the shingles, by their first bits, that holds an odd number of them."""
+    odd = np.bincount((one >> np.uint64(54)).astype(np.int64), minlength=PARTS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefixes(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n, node, prefix, odd of every document.
+    """doc_id, row_key, n, node, prefix, odd of every document.
 
     ``node`` is a hash of the shingle set, so documents of equal sets are one node;
     ``prefix`` has its rarest shingles by the sketch, as many as a partner must share one
-    of; ``odd`` has a bit for each part of the shingles, by their first bits, that holds
-    an odd number of them.
+    of; ``odd`` is ``odd_parts``.
     """
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
 
@@ -145,19 +150,17 @@ def prefixes(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
         keep_nothing()
         for batch in batches:
             out = []
-            for doc_id, one in zip(batch["doc_id"], shingle_sets(batch["text"].tolist()), strict=True):
+            for doc_id, row_key, one in zip(batch["doc_id"], batch["row_key"], shingle_sets(batch["text"].tolist()), strict=True):
                 n = len(one)
                 if n:
                     order = np.lexsort((one, shared.value[one & np.uint64(SKETCH - 1)]))[: n - (SIMILAR * n + 99) // 100 + 1]
-                    odd = np.bincount((one >> np.uint64(54)).astype(np.int64), minlength=PARTS) & 1
-                    bits = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-                    out.append((doc_id, n, np.uint64(xxhash.xxh3_64_intdigest(one.tobytes())).astype(np.int64), one[order].view(np.int64), bits))
+                    out.append((doc_id, row_key, n, np.uint64(xxhash.xxh3_64_intdigest(one.tobytes())).astype(np.int64), one[order].view(np.int64), odd_parts(one)))
                 else:
-                    out.append((doc_id, 0, None, [], []))
-            frame = pd.DataFrame(out, columns=["doc_id", "n", "node", "prefix", "odd"])
-            yield frame.assign(doc_id=pd.array(batch["doc_id"].astype("Int64")), node=pd.array([None if x[2] is None else int(x[2]) for x in out], dtype="Int64"))
+                    out.append((doc_id, row_key, 0, None, [], []))
+            frame = pd.DataFrame(out, columns=["doc_id", "row_key", "n", "node", "prefix", "odd"])
+            yield frame.assign(doc_id=pd.array(batch["doc_id"].astype("Int64")), node=pd.array([None if x[3] is None else int(x[3]) for x in out], dtype="Int64"))
 
-    return texts.mapInPandas(work, "doc_id BIGINT, n INT, node BIGINT, prefix ARRAY<BIGINT>, odd ARRAY<BIGINT>")
+    return texts.mapInPandas(work, "doc_id BIGINT, row_key BINARY, n INT, node BIGINT, prefix ARRAY<BIGINT>, odd ARRAY<BIGINT>")
 
 
 def shared_rows(docs: DataFrame) -> DataFrame:
@@ -191,31 +194,6 @@ def shared_rows(docs: DataFrame) -> DataFrame:
     return shared
 
 
-def sets_of(texts: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its shingles, for the nodes asked for: from one document of each, by a filter of fixed size."""
-    spark = texts.sparkSession
-    first = docs.join(nodes.distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    bits = spark.sparkContext.broadcast(bit_filter(first.select(F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("bigint"))).alias("key"))))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep_nothing()
-        seen: set[int] = set()
-        for batch in batches:
-            some = batch[passes(bits.value, batch["key"].to_numpy(np.int64))]
-            out = []
-            for one in shingle_sets(some["text"].tolist()):
-                node = int(np.uint64(xxhash.xxh3_64_intdigest(one.tobytes())).astype(np.int64))
-                if len(one) and node not in seen:
-                    seen.add(node)
-                    out.append((node, one.view(np.int64)))
-            yield pd.DataFrame(out, columns=["node", "shingles"])
-
-    keyed = texts.select(F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("bigint"))).alias("key"), "text")
-    sets = keep(keyed.mapInPandas(work, "node BIGINT, shingles ARRAY<BIGINT>"), "sets")
-    bits.destroy()
-    return sets
-
-
 def may_link(na: str, nb: str, odd_a: str, odd_b: str) -> Column:
     """Length and suffix filter of two sets.
 
@@ -228,32 +206,39 @@ def may_link(na: str, nb: str, odd_a: str, odd_b: str) -> Column:
     return (100 * F.least(na, nb) >= SIMILAR * F.greatest(na, nb)) & ((100 + SIMILAR) * (both - differ) >= 2 * SIMILAR * both)
 
 
-def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the filtered pairs (a, b) that link by their sets, each compared once."""
-    may = keep(pairs.select("a", "b"), "candidates")
-    filters = {name: pairs.sparkSession.sparkContext.broadcast(bit_filter(may.select(F.col(name).alias("key")))) for name in ("a", "b")}
+def links_of(pairs: DataFrame, texts: DataFrame, width: int = WORDS) -> DataFrame:
+    """Those of the pairs (a, b) that link by the whole sets of their texts, which tasks make anew: a set is longer than its text."""
 
-    def side(name: str) -> DataFrame:
-        """The sets that pairs have on this side; only these are shuffled."""
-        bits = filters[name]
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_nothing()
+        for batch in batches:
+            # a hub comes with many partners in a row: its set is made once
+            new = (batch["b"] != batch["b"].shift()).to_numpy()
+            hubs = list(shingle_sets(batch["tb"][new].tolist(), width))
+            found = []
+            for one, k in zip(shingle_sets(batch["ta"].tolist(), width), np.cumsum(new) - 1, strict=True):
+                common = len(np.intersect1d(one, hubs[k], assume_unique=True))
+                found.append(100 * common >= SIMILAR * (len(one) + len(hubs[k]) - common))
+            yield batch.loc[np.array(found, dtype=bool), ["a", "b"]]
+
+    def side(x: str) -> DataFrame:
+        """The texts that pairs have on this side; only these are shuffled where the pairs are few."""
+        some = texts.join(pairs.select(F.col(x).alias("node")).distinct(), "node", "left_semi")
+        return some.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
 
-        def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            keep_nothing()
-            for batch in batches:
-                yield batch[passes(bits.value, batch["node"].to_numpy(np.int64))]
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(work, "a BIGINT, b BIGINT")
 
-        return sets.mapInPandas(needed, sets.schema).select(F.col("node").alias(name), F.col("shingles").alias(f"x{name}"))
 
-    full = may.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("xa", "xb"))
-    links = keep(full.where((100 + SIMILAR) * common >= SIMILAR * (F.size("xa") + F.size("xb"))).select("a", "b").distinct(), "links")
-    for bits in filters.values():
-        bits.destroy()
-    return links
+def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """The pairs that were not compared yet, in either direction."""
+    if tested is None:
+        return pairs
+    both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(both, ["a", "b"], "left_anti")
 
 
-def star_round(rows: DataFrame, nodes: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
-    """Links of each node to one hub of another component.
+def star_round(rows: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each node and one hub of another component, each once.
 
     Every shingle names a few of its nodes as hubs. Of the hubs that a node's shingles
     name and that pass the filters, it is compared to the one that most of them name.
@@ -266,8 +251,9 @@ def star_round(rows: DataFrame, nodes: DataFrame, sets: DataFrame, turn: int) ->
     info = nodes.select("node", "n", "odd")
     sized = met.join(of_hub, "hub").where("component <> hub_component").join(info.select("node", F.col("n").alias("na"), F.col("odd").alias("oa")), "node")
     sized = sized.join(info.select(F.col("node").alias("hub"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "hub").where(may_link("na", "nb", "oa", "ob"))
-    best = sized.groupBy("node").agg(F.max_by("hub", "c").alias("b"))
-    return links_of(best.select(F.col("node").alias("a"), "b"), sets)
+    best = sized.groupBy("node").agg(F.max_by("hub", "c").alias("b")).withColumnRenamed("node", "a")
+    # two nodes that chose each other are one pair
+    return best.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).dropDuplicates(["low", "high"]).select("a", "b")
 
 
 def with_component(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -292,7 +278,7 @@ def cross_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     enough = (100 + SIMILAR) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= SIMILAR * (F.col("na") + F.col("nb"))
     first = left.where((100 + SIMILAR) * (F.col("na") - F.col("pa")) >= 2 * SIMILAR * F.col("na")).withColumnRenamed("shingle", "same")
     test = (F.col("same") == F.col("shingle")) & (F.col("ca") != F.col("cb")) & ordered & enough & may_link("na", "nb", "oa", "ob")
-    return keep(first.join(right, test).select("a", "b").distinct(), "pairs")
+    return first.join(right, test).select("a", "b").distinct()
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -312,18 +298,33 @@ def near_components(docs: DataFrame) -> DataFrame:
     and different texts are different nodes; repeated rows have a row each. An empty
     table gives no rows. Further columns are not read.
     """
-    texts = in_small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-    found = keep(prefixes(texts, frequency_sketch(texts)), "prefixes")
-    nodes = found.where("n > 0").select("node", "n", "odd", "doc_id")
-    shared = shared_rows(found)
-    sets = sets_of(texts, nodes, shared.select("node"))
-    unique = keep(nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("odd").alias("odd"), F.min("doc_id").alias("least_id")), "nodes")
-    links = star_round(shared.withColumn("component", F.col("node")), unique, sets, 0)
-    for turn in range(1, HUB_ROUNDS):
-        still = keep(with_component(shared, components(links)), "open")
-        links = links.unionByName(star_round(still, unique, sets, turn)).distinct()
-    last = links_of(cross_pairs(with_component(shared, components(links)), unique), sets)
-    labels = components(links.unionByName(last))
+    row = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), "text")
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).withColumn("row_key", F.unhex(F.md5(row)))
+    whole = keep(prefixes(texts, frequency_sketch(texts)), "prefixes")
+    nodes = whole.where("n > 0").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("odd").alias("odd"), F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key")
+    )
+    unique = keep(nodes, "nodes")
+    shared = shared_rows(whole)
+    found = keep(whole.select("doc_id", "n", "node"), "found")
+    free(whole)
+    rows = unique.join(shared.select("node").distinct(), "node").select("node", "row_key")
+    # a row may be repeated in the documents; its repeats are in one place after the join
+    chosen = keep(texts.join(rows, "row_key").dropDuplicates(["row_key"]).select("node", "text"), "texts")
+    open_rows, links, tested = shared.withColumn("component", F.col("node")), None, None
+    for turn in range(HUB_ROUNDS + 1):
+        last = turn == HUB_ROUNDS
+        pairs = cross_pairs(open_rows, unique) if last else star_round(open_rows, unique, turn)
+        likely = keep(untested(pairs, tested), "likely")
+        new = keep(links_of(likely, chosen), "links")
+        links = new if links is None else links.unionByName(new)
+        tested = likely if tested is None else tested.unionByName(likely)
+        if turn:
+            free(open_rows)
+        if not last:
+            open_rows = keep(with_component(shared, components(links)), "open")
+    free(chosen, shared)
+    labels = components(links)
     named = keep(unique.join(labels, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_node = named.join(least, "component").select("node", "component_id")

@@ -171,6 +171,22 @@ def test_near_components(spark, odd_rows):
     assert len({c for _, _, c in expected}) < len(odd_rows) - 15
 
 
+def test_pairs_are_compared_once(spark, monkeypatch):
+    """Texts that fall a little short of a link are not compared again in later rounds."""
+    rng = random.Random(6)
+    passage = words(rng, 400).split()
+    near = [(i, " ".join(w if rng.random() > 0.02 else f"y{i}" for w in passage)) for i in range(30)]
+    seen, plain = [], ngram_join.links_of
+
+    def counted(pairs, *more):
+        seen.extend(tuple(sorted(r)) for r in pairs.select("a", "b").collect())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "links_of", counted)
+    ngram_join.near_components(documents(spark, near)).count()
+    assert seen and len(seen) == len(set(seen))
+
+
 @pytest.mark.parametrize("large", [0, 4, suffix_dedup.LARGE])
 def test_suffix_dedup(spark, odd_rows, large):
     data = [(t or "").encode() for _, t in odd_rows]
