@@ -10,9 +10,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialtrace.llm import ngram_join
 from dialtrace.llm.common import keep_nothing, small_batches, whole_text
 from dialtrace.llm.components import components
-from dialtrace.llm.ngram_join import mix, shingle_sets
+from dialtrace.llm.ngram_join import mix, shingle_sets, untested
 from dialtrace.session import keep
 
 #: Words of a shingle, and the similarity from which documents link, in hundredths.
@@ -84,20 +85,23 @@ def dense(sketches: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """doc_id, row_key, n, set_key, sketch and its marks of every document; an empty set has an empty sketch."""
+    """doc_id, row_key, n, set_key, sketch, its marks and the odd parts of every document; an empty set has an empty sketch."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep_nothing()
         for batch in batches:
-            n, key, sketch, mark = [], [], [], []
+            n, key, sketch, mark, odd = [], [], [], [], []
             for one in shingle_sets(batch["text"].tolist(), WORDS):
                 n.append(len(one))
                 key.append(xxhash.xxh3_128_digest(one.tobytes()) if len(one) else None)
                 sketch.append(registers(one))
                 mark.append(marks(sketch[-1]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "row_key": batch["row_key"], "n": n, "set_key": key, "sketch": sketch, "marks": mark})
+                odd.append(ngram_join.odd_parts(one))
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"].astype("Int64"), "row_key": batch["row_key"], "n": n, "set_key": key, "sketch": sketch, "marks": mark, "odd": odd,
+            })
 
-    return texts.mapInPandas(work, "doc_id BIGINT, row_key BINARY, n INT, set_key BINARY, sketch ARRAY<INT>, marks ARRAY<BIGINT>")
+    return texts.mapInPandas(work, "doc_id BIGINT, row_key BINARY, n INT, set_key BINARY, sketch ARRAY<INT>, marks ARRAY<BIGINT>, odd ARRAY<BIGINT>")
 
 
 def bands(nodes: DataFrame) -> DataFrame:
@@ -159,28 +163,15 @@ def marks_agree() -> Column:
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that agree in length and may link."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(lengths_agree("na", "nb") & may_link()).select("a", "b")
+    """Those of the pairs (a, b) that agree in length and odd parts and may link."""
+    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("n", "sketch", "odd")])
+    may = lengths_agree("na", "nb") & ngram_join.may_link("na", "nb", "oa", "ob") & may_link()
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b")
 
 
 def links_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that link by the whole sets of their texts."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep_nothing()
-        for batch in batches:
-            # a hub comes with many partners in a row: its set is made once
-            new = (batch["b"] != batch["b"].shift()).to_numpy()
-            hubs = list(shingle_sets(batch["tb"][new].tolist(), WORDS))
-            found = []
-            for one, k in zip(shingle_sets(batch["ta"].tolist(), WORDS), np.cumsum(new) - 1, strict=True):
-                common = len(np.intersect1d(one, hubs[k], assume_unique=True))
-                found.append(100 * common >= SIMILAR * (len(one) + len(hubs[k]) - common))
-            yield batch.loc[np.array(found, dtype=bool), ["a", "b"]]
-
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(work, "a BIGINT, b BIGINT")
+    return ngram_join.links_of(pairs, texts, WORDS)
 
 
 def still_open(shared: DataFrame, links: DataFrame) -> DataFrame:
@@ -209,26 +200,20 @@ def cross_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """All pairs (a, b) that share a band, are of different components and may link.
 
     The filters are the join's condition: of texts that share a frequent passage, and so
-    many bands, but are not alike, no pairs are made.
+    many bands, but are not alike, no pairs are made. The sketches leave those that fall
+    a little short; of a group of such texts they would leave all pairs, so the odd
+    parts, which bound the sets themselves, come with the first estimate.
     """
     word = [F.col("marks")[k].alias(f"m{k}") for k in range(10)]
-    rows = keep(rows.join(nodes.select("node", *word), "node"), "cross")
+    rows = keep(rows.join(nodes.select("node", "odd", *word), "node"), "cross")
 
     def side(x: str) -> list[Column]:
-        named = [F.col(c).alias(f"{y}{x}") for c, y in (("node", ""), ("n", "n"), ("component", "c"))]
+        named = [F.col(c).alias(f"{y}{x}") for c, y in (("node", ""), ("n", "n"), ("component", "c"), ("odd", "o"))]
         return named + [F.col(f"m{k}").alias(f"m{x}{k}") for k in range(10)]
 
     left, right = rows.select("key", *side("a")), rows.select(F.col("key").alias("same"), *side("b"))
     test = (F.col("key") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & lengths_agree("na", "nb")
-    return left.join(right, test & marks_agree()).select("a", "b").distinct()
-
-
-def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """The pairs that were not compared yet, in either direction."""
-    if tested is None:
-        return pairs
-    both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(both, ["a", "b"], "left_anti")
+    return left.join(right, test & marks_agree() & ngram_join.may_link("na", "nb", "oa", "ob")).select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -243,7 +228,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     from all registers allows a link; then their whole texts are compared, each pair
     once. Each node is first compared with the hub that most of its bands name, which
     joins a large group in as many pairs as it has nodes; after a few such rounds all
-    pairs that share a band and are still apart are compared. A link can
+    pairs that share a band and are still apart are compared. Pairs whose sets differ in
+    too many odd parts to link (see ``ngram_join.may_link``) are not compared. A link can
     only be missed if no band of the two sketches agrees (see ROWS) or the estimate is
     off by MARGIN standard deviations, and then only if no other links join the two.
 
@@ -258,8 +244,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
         texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).withColumn("row_key", F.unhex(F.md5(row)))
         found = keep(sketches(texts), "sketches")
         sets = found.where("n > 0").groupBy("set_key").agg(
-            F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks"), F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key")
-        )
+            F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks"), F.first("odd").alias("odd"),
+            F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"),
+        )
         nodes = keep(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
         several = bands(nodes).groupBy("key").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one <> other").select("key")
         shared = keep(bands(nodes).join(several, "key"), "shared")

@@ -82,6 +82,23 @@ def test_large_group_takes_pairs_in_proportion(spark):
     assert sum(seen) <= 2 * 300
 
 
+def test_group_that_falls_short_makes_few_pairs(spark, monkeypatch):
+    """Texts that are all a little less alike than links need are told apart in the join, not pair by pair."""
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(400)]
+    rows = [(k, " ".join(w if rng.random() > 0.023 else f"x{k}" for w in passage)) for k in range(120)]
+    made, plain = [], hyper_minhash.cross_pairs
+
+    def counted(*args):
+        made.append(plain(*args))
+        return made[0]
+
+    monkeypatch.setattr(hyper_minhash, "cross_pairs", counted)
+    found = hyper_minhash.near_groups(documents(spark, rows))
+    assert collected(found, "doc_id", "n_shingles", "component_id", "kept") == plain_groups(rows)
+    assert made[0].count() <= 120 * 119 // 2 // 10
+
+
 def sketch_rows(spark, pairs):
     sketches = [(len(a), len(b), hyper_minhash.registers(a), hyper_minhash.registers(b)) for a, b in pairs]
     rows = [(na, nb, a.tolist(), b.tolist(), hyper_minhash.marks(a).tolist(), hyper_minhash.marks(b).tolist()) for na, nb, a, b in sketches]
