@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -34,20 +35,42 @@ def u4(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values, dtype="<u4").tobytes()
 
 
-def frequent_pairs(row: np.ndarray, maybe: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the places ``maybe``, those of frequent pairs, and each one's number; 0 is the most frequent."""
+#: Bits of the hash by which pairs are counted first, and of the table of the frequent ones.
+SHORT = 18
+
+
+def frequent_pairs(row: np.ndarray, maybe: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places ``maybe`` (all without), those of frequent pairs, and each one's number; 0 is the most frequent."""
     # counting by a short hash first leaves few pairs to sort
-    left, right = row[maybe], row[maybe + 1]
-    short = (left * 0x9E37 + right * 0x6A09) & 0x3FFFF
-    often = np.bincount(short, minlength=1 << 18)[short] >= least
-    at = maybe[often]
-    found, number, count = np.unique(left[often] << 32 | right[often], return_inverse=True, return_counts=True)
-    order = np.lexsort((found, -count))
-    rank = np.empty(len(found), dtype=np.int64)
-    rank[order] = np.arange(len(found))
-    frequent = int((count >= least).sum())
-    ranks = rank[number]
-    return at[ranks < frequent], ranks[ranks < frequent]
+    left, right = (row[:-1], row[1:]) if maybe is None else (row[maybe], row[maybe + 1])
+    short = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - SHORT)
+    often = np.flatnonzero((np.bincount(short, minlength=1 << SHORT) >= least)[short])
+    left, right, short = left[often], right[often], short[often]
+    at = often if maybe is None else maybe[often]
+    pair = left.astype(np.uint64) << np.uint64(32) | right
+    line = np.sort(pair)
+    edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.empty(0, dtype=np.int64)
+    count = np.diff(np.append(edge, len(line)))
+    found, count = line[edge][count >= least], count[count >= least]
+    found = found[np.lexsort((found, -count))]
+    # each pair's number from a table by the short hash; of those that share a place there, all but one are looked up in order
+    a, b = (found >> np.uint64(32)).astype(np.uint32), found.astype(np.uint32)
+    place = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - SHORT)
+    table = np.full(1 << SHORT, -1, dtype=np.int32)
+    table[place] = np.arange(len(found), dtype=np.int32)
+    number = table[short]
+    if len(found):
+        number[found[number] != pair] = -1
+    hidden = np.flatnonzero(table[place] != np.arange(len(found)))
+    if len(hidden):
+        hidden = hidden[np.argsort(found[hidden])]
+        crowded = np.zeros(1 << SHORT, dtype=bool)
+        crowded[place[hidden]] = True
+        open_ = np.flatnonzero((number < 0) & crowded[short])
+        k = np.minimum(np.searchsorted(found[hidden], pair[open_]), len(hidden) - 1)
+        number[open_] = np.where(found[hidden[k]] == pair[open_], hidden[k], -1)
+    frequent = number >= 0
+    return at[frequent], number[frequent]
 
 
 def compress(row: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,8 +83,8 @@ def compress(row: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.n
     of the round before and those that were frequent in it: all others were rare and stay so.
     """
     rules, lengths = [np.empty((0, 2), dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-    known = 0
-    maybe = np.arange(max(0, len(row) - 1))
+    known, maybe = 0, None
+    row = row.astype(np.uint32)
     while True:
         at, rank = frequent_pairs(row, maybe, least)
         if not len(at):
@@ -83,21 +106,20 @@ def compress(row: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.n
         number = np.zeros(len(place), dtype=np.int64)
         number[used] = np.arange(len(used))
         rule = number[rank_won]
-        sides = np.stack([row[where], row[where + 1]], axis=1)
+        sides = np.stack([row[where], row[where + 1]], axis=1).astype(np.int64)
         all_lengths = np.concatenate(lengths)
         size = np.ones(sides.shape, dtype=np.int64)
         high = sides >= first_rule
         size[high] = all_lengths[sides[high] - first_rule]
         rules.append(sides)
         lengths.append(size.sum(axis=1))
-        row = row.copy()
         row[won] = first_rule + known + rule
-        stays, again = np.ones(len(row), dtype=bool), np.zeros(len(row), dtype=bool)
+        stays, again = np.ones(len(row), dtype=bool), np.zeros(len(row) + 1, dtype=bool)
         stays[won + 1] = False
-        again[at] = True
-        row, again = row[stays], again[stays]
-        again |= row >= first_rule + known
-        again[:-1] |= row[1:] >= first_rule + known
+        again[at] = again[won] = again[won - 1] = True
+        # before a new symbol stands the one before the pair, or the symbol of a pair that ended there
+        again[won[won > 1] - 2] = True
+        row, again = row[stays], again[:-1][stays]
         maybe = np.flatnonzero(again[:-1])
         known += len(used)
     return np.concatenate(rules), np.concatenate(lengths), row
@@ -105,29 +127,52 @@ def compress(row: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.n
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
     """The ids that symbols stand for."""
+    if len(symbols) > len(rules):
+        # each rule is expanded once and copied to where it stands
+        ids, size = expanded(rules.reshape(-1), rules, first_rule, np.repeat(np.arange(len(rules)), 2))
+        start = np.cumsum(size) - size
+        high = symbols >= first_rule
+        rule = symbols[high] - first_rule
+        lengths = np.ones(len(symbols), dtype=np.int64)
+        lengths[high] = size[rule]
+        out = np.repeat(symbols, lengths)
+        stop = np.cumsum(lengths)[high]
+        shift = np.repeat(start[rule] - (stop - size[rule]), size[rule])
+        place = np.flatnonzero(out >= first_rule)
+        out[place] = ids[place + shift]
+        return out
+    return expanded(symbols, rules, first_rule, np.zeros(len(symbols), dtype=np.int64))[0]
+
+
+def expanded(symbols: np.ndarray, rules: np.ndarray, first_rule: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that symbols stand for, one layer of rules after the other, and how many there are of each owner."""
+    owners = int(owner[-1]) + 1 if len(owner) else 0
     while (high := symbols >= first_rule).any():
-        out = np.repeat(symbols, 1 + high)
+        out, owner = np.repeat(symbols, 1 + high), np.repeat(owner, 1 + high)
         place = np.flatnonzero(high) + np.arange(int(high.sum()))
         sides = rules[symbols[high] - first_rule]
         out[place], out[place + 1] = sides[:, 0], sides[:, 1]
         symbols = out
-    return symbols
+    return symbols, np.bincount(owner, minlength=owners)
 
 
 class Shard:
     """A shard as read from a file, with random access to its ids."""
 
     def __init__(self, row) -> None:
-        read = lambda b: np.frombuffer(b, dtype="<u4").astype(np.int64)
+        read = lambda b: np.frombuffer(b, dtype="<u4")
         self.first_rule = int(row.first_rule)
-        self.rules, self.symbols = read(row.rules).reshape(-1, 2), read(row.symbols)
-        lengths = read(row.lengths)
+        self.rules, self.symbols, self.lengths = read(row.rules).reshape(-1, 2), read(row.symbols), read(row.lengths)
+        self.doc_ids = list(row.doc_ids)
+        self.starts = np.append(read(row.doc_starts).astype(np.int64), int(row.n_tokens))
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """The place behind the ids of each symbol."""
         size = np.ones(len(self.symbols), dtype=np.int64)
         high = self.symbols >= self.first_rule
-        size[high] = lengths[self.symbols[high] - self.first_rule]
-        self.ends = np.cumsum(size)
-        self.doc_ids = list(row.doc_ids)
-        self.starts = np.append(read(row.doc_starts), int(row.n_tokens))
+        size[high] = self.lengths[self.symbols[high] - self.first_rule]
+        return np.cumsum(size)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """The ids from ``start`` to ``stop``; only the symbols that reach into it are expanded."""
@@ -201,11 +246,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 shard = Shard(row)
-                ids = expand(shard.symbols, shard.rules, shard.first_rule).astype("<u4")
+                ids = np.ascontiguousarray(expand(shard.symbols, shard.rules, shard.first_rule), dtype="<u4")
                 at = shard.starts
                 yield pd.DataFrame({
                     "doc_id": pd.array(shard.doc_ids, dtype="Int64"), "part": row.part, "shard": row.shard, "place": at[:-1], "n_tokens": np.diff(at),
-                    "ids_crc32": [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)],
+                    "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)],
                 })
 
     rows = files.mapInPandas(documents, "doc_id BIGINT, part INT, shard INT, place BIGINT, n_tokens BIGINT, ids_crc32 BIGINT")

@@ -119,6 +119,31 @@ def test_grammar_round_trip_and_random_access():
         assert (shard.ids(a, b) == row[a:b]).all()
 
 
+def test_each_rule_is_expanded_once(monkeypatch):
+    """A row that is many times as long as its rules takes layers of the rules alone."""
+    row = np.tile(np.arange(90), 500)
+    rules, _, rest = token_store.compress(row, 100)
+    rest = np.tile(rest, 50)
+    seen, plain = [], token_store.expanded
+
+    def counted(symbols, *more):
+        seen.append(len(symbols))
+        return plain(symbols, *more)
+
+    monkeypatch.setattr(token_store, "expanded", counted)
+    assert (token_store.expand(rest, rules, 100) == np.tile(row, 50)).all()
+    assert seen == [2 * len(rules)]
+
+
+def test_pairs_that_share_a_short_hash_are_told_apart(monkeypatch):
+    """With few places in the table of frequent pairs, the grammar is the same."""
+    row = np.random.default_rng(4).zipf(1.4, 20000) % 60
+    whole = token_store.compress(row, 100)
+    monkeypatch.setattr(token_store, "SHORT", 6)
+    for a, b in zip(whole, token_store.compress(row, 100), strict=True):
+        assert (a == b).all()
+
+
 def test_sentence_pieces(spark, odd_rows):
     model = tokenizer_file("piece_bpe_32k.model")
     library = pieces_of(model).model
