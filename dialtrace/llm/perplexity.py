@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialtrace.llm.common import in_small_batches, keep_nothing
-from dialtrace.session import keep
+from dialtrace.session import free, keep
 
 #: A trusted document calibrates the thresholds if its hash falls on 0 of so many, else it trains.
 CALIBRATE = 5
@@ -242,7 +242,9 @@ def train_words(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("key", (F.log(F.col("own") + F.exp("less")) - F.col("less")).alias("a"), F.lit(0.0).alias("b"), "n")
     )
     word = known.select("key", F.coalesce(F.col("p1") - F.col("spelled"), F.lit(0.0)).alias("a"), F.coalesce("rest", F.lit(0.0)).alias("b"), F.greatest("total", "kinds").alias("n"))
-    return keep(word.unionByName(pair), "word_model"), rates.select("lang", "unknown")
+    model = keep(word.unionByName(pair), "word_model")
+    free(kinds, known)
+    return model, rates.select("lang", "unknown")
 
 
 def pair_key(before: str, word: str) -> Column:
@@ -433,11 +435,16 @@ def classify(
     some = texts.where("text <> ''").withColumn("tid", F.xxhash64("doc_id", "lang", "text"))
     training = trusted.where("trust = 2").select("doc_id")
     train_texts = some.join(F.broadcast(training) if trusted.count() <= trusted_rows else training, "doc_id", "left_semi")
-    model = keep(train(keep(count_ngrams(train_texts), "ngrams")), "model")
-    word_model, rates = train_words(keep(count_words(train_texts), "pairs"))
+    grams = keep(count_ngrams(train_texts), "ngrams")
+    model = keep(train(grams), "model")
+    pairs = keep(count_words(train_texts), "pairs")
+    word_model, rates = train_words(pairs)
+    free(grams, pairs)
     by_words = keep(score_words(some, word_model, rates), "by_words")
+    free(word_model)
     scored = score(some, model).join(by_words, "tid", "left").join(trusted, "doc_id", "left")
     scored = keep(scored, "scored")
+    free(by_words)
     judged = scored
     for column in ("nll", "word_nll", "stale"):
         judged = judged.join(thresholds(scored, column, quantile, slack), "lang", "left")

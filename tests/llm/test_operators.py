@@ -1,6 +1,7 @@
 """The document operators against brute force on small tables with odd rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -380,6 +381,17 @@ def test_perplexity_sees_words_of_any_script(spark):
     assert sum(not r["kept"] for i, r in out.items() if i < 5000) <= 6
 
 
+def test_classifier_frees_its_counts(spark, monkeypatch):
+    """Counts of words and pairs and the word model are deleted once the texts are scored."""
+    kept, plain = {}, perplexity.keep
+    monkeypatch.setattr(perplexity, "keep", lambda df, purpose: kept.setdefault(purpose, plain(df, purpose)))
+    docs = documents(spark, [(k, f"some words of text number {k}") for k in range(20)])
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id BIGINT, quality INT, toxic INT")
+    assert perplexity.classify(docs, labels).count() == 20
+    there = {p for p, df in kept.items() if any(os.path.exists(f.removeprefix("file://")) for f in df.inputFiles())}
+    assert not there & {"ngrams", "pairs", "words", "known_words", "word_model", "by_words"} and {"model", "scored"} <= there
+
+
 def test_all_trusted_documents_count(spark):
     rng = random.Random(9)
     rows = [(i, words(rng, 60), "en", None) for i in range(120)]
