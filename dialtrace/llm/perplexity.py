@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialtrace.llm.common import in_small_batches, keep_nothing
-from dialtrace.session import free, keep
+from dialtrace.session import free, keep, keep_by
 
 #: A trusted document calibrates the thresholds if its hash falls on 0 of so many, else it trains.
 CALIBRATE = 5
@@ -27,6 +28,12 @@ TRUSTED_ROWS = 1_000_000
 #: all its keys. Both only spare rows in the shuffle; results are the same without.
 HEAD_ROWS = 1 << 16
 FILTER_CELLS = 1 << 19
+#: Words of the model that are broadcast at most to price their pairs; more are joined by shuffle.
+WORD_ROWS = 1 << 19
+#: Parts of the documents that meet the word model one after the other, and of the pairs that do
+#: when it is made. A document's words and pairs take more bytes than its text: the shuffle of a
+#: part goes before the next begins.
+SLICES = 8
 #: Words among which a pair of words counts as new once.
 BLOCK = 256
 #: Rows of the model in one shard; a shard is all that is broadcast at once.
@@ -156,7 +163,17 @@ def train(counts: DataFrame) -> DataFrame:
 
 #: Scripts that are written without blanks, where each character is a word.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-TOKEN = re.compile(rf"[{UNSPACED}]|[^\W\d_{UNSPACED}]+|\d+|[^\w\s]|_")
+TOKEN = re.compile(rf"[^\W\d_{UNSPACED}]+|\d+|[^\w\s]|_|[{UNSPACED}]")
+#: The same words of a text in ASCII.
+ASCII_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\w\s]|_")
+
+
+class Numbered(dict):
+    """Word -> its number, in the order of their first use."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = len(self)
+        return self[word]
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,17 +183,31 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def unmixed(a: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The ``b`` of ``mixed(a, b)``."""
+    inverse = np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = (a ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (key ^ (key >> np.uint64(29)) ^ (key >> np.uint64(58))) * inverse - (x ^ (x >> np.uint64(31)))
+
+
+def lang_key(lang: str) -> np.ndarray:
+    """The number of a language, as an array of one."""
+    return pd.util.hash_array(np.array([lang], dtype=object))
+
+
 def words(texts: list[str], lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All words in a row: the text of each, the keys of the word before and of itself, and its length. 0 begins a text."""
-    found = [TOKEN.findall(t) for t in texts]
+    found = [(ASCII_TOKEN if t.isascii() else TOKEN).findall(t) for t in texts]
     n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-    flat = np.empty(int(n.sum()), dtype=object)
-    flat[:] = [w for ws in found for w in ws]
-    salt = pd.util.hash_array(np.array([lang], dtype=object))
-    own = mixed(np.broadcast_to(salt, len(flat)), pd.util.hash_array(flat)) if len(flat) else np.zeros(0, dtype=np.uint64)
+    numbers = Numbered()
+    row = np.fromiter(map(numbers.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(n.sum()))
+    # each word is hashed once
+    every = np.array([*numbers, None], dtype=object)[:-1]
+    salt = lang_key(lang)
+    own = mixed(np.broadcast_to(salt, len(every)), pd.util.hash_array(every))[row] if len(row) else np.zeros(0, dtype=np.uint64)
     before = np.roll(own, 1)
     before[(np.cumsum(n) - n)[n > 0]] = mixed(salt, np.zeros(1, dtype=np.uint64))[0]
-    return np.repeat(np.arange(len(texts)), n), before, own, np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
+    return np.repeat(np.arange(len(texts)), n), before, own, np.fromiter(map(len, every), dtype=np.int64, count=len(every))[row]
 
 
 def in_chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -191,19 +222,34 @@ def in_chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """lang, before, word, length, n: counts of all pairs of words, summed in each task first."""
+    """lang (its number), key, before, word, length, n: counts of all pairs of words, summed in each task first and grouped by key."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, group in batch.groupby("lang"):
-                texts = group["text"].tolist()
+                texts, number = group["text"].tolist(), lang_key(lang).view(np.int64)[0]
                 for at, stop in in_chunks(texts):
                     _, before, own, length = words(texts[at:stop], lang)
-                    _, first, n = np.unique(mixed(before, own), return_index=True, return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "before": before[first].view(np.int64), "word": own[first].view(np.int64), "length": length[first], "n": n})
+                    key, first, n = np.unique(mixed(before, own), return_index=True, return_counts=True)
+                    # rows with one word before them are together, which the shuffle packs well
+                    order = np.argsort(before[first], kind="stable")
+                    key, first, n = key[order], first[order], n[order]
+                    yield pd.DataFrame({"lang": number, "key": key.view(np.int64), "before": before[first].view(np.int64), "length": length[first], "n": n})
 
-    found = docs.select("lang", "text").mapInPandas(count, "lang STRING, before BIGINT, word BIGINT, length BIGINT, n BIGINT")
-    return found.groupBy("lang", "before", "word", "length").agg(F.sum("n").alias("n"))
+    found = docs.select("lang", "text").mapInPandas(count, "lang BIGINT, key BIGINT, before BIGINT, length BIGINT, n BIGINT")
+    # a key stands for its pair; the word is not shuffled, as the key and the word before tell it
+    summed = found.groupBy("key").agg(*[F.max(c).alias(c) for c in ("lang", "before", "length")], F.sum("n").alias("n"))
+    return summed.select("lang", "key", "before", word_of("before", "key").alias("word"), "length", "n")
+
+
+def word_of(before: str, key: str) -> Column:
+    """``unmixed`` of two columns."""
+
+    @F.pandas_udf("bigint")
+    def word(a: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series(unmixed(a.to_numpy(np.int64).view(np.uint64), k.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+
+    return word(before, key)
 
 
 def discount_of(n: str) -> Column:
@@ -212,14 +258,16 @@ def discount_of(n: str) -> Column:
     return F.when(once > 0, F.least(F.greatest(once / (once + 2 * twice), F.lit(0.05)), F.lit(0.95))).otherwise(0.5)
 
 
-def train_words(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The word model, as key, a, b and n by hash of the key, and per language what an unknown word and each of its letters cost.
+def train_words(pairs: DataFrame, word_rows: int = WORD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The word model, as key, a, b and n in buckets of the key, and per language what an unknown word and each of its letters cost.
 
     The log-probability of a text is that of as many unknown words, and for each known
     word ``a`` where it stands and ``b`` where another follows, and for each known pair
     its ``a``: interpolated Kneser-Ney of order 2 over the words of any alphabet, in
     which the mass of unknown words is spelled in the symbols of a code of 256.
-    Counts of words and pairs grow with the trusted text and stay in tables.
+    Counts of words and pairs grow with the trusted text and stay in tables. Up to
+    ``word_rows`` words are broadcast to their pairs, which so stay in their buckets; with
+    more, pairs are joined by shuffle, in parts.
     """
     places = pairs.select("lang", F.col("word").alias("key"), "length", F.lit(1).alias("kinds"), F.lit(0).alias("total"), F.lit(0).alias("follow")).unionByName(
         pairs.select("lang", F.col("before").alias("key"), F.lit(0).alias("length"), F.lit(0).alias("kinds"), F.col("n").alias("total"), F.lit(1).alias("follow"))
@@ -235,34 +283,37 @@ def train_words(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("total") > 0, F.log(F.col("d2") * F.col("follow") / F.col("total"))).alias("rest"), spelled.alias("spelled"), "d2",
     )
     known = keep(known, "known_words")
-    pair = (
-        pairs.join(known.select(F.col("key").alias("before"), "total", "rest", "d2"), "before")
-        .join(known.select(F.col("key").alias("word"), "p1"), "word")
-        .select(pair_key("before", "word").alias("key"), "n", ((F.col("n") - F.col("d2")) / F.col("total")).alias("own"), (F.col("rest") + F.col("p1")).alias("less"))
-        .select("key", (F.log(F.col("own") + F.exp("less")) - F.col("less")).alias("a"), F.lit(0.0).alias("b"), "n")
-    )
-    word = known.select("key", F.coalesce(F.col("p1") - F.col("spelled"), F.lit(0.0)).alias("a"), F.coalesce("rest", F.lit(0.0)).alias("b"), F.greatest("total", "kinds").alias("n"))
-    model = keep(word.unionByName(pair), "word_model")
-    free(kinds, known)
+    free(kinds)
+    buckets = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = [known.select("key", F.coalesce(F.col("p1") - F.col("spelled"), F.lit(0.0)).alias("a"), F.coalesce("rest", F.lit(0.0)).alias("b"), F.greatest("total", "kinds").alias("n")).repartition(buckets, "key")]
+    if known.count() <= word_rows:
+        parts.append(priced(pairs, F.broadcast(known)))
+    else:
+        parts += [priced(pairs.where(F.pmod("key", F.lit(SLICES)) == k), known).repartition(buckets, "key") for k in range(SLICES)]
+    model = keep_by(parts, "word_model", "key")
+    free(known)
     return model, rates.select("lang", "unknown")
 
 
-def pair_key(before: str, word: str) -> Column:
-    """``mixed`` of two columns."""
-
-    @F.pandas_udf("bigint")
-    def key(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(mixed(a.to_numpy(np.int64).view(np.uint64), b.to_numpy(np.int64).view(np.uint64)).view(np.int64))
-
-    return key(before, word)
+def priced(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of pairs in the word model: what each adds to the log-probability of its words."""
+    before = known.select(F.col("key").alias("before"), "total", "rest", "d2")
+    return (
+        pairs.join(before, "before")
+        .join(known.select(F.col("key").alias("word"), "p1"), "word")
+        .select("key", "n", ((F.col("n") - F.col("d2")) / F.col("total")).alias("own"), (F.col("rest") + F.col("p1")).alias("less"))
+        .select("key", (F.log(F.col("own") + F.exp("less")) - F.col("less")).alias("a"), F.lit(0.0).alias("b"), "n")
+    )
 
 
-def score_words(docs: DataFrame, model: DataFrame, rates: DataFrame, head_rows: int = HEAD_ROWS, cells: int = FILTER_CELLS) -> DataFrame:
+def score_words(docs: DataFrame, model: DataFrame, rates: DataFrame, head_rows: int = HEAD_ROWS, cells: int = FILTER_CELLS, slices: int = SLICES) -> DataFrame:
     """tid, word_nll (nats a symbol) and stale (share of pairs that their block had before).
 
     The distinct words and pairs of each document meet the model by shuffle and their
     log-probabilities are added up by document. The most frequent keys are looked up
-    in the task, and keys that a filter of fixed size does not know are not sent.
+    in the task, and keys that a filter of fixed size does not know are not sent. The
+    documents go in ``slices`` parts by their tid, each written before the next, so
+    that the shuffle files of one part are all there are at once.
     """
     context = docs.sparkSession.sparkContext
     head = model.orderBy(F.desc("n"), "key").limit(head_rows).select("key", "a", "b").toArrow().to_pandas().sort_values("key")
@@ -285,36 +336,51 @@ def score_words(docs: DataFrame, model: DataFrame, rates: DataFrame, head_rows:
                     pairs = mixed(before, own)
                     _, new = np.unique(mixed(pairs, ((doc << 32) + block).astype(np.uint64)), return_index=True)
                     fresh = np.bincount(doc[new], minlength=stop - at)
-                    # each document's distinct keys, and how often they stand and are followed
-                    every, docs_of = np.concatenate([own, before, pairs]), np.tile(doc, 3)
+                    # each document's distinct keys, and how often they stand and are followed; all but its last word are
+                    ends = np.zeros(len(doc), dtype=bool)
+                    ends[(np.cumsum(n) - 1)[n > 0]] = True
+                    begins = np.flatnonzero(n > 0)
+                    every = np.concatenate([own, pairs, np.broadcast_to(mixed(lang_key(lang), np.zeros(1, dtype=np.uint64)), len(begins))])
+                    docs_of = np.concatenate([doc, doc, begins])
                     _, first, group_of = np.unique(mixed(every, docs_of.astype(np.uint64)), return_index=True, return_inverse=True)
-                    key, d, w = every[first].view(np.int64), docs_of[first], len(doc)
-                    follows = np.bincount(group_of[w : 2 * w], minlength=len(first))
-                    stands = np.bincount(group_of, minlength=len(first)) - follows
+                    w = len(doc)
+                    stands = np.bincount(group_of[: 2 * w], minlength=len(first))
+                    follows = np.bincount(group_of[:w][~ends], minlength=len(first)) + np.bincount(group_of[2 * w :], minlength=len(first))
+                    # in order of the documents, so that a row looks like the one before
+                    order = np.argsort(docs_of[first], kind="stable")
+                    first, stands, follows = first[order], stands[order], follows[order]
+                    key, d = every[first].view(np.int64), docs_of[first]
                     place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
                     here = keys[place] == key if len(keys) else np.zeros(len(key), dtype=bool)
                     held = np.zeros(stop - at)
                     if here.any():
                         held = np.bincount(d[here], stands[here] * a[place[here]] + follows[here] * b[place[here]], minlength=stop - at)
                     sent = ~here & ((bits[(key >> 6) % cells] >> (key & 63)) & 1 == 1)
-                    none = np.zeros(stop - at, dtype=np.int64)
-                    yield pd.DataFrame({"tid": ids[at:stop], "lang": lang, "key": ids[at:stop], "own": none, "next": none, "held": held, "n": n,
-                                        "letters": np.bincount(doc, length + 1, minlength=stop - at).astype(np.int64), "fresh": fresh,
-                                        "n_symbols": list(map(len, texts[at:stop]))})
-                    yield pd.DataFrame({"tid": ids[at:stop][d[sent]], "lang": lang, "key": key[sent], "own": stands[sent], "next": follows[sent],
-                                        "held": 0.0, "n": 0, "letters": 0, "fresh": 0, "n_symbols": 0})
-
-    sent = docs.select("tid", "lang", "text").mapInPandas(
-        work, "tid BIGINT, lang STRING, key BIGINT, own INT, next INT, held DOUBLE, n BIGINT, letters BIGINT, fresh BIGINT, n_symbols BIGINT"
-    )
-    part = F.col("held") + F.coalesce(F.col("own") * F.col("a") + F.col("next") * F.col("b"), F.lit(0.0))
-    sums = sent.join(model.select("key", "a", "b"), "key", "left").groupBy("tid", "lang").agg(
-        F.sum(part).alias("known"), *[F.sum(c).alias(c) for c in ("n", "letters", "fresh", "n_symbols")]
-    )
-    total = F.col("known") + F.col("n") * F.col("unknown") - F.lit(float(np.log(256))) * F.col("letters")
-    return sums.join(rates, "lang").select(
-        "tid", (-total / F.col("n_symbols")).alias("word_nll"), F.when(F.col("n") > 0, 1 - F.col("fresh") / F.col("n")).otherwise(0.0).alias("stale")
-    )
+                    letters = np.bincount(doc, length + 1, minlength=stop - at)
+                    sizes = np.fromiter(map(len, texts[at:stop]), dtype=np.int64, count=stop - at)
+                    figures = np.stack([held, n, letters, fresh, sizes], axis=1).astype(np.float64)
+                    none, number = np.zeros(stop - at, dtype=np.int64), lang_key(lang).view(np.int64)[0]
+                    yield pd.DataFrame({"tid": ids[at:stop], "key": ids[at:stop], "own": none, "next": none, "lang": pd.array(np.full(stop - at, number), dtype="Int64"), "figures": list(figures)})
+                    yield pd.DataFrame({"tid": ids[at:stop][d[sent]], "key": key[sent], "own": stands[sent], "next": follows[sent], "lang": pd.NA, "figures": None}).astype({"lang": "Int64"})
+
+    figures = ("held", "n", "letters", "fresh", "n_symbols")
+    known = F.sum(F.coalesce(F.col("own") * F.col("a") + F.col("next") * F.col("b"), F.lit(0.0)))
+    sums = [F.max("lang").alias("lang"), known.alias("sent"), *[F.sum(F.col("figures")[k]).alias(x) for k, x in enumerate(figures)]]
+    total = F.col("held") + F.col("sent") + F.col("n") * F.col("unknown") - F.lit(float(np.log(256))) * F.col("letters")
+    parts = []
+    for k in range(slices):
+        some = docs.where(F.pmod("tid", F.lit(slices)) == k).select("tid", "lang", "text")
+        sent = some.mapInPandas(work, "tid BIGINT, key BIGINT, own INT, next INT, lang BIGINT, figures ARRAY<DOUBLE>")
+        scored = sent.join(model.select("key", "a", "b"), "key", "left").groupBy("tid").agg(*sums).join(F.broadcast(rates), "lang")
+        scored = scored.select(
+            "tid", (-total / F.col("n_symbols")).alias("word_nll"), F.when(F.col("n") > 0, 1 - F.col("fresh") / F.col("n")).otherwise(0.0).alias("stale")
+        )
+        parts.append(keep(scored, f"by_words_{k}"))
+    shared.destroy()
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -437,10 +503,10 @@ def classify(
     train_texts = some.join(F.broadcast(training) if trusted.count() <= trusted_rows else training, "doc_id", "left_semi")
     grams = keep(count_ngrams(train_texts), "ngrams")
     model = keep(train(grams), "model")
-    pairs = keep(count_words(train_texts), "pairs")
+    pairs = keep_by([count_words(train_texts)], "pairs", "key")
     word_model, rates = train_words(pairs)
     free(grams, pairs)
-    by_words = keep(score_words(some, word_model, rates), "by_words")
+    by_words = score_words(some, word_model, rates)
     free(word_model)
     scored = score(some, model).join(by_words, "tid", "left").join(trusted, "doc_id", "left")
     scored = keep(scored, "scored")

@@ -418,6 +418,25 @@ def test_word_model_is_kneser_ney(spark):
             assert abs(out[k] + sum(np.log(p(v, w)) for v, w in zip(["^"] + t.split(), t.split())) / len(t)) < 1e-9
 
 
+def test_word_model_is_the_same_by_shuffle_and_in_parts(spark):
+    """A part of the documents meets the model at a time, and the model's side of the join has no shuffle."""
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(k, "en", words(rng, 40)) for k in range(60)], "tid BIGINT, lang STRING, text STRING")
+    found = set()
+    for word_rows, slices in ((0, 1), (1000, 3), (1000, 8)):
+        model, rates = perplexity.train_words(perplexity.count_words(docs.where("tid < 40")), word_rows)
+        some = docs.select("tid", F.col("tid").alias("key")).join(model.hint("merge"), "key")
+        assert some._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+        rows = perplexity.score_words(docs, model, rates, 5, 1 << 12, slices)
+        found.add(tuple(sorted((r["tid"], round(r["word_nll"], 9), round(r["stale"], 9)) for r in rows.collect())))
+    assert len(found) == 1 and len(found.pop()) == 60
+
+
+def test_word_of_a_pair():
+    a, b = np.random.default_rng(3).integers(0, 2**64, (2, 1000), dtype=np.uint64)
+    assert np.array_equal(perplexity.unmixed(a, perplexity.mixed(a, b)), b)
+
+
 def test_model_sums_to_one():
     context, symbol = perplexity.ngrams(["the house and the tree", "a stone"])
     gram, n = np.unique(context.astype(np.int64) * perplexity.SYMBOLS + symbol, return_counts=True)
