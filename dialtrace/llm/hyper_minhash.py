@@ -40,8 +40,8 @@ TOLERANCE = 0.01
 NIBBLE = 15
 #: What a copied register is moved by for each empty bucket that it has jumped.
 JUMP = 40503
-#: Rounds of links to hubs before the pairs of what is still apart are made.
-HUB_ROUNDS = 3
+#: Rounds of links to hubs at most, before the pairs of what is still apart are made.
+HUB_ROUNDS = 6
 
 
 def registers(one: np.ndarray) -> np.ndarray:
@@ -162,6 +162,17 @@ def marks_agree() -> Column:
     return allows(differ, used)
 
 
+def side(rows: DataFrame, x: str, *more: Column | str) -> DataFrame:
+    """The node as ``x``, and what ``first_estimate`` reads of it."""
+    named = [F.col(c).alias(f"{y}{x}") for c, y in (("node", ""), ("n", "n"), ("odd", "o"))]
+    return rows.select(*named, *[F.col("marks")[k].alias(f"m{x}{k}") for k in range(10)], *more)
+
+
+def first_estimate() -> Column:
+    """Whether a and b agree in length, marks and odd parts."""
+    return lengths_agree("na", "nb") & marks_agree() & ngram_join.may_link("na", "nb", "oa", "ob")
+
+
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that agree in length and odd parts and may link."""
     side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("n", "sketch", "odd")])
@@ -175,24 +186,43 @@ def links_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def still_open(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """The band rows with their node's component, of bands in which several components meet."""
-    named = shared.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    """The band rows with their node's component and its size, of bands in which several components meet."""
+    labels = components(links)
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    named = shared.join(labels.join(sizes, "component"), "node", "left").withColumns({"component": F.coalesce("component", "node"), "size": F.coalesce("size", F.lit(1))})
     several = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     return keep(named.join(several, "key"), "open")
 
 
-def to_hubs(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each node and the hub of another component that most of its bands name.
+def finer(rows: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    """The band rows, each under its band and the marks of four more registers, others in each turn.
 
-    A band names a node of its least and one of its greatest component, others in each
-    turn: one pair for each node, however many nodes a band has.
+    Many texts that are not alike may share a frequent passage and its bands. Of those
+    that share more registers, most are alike, so the hubs among them are the right ones.
     """
-    hub = F.struct("component", F.xxhash64(F.lit(turn), "node").alias("dealt"), "node", "n")
+    more = F.shiftright(F.get("marks", F.pmod("key", F.lit(8)).cast("int")), 16 * (turn % 4)).bitwiseAND(F.lit(0xFFFF))
+    marked = rows.join(nodes.select("node", "marks"), "node").select(F.xxhash64("key", more).alias("key"), "node", "n", "component", "size")
+    return keep(marked, "finer")
+
+
+def to_hubs(rows: DataFrame, nodes: DataFrame, turn: int, tested: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of each node and the hub of another component that most of its bands name, of hubs that may link.
+
+    A band names a node of its largest component and one of any, others in each turn:
+    one pair for each node, however many nodes a band has. So what links to a large group
+    is compared with it, and not with the many that only share a band.
+    """
+    dealt = F.xxhash64(F.lit(turn), "node")
+    largest = F.struct("size", "component", dealt.alias("dealt"), "node", "n")
+    of_any = F.struct("size", "component", dealt.alias("dealt"), "node", "n")
     # at first every node is a component of its own, and one hub is enough
-    hubs = rows.groupBy("key").agg(F.array(F.min(hub), F.max(hub)) if turn else F.array(F.min(hub)))
+    hubs = rows.groupBy("key").agg(F.array(F.max(largest), F.min_by(of_any, dealt)) if turn else F.array(F.min(largest)))
     named = hubs.select("key", F.explode(hubs.columns[1]).alias("hub"))
     met = rows.join(named, "key").where((F.col("component") != F.col("hub.component")) & lengths_agree("n", "hub.n"))
     counted = met.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
+    if turn:
+        # a band of a frequent passage names hubs that are not alike, so these go before the choice
+        counted = untested(counted, tested).join(side(nodes, "a"), "a").join(side(nodes, "b"), "b").where(first_estimate())
     return counted.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
@@ -204,16 +234,10 @@ def cross_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     a little short; of a group of such texts they would leave all pairs, so the odd
     parts, which bound the sets themselves, come with the first estimate.
     """
-    word = [F.col("marks")[k].alias(f"m{k}") for k in range(10)]
-    rows = keep(rows.join(nodes.select("node", "odd", *word), "node"), "cross")
-
-    def side(x: str) -> list[Column]:
-        named = [F.col(c).alias(f"{y}{x}") for c, y in (("node", ""), ("n", "n"), ("component", "c"), ("odd", "o"))]
-        return named + [F.col(f"m{k}").alias(f"m{x}{k}") for k in range(10)]
-
-    left, right = rows.select("key", *side("a")), rows.select(F.col("key").alias("same"), *side("b"))
-    test = (F.col("key") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & lengths_agree("na", "nb")
-    return left.join(right, test & marks_agree() & ngram_join.may_link("na", "nb", "oa", "ob")).select("a", "b").distinct()
+    rows = keep(rows.select("key", "node", "component").join(nodes.select("node", "n", "odd", "marks"), "node"), "cross")
+    left, right = side(rows, "a", "key", F.col("component").alias("ca")), side(rows, "b", F.col("key").alias("same"), F.col("component").alias("cb"))
+    test = (F.col("key") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    return left.join(right, test & first_estimate()).select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -227,7 +251,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     nodes that agree in a band of 4 registers are candidates, and go on if the estimate
     from all registers allows a link; then their whole texts are compared, each pair
     once. Each node is first compared with the hub that most of its bands name, which
-    joins a large group in as many pairs as it has nodes; after a few such rounds all
+    joins a large group in as many pairs as it has nodes; from the second round on, hubs
+    are named by finer bands and must pass the first estimate. After a few such rounds all
     pairs that share a band and are still apart are compared. Pairs whose sets differ in
     too many odd parts to link (see ``ngram_join.may_link``) are not compared. A link can
     only be missed if no band of the two sketches agrees (see ROWS) or the estimate is
@@ -254,21 +279,23 @@ def near_groups(docs: DataFrame) -> DataFrame:
         # a row may be repeated in the documents; its repeats are in one place after the join
         chosen = keep(texts.join(rows, "row_key").dropDuplicates(["row_key"]).select("node", "text"), "texts")
 
-        open_rows, links, tested = shared.withColumn("component", F.col("node")), None, None
+        open_rows, links, tested = shared.withColumns({"component": F.col("node"), "size": F.lit(1).cast("bigint")}), None, None
         for turn in range(HUB_ROUNDS + 1):
-            last = turn == HUB_ROUNDS
+            # after a round without a new link come all pairs
+            last = turn == HUB_ROUNDS or (turn > 1 and new.isEmpty())
             if last:
                 pairs = estimated(cross_pairs(open_rows, nodes), nodes)
             else:
                 # two nodes that chose each other are one pair
-                named = to_hubs(open_rows, turn).withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+                named = to_hubs(finer(open_rows, nodes, turn) if turn else open_rows, nodes, turn, tested).withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
                 pairs = estimated(named.dropDuplicates(["low", "high"]), nodes)
             likely = keep(untested(pairs, tested), "likely")
             new = keep(links_of(likely, chosen), "links")
             links = new if links is None else links.unionByName(new)
             tested = likely if tested is None else tested.unionByName(likely)
-            if not last:
-                open_rows = still_open(shared, links)
+            if last:
+                break
+            open_rows = still_open(shared, links)
         labels = components(links)
     named = nodes.join(labels, "node", "left").select("set_key", "least_id", F.coalesce("component", "node").alias("component"))
     named = keep(named, "named")

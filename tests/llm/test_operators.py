@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from dialtrace.llm import exact_dedup, line_dedup, ngram_join, packing, perplexity, pseudonyms, quality_rules, suffix_dedup, token_store, tokens
+from dialtrace.llm import exact_dedup, hyper_minhash, line_dedup, ngram_join, packing, perplexity, pseudonyms, quality_rules, suffix_dedup, token_store, tokens
 from dialtrace.llm.common import keep_nothing, kept_by_worker
 from dialtrace.llm.registry import tokenizer_file
 from dialtrace.llm.sentence_pieces import encode_decode, pieces_of
@@ -418,6 +418,33 @@ def test_word_model_is_kneser_ney(spark):
             assert abs(out[k] + sum(np.log(p(v, w)) for v, w in zip(["^"] + t.split(), t.split())) / len(t)) < 1e-9
 
 
+def test_a_large_group_among_others_is_not_linked_pair_by_pair(spark, monkeypatch):
+    """Near copies of one text among many that share its passage: links are made to hubs, far fewer than all pairs."""
+    rng = random.Random(31)
+    passage = [f"w{k}" for k in range(200)]
+
+    def changed(text, n):
+        out = list(text)
+        for k in rng.sample(range(len(out)), n):
+            out[k] = f"x{rng.randrange(10**9)}"
+        return out
+
+    one = changed(passage, 4)
+    rows = [(k, " ".join(changed(passage, 4))) for k in range(1200)] + [(2000 + k, " ".join(changed(one, 2))) for k in range(120)]
+    made, plain = [], hyper_minhash.keep
+
+    def keep(df, purpose):
+        out = plain(df, purpose)
+        if purpose == "links":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(hyper_minhash, "keep", keep)
+    found = {r["doc_id"]: r["component_id"] for r in hyper_minhash.near_groups(documents(spark, rows)).collect()}
+    assert len({found[2000 + k] for k in range(120)}) == 1
+    assert sum(made) < len(rows), made
+
+
 def test_word_model_is_the_same_by_shuffle_and_in_parts(spark):
     """A part of the documents meets the model at a time, and the model's side of the join has no shuffle."""
     rng = random.Random(12)
