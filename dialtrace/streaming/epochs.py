@@ -45,15 +45,20 @@ class Entry:
 
 
 class EpochStore:
-    """The tables below one folder; one writer at a time, any number of readers."""
+    """The tables below one folder; one writer at a time, any number of readers.
 
-    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
-        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
+    The log and the folders of ``hidden`` tables have names that Spark's readers pass over.
+    A store with one other table so reads as that table by its path alone; what an attempt
+    that broke off has left is then seen until the next compaction.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT, hidden: tuple[str, ...] = ()):
+        self.spark, self.path, self.fanout, self.hidden = spark, path.rstrip("/"), fanout, hidden
 
     # ------------------------------------------------------------ reading
 
     def every_entry(self) -> list[Entry]:
-        log = f"{self.path}/log"
+        log = f"{self.path}/_log"
         found = [name for name in files.names(self.spark, log) if name.endswith(".json") and not name.startswith("_")]
         return [Entry(**json.loads(files.read_text(self.spark, f"{log}/{name}"))) for name in found]
 
@@ -69,20 +74,21 @@ class EpochStore:
     def read(self, table: str, schema: str, before: int | None = None) -> DataFrame:
         """The rows of a table, of epochs ``before`` a number only if it is given."""
         found = self.folders(table, before)
-        return self._load(table, schema, found) if found else self.spark.createDataFrame([], schema)
+        return self._load(schema, found) if found else self.spark.createDataFrame([], schema)
 
-    def _load(self, table: str, schema: str, folders: list[str]) -> DataFrame:
-        whole = self.spark.read.schema(f"{schema}, run STRING").option("basePath", f"{self.path}/data/{table}").parquet(*folders)
+    def _load(self, schema: str, folders: list[str]) -> DataFrame:
+        whole = self.spark.read.schema(f"{schema}, run STRING").option("basePath", folders[0].rsplit("/", 1)[0]).parquet(*folders)
         return whole.drop("run")
 
     # ------------------------------------------------------------ writing
 
     def _publish(self, entry: Entry) -> None:
-        files.put_text(self.spark, f"{self.path}/log/{entry.name}", json.dumps(entry.__dict__))
+        files.put_text(self.spark, f"{self.path}/_log/{entry.name}", json.dumps(entry.__dict__))
 
     def _folder(self, table: str, first: int, last: int) -> str:
         # an attempt writes below a name of its own, so what a failed one has left is never read
-        return f"{table}/run={first:012d}-{last:012d}-{uuid.uuid4().hex}"
+        name = f"_{table}" if table in self.hidden else table
+        return f"{name}/run={first:012d}-{last:012d}-{uuid.uuid4().hex}"
 
     def commit(self, epoch: int, tables: dict[str, Callable[[str], None]]) -> None:
         """Calls each table's function with the folder to write, then makes all of them visible."""
@@ -116,7 +122,7 @@ class EpochStore:
                 if table in merges:
                     schema, merge, by = merges[table]
                     target = self._folder(table, first, last)
-                    rows = merge(self._load(table, schema, [f"{self.path}/data/{x}" for x in old]))
+                    rows = merge(self._load(schema, [f"{self.path}/data/{x}" for x in old]))
                     rows.write.partitionBy(*by).parquet(f"{self.path}/data/{target}")
                     old = [target]
                 folders[table] = old
@@ -134,5 +140,5 @@ class EpochStore:
                     files.remove(self.spark, f"{self.path}/data/{table}/{folder}")
         old = [e for e in every if any(other.covers(e) for other in every)]
         for e in old:
-            files.remove(self.spark, f"{self.path}/log/{e.name}")
+            files.remove(self.spark, f"{self.path}/_log/{e.name}")
         return [e for e in every if e not in old]

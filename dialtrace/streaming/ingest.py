@@ -100,9 +100,10 @@ def ingest_deduplicated(packets: DataFrame, path: str, checkpoint: str, days: in
     nothing but checksums by day and whose epochs are merged in levels. What a batch
     reads so depends on its days and not on the age of the stream or its table.
     Rows and checksums of an epoch appear at once; a batch that is run again replaces
-    its own and is not held against them. ``read_deduplicated`` gives the rows.
+    its own and is not held against them. ``read_deduplicated`` gives the rows; any
+    reader of the path finds them too, as the checksums are hidden from it.
     """
-    store_of = EpochStore(packets.sparkSession, path)
+    store_of = EpochStore(packets.sparkSession, path, hidden=("checksums",))
 
     def store(batch: DataFrame, epoch: int) -> None:
         rows = first_per(batch.withColumn("chsumm", message_checksum()), ["chsumm"], [F.col("datetime"), F.col("id")])
