@@ -37,39 +37,51 @@ def u4(values: np.ndarray) -> bytes:
 
 #: Bits of the hash by which pairs are counted first, and of the table of the frequent ones.
 SHORT = 18
+#: Places of so few pairs are sorted at once.
+FEW = 4096
 
 
 def frequent_pairs(row: np.ndarray, maybe: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the places ``maybe`` (all without), those of frequent pairs, and each one's number; 0 is the most frequent."""
-    # counting by a short hash first leaves few pairs to sort
     left, right = (row[:-1], row[1:]) if maybe is None else (row[maybe], row[maybe + 1])
-    short = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - SHORT)
-    often = np.flatnonzero((np.bincount(short, minlength=1 << SHORT) >= least)[short])
-    left, right, short = left[often], right[often], short[often]
-    at = often if maybe is None else maybe[often]
+    if len(left) < FEW:
+        pair = left.astype(np.uint64) << np.uint64(32) | right
+        found, which, count = np.unique(pair, return_inverse=True, return_counts=True)
+        order = np.argsort(-count, kind="stable")[: int((count >= least).sum())]
+        number = np.full(len(found), -1, dtype=np.int32)
+        number[order] = np.arange(len(order), dtype=np.int32)
+        number = number[which]
+        frequent = np.flatnonzero(number >= 0)
+        return frequent if maybe is None else maybe[frequent], number[frequent]
+    # counting by a short hash first leaves few pairs to sort
+    short = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - SHORT)).astype(np.intp)
+    often = np.flatnonzero((np.bincount(short, minlength=1 << SHORT) >= least).take(short))
+    left, right, short = left.take(often), right.take(often), short.take(often)
+    at = often if maybe is None else maybe.take(often)
     pair = left.astype(np.uint64) << np.uint64(32) | right
     line = np.sort(pair)
     edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.empty(0, dtype=np.int64)
     count = np.diff(np.append(edge, len(line)))
     found, count = line[edge][count >= least], count[count >= least]
-    found = found[np.lexsort((found, -count))]
+    found = found[np.argsort(-count, kind="stable")]
     # each pair's number from a table by the short hash; of those that share a place there, all but one are looked up in order
     a, b = (found >> np.uint64(32)).astype(np.uint32), found.astype(np.uint32)
     place = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - SHORT)
     table = np.full(1 << SHORT, -1, dtype=np.int32)
     table[place] = np.arange(len(found), dtype=np.int32)
-    number = table[short]
+    number = table.take(short)
     if len(found):
-        number[found[number] != pair] = -1
-    hidden = np.flatnonzero(table[place] != np.arange(len(found)))
-    if len(hidden):
-        hidden = hidden[np.argsort(found[hidden])]
-        crowded = np.zeros(1 << SHORT, dtype=bool)
-        crowded[place[hidden]] = True
-        open_ = np.flatnonzero((number < 0) & crowded[short])
-        k = np.minimum(np.searchsorted(found[hidden], pair[open_]), len(hidden) - 1)
-        number[open_] = np.where(found[hidden[k]] == pair[open_], hidden[k], -1)
-    frequent = number >= 0
+        other = np.flatnonzero(found.take(number, mode="wrap") != pair)
+        number[other] = -1
+        hidden = np.flatnonzero(table[place] != np.arange(len(found)))
+        if len(hidden):
+            hidden = hidden[np.argsort(found[hidden])]
+            crowded = np.zeros(1 << SHORT, dtype=bool)
+            crowded[place[hidden]] = True
+            open_ = other[crowded.take(short.take(other))]
+            k = np.minimum(np.searchsorted(found[hidden], pair[open_]), len(hidden) - 1)
+            number[open_] = np.where(found[hidden[k]] == pair[open_], hidden[k], -1)
+    frequent = np.flatnonzero(number >= 0)
     return at[frequent], number[frequent]
 
 
@@ -93,14 +105,16 @@ def compress(row: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.n
         wins, beside = np.ones(len(at), dtype=bool), np.diff(at) == 1
         wins[:-1] &= ~beside | (rank[:-1] <= rank[1:])
         wins[1:] &= ~beside | (rank[1:] <= rank[:-1])
+        wins = np.flatnonzero(wins)
         won, rank_won = at[wins], rank[wins]
         # neighbours among the winners are runs of one pair with itself: every second one stays
-        run = np.cumsum(np.diff(won, prepend=-2) != 1) - 1
-        first = won[np.flatnonzero(np.diff(run, prepend=-1))][run]
-        second = (won - first) % 2 == 0
-        won, rank_won = won[second], rank_won[second]
+        behind = np.flatnonzero(np.diff(won) == 1) + 1
+        if len(behind):
+            opens = np.diff(behind, prepend=-1) != 1
+            drop = behind[(behind - behind[opens][np.cumsum(opens) - 1]) % 2 == 0]
+            won, rank_won = np.delete(won, drop), np.delete(rank_won, drop)
         place = np.full(int(rank.max()) + 1, -1)
-        place[rank_won[::-1]] = won[::-1]
+        place[rank_won] = won
         used = np.flatnonzero(place >= 0)
         where = place[used]
         number = np.zeros(len(place), dtype=np.int64)
@@ -119,6 +133,7 @@ def compress(row: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.n
         again[at] = again[won] = again[won - 1] = True
         # before a new symbol stands the one before the pair, or the symbol of a pair that ended there
         again[won[won > 1] - 2] = True
+        stays = np.flatnonzero(stays)
         row, again = row[stays], again[:-1][stays]
         maybe = np.flatnonzero(again[:-1])
         known += len(used)

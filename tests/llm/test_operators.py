@@ -459,6 +459,18 @@ def test_word_model_is_the_same_by_shuffle_and_in_parts(spark):
     assert len(found) == 1 and len(found.pop()) == 60
 
 
+def test_grammar_does_not_depend_on_how_pairs_are_counted(monkeypatch):
+    rng = np.random.default_rng(7)
+    for size in (0, 1, 50, 6000):
+        row = np.repeat(rng.integers(1, 30, size), rng.integers(1, 6, size))
+        monkeypatch.setattr(token_store, "FEW", 0)
+        by_hash = token_store.compress(row, 100)
+        monkeypatch.setattr(token_store, "FEW", 1 << 30)
+        by_sort = token_store.compress(row, 100)
+        assert all(np.array_equal(x, y) for x, y in zip(by_hash, by_sort, strict=True))
+        assert np.array_equal(token_store.expand(by_sort[2], by_sort[0], 100), row)
+
+
 def test_word_of_a_pair():
     a, b = np.random.default_rng(3).integers(0, 2**64, (2, 1000), dtype=np.uint64)
     assert np.array_equal(perplexity.unmixed(a, perplexity.mixed(a, b)), b)
