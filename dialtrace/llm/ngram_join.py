@@ -117,12 +117,23 @@ def frequency_sketch(texts: DataFrame) -> np.ndarray:
 
 
 def bit_filter(keys: DataFrame) -> np.ndarray:
-    """A filter of FILTER bits with the bit of every value of ``key`` set, for a test that may pass too many."""
+    """A filter of FILTER bits with the bit of every value of ``key`` set, for a test that may pass too many.
+
+    Tasks put the words of the filter together; 64 rows of bytes come to the driver, not a row for each word.
+    """
+    rows = 64
+    size = FILTER // 64 // rows
     bit = F.pmod(F.col("key"), F.lit(FILTER))
     words = keys.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(key, {FILTER}), 64) as int))")).alias("bits"))
-    found = words.toPandas()
+
+    def fill(group: pd.DataFrame) -> pd.DataFrame:
+        part, out = int(group["at"].iloc[0]) // size, np.zeros(size, dtype="<i8")
+        out[group["at"].to_numpy(np.int64) - part * size] = group["bits"].to_numpy(np.int64)
+        return pd.DataFrame({"part": [part], "bits": [out.tobytes()]})
+
     out = np.zeros(FILTER // 64, dtype=np.int64)
-    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    for r in words.groupBy(F.floor(F.col("at") / size).alias("part")).applyInPandas(fill, "part INT, bits BINARY").collect():
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bits"], dtype="<i8")
     return out.view(np.uint64)
 
 

@@ -508,3 +508,15 @@ def test_classifier_takes_any_column_names(spark):
     found = perplexity.keep_good(docs, labels)
     assert found.columns == docs.columns
     assert collected(found, "doc_id") == Counter([(1,)])
+
+
+def test_filter_comes_to_the_driver_in_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    keys = np.concatenate([rng.integers(-(2**63), 2**63, 5000), [0, -1, ngram_join.FILTER, 2**63 - 1, -(2**63)]])
+    frame, sent = type(spark.range(1)), []
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(frame, name, lambda self, plain=getattr(frame, name): (lambda out: sent.append(len(out)) or out)(plain(self)))
+    bits = ngram_join.bit_filter(spark.createDataFrame([(int(k),) for k in keys], "key BIGINT"))
+    assert sum(sent) <= 64
+    assert ngram_join.passes(bits, keys).all() and np.bitwise_count(bits).sum() == len(np.unique(keys & (ngram_join.FILTER - 1)))
+    assert not ngram_join.bit_filter(spark.createDataFrame([], "key BIGINT")).any()
