@@ -39,6 +39,8 @@ def u4(values: np.ndarray) -> bytes:
 SHORT = 18
 #: Places of so few pairs are sorted at once.
 FEW = 4096
+#: Changed places are gone through by themselves if the row is so many times as long as they are.
+FEW_CHANGES = 8
 
 
 def frequent_pairs(row: np.ndarray, maybe: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +87,24 @@ def frequent_pairs(row: np.ndarray, maybe: np.ndarray | None, least: int) -> tup
     return at[frequent], number[frequent]
 
 
+def closed_up(row: np.ndarray, gone: np.ndarray, places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The row without the places ``gone``, and where those of ``places`` that stay and have one behind them are in it, in order."""
+    if FEW_CHANGES * sum(map(len, places)) > len(row):
+        stays, marked = np.ones(len(row), dtype=bool), np.zeros(len(row), dtype=bool)
+        stays[gone] = False
+        for x in places:
+            marked[x] = True
+        stays = np.flatnonzero(stays)
+        return row[stays], np.flatnonzero(marked[stays[:-1]])
+    # the work on a few places does not grow with the row, which is copied once
+    some = np.unique(np.concatenate(places))
+    before = np.searchsorted(gone, some)
+    stay = gone.take(before, mode="clip") != some if len(gone) else np.ones(len(some), dtype=bool)
+    some = (some - before)[stay]
+    row = np.delete(row, gone)
+    return row, some[some < len(row) - 1]
+
+
 def compress(row: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (n, 2), their expansion lengths, and the remaining symbols.
 
@@ -128,14 +148,9 @@ def compress(row: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.n
         rules.append(sides)
         lengths.append(size.sum(axis=1))
         row[won] = first_rule + known + rule
-        stays, again = np.ones(len(row), dtype=bool), np.zeros(len(row) + 1, dtype=bool)
-        stays[won + 1] = False
-        again[at] = again[won] = again[won - 1] = True
         # before a new symbol stands the one before the pair, or the symbol of a pair that ended there
-        again[won[won > 1] - 2] = True
-        stays = np.flatnonzero(stays)
-        row, again = row[stays], again[:-1][stays]
-        maybe = np.flatnonzero(again[:-1])
+        maybe = [at, won, won[won > 0] - 1, won[won > 1] - 2]
+        row, maybe = closed_up(row, won + 1, maybe)
         known += len(used)
     return np.concatenate(rules), np.concatenate(lengths), row
 

@@ -27,6 +27,8 @@ RARE = rf"[ \n][{WHITE}]|[{WHITE}][.,\n]|[^\p{{L}}\p{{N}}{WHITE}][.,]|[.,][^\p{{
 SIGNED = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 #: Up to here, the letters of all versions of Unicode are the same.
 LETTERS_END = "\u0530"
+#: Writers of so many ids.
+PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 def byte_letters() -> list[str]:
@@ -53,6 +55,8 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # asking the tokenizer for its model makes a new object each time
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = dict(enumerate(byte_letters()))
 
     def __missing__(self, part: str) -> bytes:
@@ -67,15 +71,15 @@ class Encoder(dict):
 
     def fresh(self, part: str) -> bytes:
         word = part[1:] if part[:1] == " " else part
-        if word.isalpha() and max(word) < LETTERS_END:
+        if word.isalpha() and (word.isascii() or max(word) < LETTERS_END):
             # one word of the tokenizer's pattern: its model alone does
             letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.tokenizer.model.tokenize(letters if word is part else self.letters[32] + letters)]
+            ids = [t.id for t in self.tokenize(letters if word is part else self.letters[32] + letters)]
         elif (signed := SIGNED.fullmatch(part)) and signed[1].lstrip(" ").isalpha() and max(signed[1]) < LETTERS_END:
             return self[signed[1]] + self[signed[2]]
         else:
             ids = self.tokenizer.encode(part, add_special_tokens=False).ids if part else []
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text. Every part is looked up once a chunk, however often it comes."""

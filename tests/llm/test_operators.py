@@ -520,3 +520,32 @@ def test_filter_comes_to_the_driver_in_few_rows(spark, monkeypatch):
     assert sum(sent) <= 64
     assert ngram_join.passes(bits, keys).all() and np.bitwise_count(bits).sum() == len(np.unique(keys & (ngram_join.FILTER - 1)))
     assert not ngram_join.bit_filter(spark.createDataFrame([], "key BIGINT")).any()
+
+
+def test_new_words_ask_for_the_model_once():
+    tool = tokens.Encoder(tokenizer_file())
+    plain = tool.tokenizer
+
+    class Counted:
+        asked = 0
+
+        def __getattr__(self, name):
+            Counted.asked += name == "model"
+            return getattr(plain, name)
+
+    tool.tokenizer = Counted()
+    texts = [f"w{c}rd" for c in "abc\u00e9\u00f1"] + [" ".join("abcdefghij"[int(d)] for d in str(k)) for k in range(50)] + ["q" * 900]
+    for text, ids in zip(texts, tool.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert Counted.asked == 0
+
+
+def test_later_rounds_of_the_grammar_do_not_go_through_the_row(monkeypatch):
+    """A few changed places are followed by themselves; the grammar is that of going through the row."""
+    rng = np.random.default_rng(21)
+    rows = [rng.integers(0, 300, 4000), rng.zipf(1.4, 20000) % 60, np.ones(777, dtype=np.int64), np.tile(np.arange(90), 50)]
+    found = []
+    for few in (0, 10**9):
+        monkeypatch.setattr(token_store, "FEW_CHANGES", few)
+        found.append([[x.tolist() for x in token_store.compress(row, 400, least)] for row in rows for least in (2, 8)])
+    assert found[0] == found[1]
