@@ -272,20 +272,23 @@ def train_words(pairs: DataFrame, word_rows: int = WORD_ROWS) -> tuple[DataFrame
     places = pairs.select("lang", F.col("word").alias("key"), "length", F.lit(1).alias("kinds"), F.lit(0).alias("total"), F.lit(0).alias("follow")).unionByName(
         pairs.select("lang", F.col("before").alias("key"), F.lit(0).alias("length"), F.lit(0).alias("kinds"), F.col("n").alias("total"), F.lit(1).alias("follow"))
     )
-    kinds = keep(places.groupBy("lang", "key").agg(F.max("length").alias("length"), *[F.sum(c).alias(c) for c in ("kinds", "total", "follow")]), "words")
+    # a key stands for its word and language
+    kinds = places.groupBy("key").agg(*[F.max(c).alias(c) for c in ("lang", "length")], *[F.sum(c).alias(c) for c in ("kinds", "total", "follow")])
+    kinds = keep_by([kinds], "words", "key")
     seen = kinds.where("kinds > 0").groupBy("lang").agg(discount_of("kinds").alias("d1"), F.sum("kinds").alias("all_kinds"), F.count(F.lit(1)).alias("n_words"))
     rates = keep(seen.join(pairs.groupBy("lang").agg(discount_of("n").alias("d2")), "lang").withColumn("unknown", F.log(F.col("d1") * F.col("n_words") / F.col("all_kinds"))), "rates")
     letter = F.lit(float(np.log(256)))
     spelled = F.col("unknown") - letter * (F.col("length") + 1)
-    known = kinds.join(rates, "lang").select(
+    known = kinds.join(F.broadcast(rates), "lang").select(
         "key", "total", "kinds",
         F.when(F.col("kinds") > 0, F.log((F.col("kinds") - F.col("d1")) / F.col("all_kinds") + F.exp(spelled))).alias("p1"),
         F.when(F.col("total") > 0, F.log(F.col("d2") * F.col("follow") / F.col("total"))).alias("rest"), spelled.alias("spelled"), "d2",
     )
-    known = keep(known, "known_words")
+    # in buckets, so that no part of the pairs shuffles all words again
+    known = keep_by([known], "known_words", "key")
     free(kinds)
     buckets = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = [known.select("key", F.coalesce(F.col("p1") - F.col("spelled"), F.lit(0.0)).alias("a"), F.coalesce("rest", F.lit(0.0)).alias("b"), F.greatest("total", "kinds").alias("n")).repartition(buckets, "key")]
+    parts = [known.select("key", F.coalesce(F.col("p1") - F.col("spelled"), F.lit(0.0)).alias("a"), F.coalesce("rest", F.lit(0.0)).alias("b"), F.greatest("total", "kinds").alias("n"))]
     if known.count() <= word_rows:
         parts.append(priced(pairs, F.broadcast(known)))
     else:

@@ -549,3 +549,20 @@ def test_later_rounds_of_the_grammar_do_not_go_through_the_row(monkeypatch):
         monkeypatch.setattr(token_store, "FEW_CHANGES", few)
         found.append([[x.tolist() for x in token_store.compress(row, 400, least)] for row in rows for least in (2, 8)])
     assert found[0] == found[1]
+
+
+def test_parts_of_pairs_do_not_shuffle_the_words_again(spark, monkeypatch):
+    rng = random.Random(14)
+    docs = spark.createDataFrame([(k, "en", words(rng, 40)) for k in range(30)], "tid BIGINT, lang STRING, text STRING")
+    plans, plain = [], perplexity.priced
+
+    def seen(pairs, known):
+        out = plain(pairs, known.hint("merge"))
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(perplexity, "priced", seen)
+    model, _ = perplexity.train_words(perplexity.keep_by([perplexity.count_words(docs)], "pairs", "key"), 0)
+    # the pairs go to the word before, then to the word
+    assert [plan.count("Exchange ") for plan in plans] == [2] * perplexity.SLICES
+    assert model.count() > 0
