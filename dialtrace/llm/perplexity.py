@@ -195,19 +195,25 @@ def lang_key(lang: str) -> np.ndarray:
     return pd.util.hash_array(np.array([lang], dtype=object))
 
 
-def words(texts: list[str], lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All words in a row: the text of each, the keys of the word before and of itself, and its length. 0 begins a text."""
+def numbered(texts: list[str], lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many words each text has, the number of each word in a row, and of each number the key and the length."""
     found = [(ASCII_TOKEN if t.isascii() else TOKEN).findall(t) for t in texts]
     n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
     numbers = Numbered()
     row = np.fromiter(map(numbers.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(n.sum()))
     # each word is hashed once
     every = np.array([*numbers, None], dtype=object)[:-1]
-    salt = lang_key(lang)
-    own = mixed(np.broadcast_to(salt, len(every)), pd.util.hash_array(every))[row] if len(row) else np.zeros(0, dtype=np.uint64)
+    own = mixed(np.broadcast_to(lang_key(lang), len(every)), pd.util.hash_array(every)) if len(every) else np.zeros(0, dtype=np.uint64)
+    return n, row, own, np.fromiter(map(len, every), dtype=np.int64, count=len(every))
+
+
+def words(texts: list[str], lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words in a row: the text of each, the keys of the word before and of itself, and its length. 0 begins a text."""
+    n, row, every, length = numbered(texts, lang)
+    own = every[row]
     before = np.roll(own, 1)
-    before[(np.cumsum(n) - n)[n > 0]] = mixed(salt, np.zeros(1, dtype=np.uint64))[0]
-    return np.repeat(np.arange(len(texts)), n), before, own, np.fromiter(map(len, every), dtype=np.int64, count=len(every))[row]
+    before[(np.cumsum(n) - n)[n > 0]] = mixed(lang_key(lang), np.zeros(1, dtype=np.uint64))[0]
+    return np.repeat(np.arange(len(texts)), n), before, own, length[row]
 
 
 def in_chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -261,6 +267,9 @@ def discount_of(n: str) -> Column:
 def train_words(pairs: DataFrame, word_rows: int = WORD_ROWS) -> tuple[DataFrame, DataFrame]:
     """The word model, as key, a, b and n in buckets of the key, and per language what an unknown word and each of its letters cost.
 
+    The plain form by joins of single rows; ``classify`` takes the packed one of
+    ``word_model``, which tests hold to this.
+
     The log-probability of a text is that of as many unknown words, and for each known
     word ``a`` where it stands and ``b`` where another follows, and for each known pair
     its ``a``: interpolated Kneser-Ney of order 2 over the words of any alphabet, in
@@ -494,6 +503,8 @@ def classify(
     of its own. Repeated labels count once; rows without a label or an id are not
     trusted. Repeated rows have a row each; further columns are not read.
     """
+    from dialtrace.llm import word_model
+
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good = good.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE)) == 0
@@ -506,11 +517,10 @@ def classify(
     train_texts = some.join(F.broadcast(training) if trusted.count() <= trusted_rows else training, "doc_id", "left_semi")
     grams = keep(count_ngrams(train_texts), "ngrams")
     model = keep(train(grams), "model")
-    pairs = keep_by([count_words(train_texts)], "pairs", "key")
-    word_model, rates = train_words(pairs)
-    free(grams, pairs)
-    by_words = score_words(some, word_model, rates)
-    free(word_model)
+    free(grams)
+    words_of, rates = word_model.train(train_texts)
+    by_words = word_model.score(some, words_of, rates)
+    free(words_of)
     scored = score(some, model).join(by_words, "tid", "left").join(trusted, "doc_id", "left")
     scored = keep(scored, "scored")
     free(by_words)

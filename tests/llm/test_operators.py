@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from dialtrace.llm import exact_dedup, hyper_minhash, line_dedup, ngram_join, packing, perplexity, pseudonyms, quality_rules, suffix_dedup, token_store, tokens
+from dialtrace.llm import exact_dedup, hyper_minhash, line_dedup, ngram_join, packing, perplexity, pseudonyms, quality_rules, suffix_dedup, token_store, tokens, word_model
 from dialtrace.llm.common import keep_nothing, kept_by_worker
 from dialtrace.llm.registry import tokenizer_file
 from dialtrace.llm.sentence_pieces import encode_decode, pieces_of
@@ -566,3 +566,33 @@ def test_parts_of_pairs_do_not_shuffle_the_words_again(spark, monkeypatch):
     # the pairs go to the word before, then to the word
     assert [plan.count("Exchange ") for plan in plans] == [2] * perplexity.SLICES
     assert model.count() > 0
+
+
+def test_packed_word_model_is_the_plain_one(spark, monkeypatch):
+    """The classifier's model has a row for each bucket, not for each pair of words, and the values of the joins of single rows."""
+    rng = random.Random(41)
+    rows = [(k, ("en", "de")[k % 2], words(rng, rng.randrange(1, 600))) for k in range(60)] + [(70, "en", " "), (71, "fr", "a b"), (72, "de", "x"), (-1, "es", " \n")]
+    docs = spark.createDataFrame(rows, "tid BIGINT, lang STRING, text STRING")
+    some = docs.where("tid < 30")
+    single, plain_rates = perplexity.train_words(perplexity.count_words(some))
+    plain = {r["tid"]: (r["word_nll"], r["stale"]) for r in perplexity.score_words(docs, single, plain_rates).collect()}
+    kept, keep = {}, word_model.keep
+    monkeypatch.setattr(word_model, "keep", lambda df, purpose: kept.setdefault(purpose, (out := keep(df, purpose), out.count()))[0])
+    model, rates = word_model.train(some)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert kept["pairs"][1] <= 2 * buckets * (buckets + 1) < single.count() and model.count() <= 2 * buckets
+    assert {r["lang"]: round(r["unknown"], 9) for r in rates.collect()} == {r["lang"]: round(r["unknown"], 9) for r in plain_rates.collect()}
+    for head, cells, parts in ((0, 1, 1), (50, 64, 3), (100_000, 1 << 12, 4)):
+        found = {r["tid"]: (r["word_nll"], r["stale"]) for r in word_model.score(docs, model, rates, head, cells, parts).collect()}
+        assert found.keys() == plain.keys() and 70 in found and 71 not in found
+        assert all(abs(x - y) < 1e-9 for k in plain for x, y in zip(found[k], plain[k], strict=True))
+
+
+def test_fresh_pairs_with_many_kinds_of_words():
+    n, row = np.array([3, 0, 400]), np.concatenate([[0, 1, 0], np.tile([2, 3], 200)])
+    before = np.roll(row, 1)
+    before[[0, 3]] = 4
+    few = word_model.fresh_pairs(n, row, before, 4)
+    # so many kinds that block and pair do not fit one number
+    many = word_model.fresh_pairs(n, row, before, 1 << 31)
+    assert few.tolist() == many.tolist() == [3, 0, 5]
