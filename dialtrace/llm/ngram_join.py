@@ -64,9 +64,10 @@ def shingle_sets(texts: list[str], width: int = WORDS) -> Iterator[np.ndarray]:
             size, stop = size + len(held[-1]) + 1, stop + 1
         starts, words = word_hashes(b"\n".join(held))
         bounds = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in held)]))
+        # a chunk of fewer words than a shingle, as a short text that is left over, has none
         whole = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
         for k in range(width):
-            whole += words[k : len(words) - width + 1 + k] * PLACE_VALUE[k]
+            whole += words[k : k + len(whole)] * PLACE_VALUE[k]
         whole = mix(whole)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a >= width:

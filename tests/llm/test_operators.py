@@ -596,3 +596,21 @@ def test_fresh_pairs_with_many_kinds_of_words():
     # so many kinds that block and pair do not fit one number
     many = word_model.fresh_pairs(n, row, before, 1 << 31)
     assert few.tolist() == many.tolist() == [3, 0, 5]
+
+
+@pytest.mark.parametrize("count", range(9))
+def test_short_text_alone_in_a_chunk_has_its_shingle(monkeypatch, count):
+    short, long = " ".join("abcdefghi"[:count]), "some longer text that fills a chunk of its own "
+    alone = [list(ngram_join.shingle_sets([short], width)) for width in (4, 5)]
+    for width, found in zip((4, 5), alone, strict=True):
+        assert len(found) == 1 and len(found[0]) == (max(1, count - width + 1) if count else 0)
+        # the same set as beside other texts
+        assert list(found[0]) == list(list(ngram_join.shingle_sets([short, long], width))[0])
+    monkeypatch.setattr(ngram_join, "CHUNK", len(long))
+    assert [list(x) for x in ngram_join.shingle_sets([long, short])][1] == list(alone[1][0])
+
+
+def test_near_copies_of_a_table_of_three_words(spark):
+    docs = documents(spark, [(2, "one two three"), (1, "One  two\nthree")]).coalesce(1)
+    assert collected(ngram_join.drop_near_copies(docs), "doc_id", "text") == Counter([(1, "One  two\nthree")])
+    assert collected(ngram_join.drop_near_copies(docs.where("doc_id = 2")), "doc_id", "text") == Counter([(2, "one two three")])
